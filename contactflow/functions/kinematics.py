@@ -23,10 +23,16 @@ def clip01(c: Column) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with value evaluated once: bound to a lambda variable, not repeated."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def pairwise(arr: Column, fn: Callable[[Column, Column], Column]) -> Column:
     """fn(previous, current) over neighbours; empty when fewer than two."""
-    n = F.greatest(F.size(arr) - 1, F.lit(0))
-    return F.zip_with(F.slice(arr, F.lit(2), n), F.slice(arr, F.lit(1), n), lambda cur, prev: fn(prev, cur))
+    return let(arr, lambda a: F.zip_with(
+        F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))),
+        F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), lambda cur, prev: fn(prev, cur)))
 
 
 def step(prev: Column, cur: Column) -> Column:
@@ -62,12 +68,13 @@ def peak_speed(arr: Column, dims: str = "xy", min_points: int = 3) -> Column:
 
 def decel_score(arr: Column, dims: str = "xyz", min_points: int = 3, per_frame: bool = True) -> Column:
     """Sharpest speed drop relative to peak speed, scaled by 0.6."""
-    vel = velocity(arr, dims)
-    peak = F.array_max(_speeds(vel))
-    drop = F.array_min(pairwise(vel, lambda p, c: (
-        (c["speed"] - p["speed"]) / c["dt"] if per_frame else c["speed"] - p["speed"])))
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), -drop) / peak / 0.6)
-    return F.when((F.size(arr) >= min_points) & (F.size(vel) >= 2) & (peak >= 1e-6), score).otherwise(0.0)
+    def score(vel: Column) -> Column:
+        peak = F.array_max(_speeds(vel))
+        drop = F.array_min(pairwise(vel, lambda p, c: (
+            (c["speed"] - p["speed"]) / c["dt"] if per_frame else c["speed"] - p["speed"])))
+        return F.when((F.size(vel) >= 2) & (peak >= 1e-6),
+                      F.least(F.lit(1.0), F.greatest(F.lit(0.0), -drop) / peak / 0.6)).otherwise(0.0)
+    return F.when(F.size(arr) >= min_points, let(velocity(arr, dims), score)).otherwise(0.0)
 
 
 def jerk_peak(arr: Column, dims: str = "xyz") -> Column:
@@ -81,7 +88,7 @@ def jerk_peak(arr: Column, dims: str = "xyz") -> Column:
         return F.sqrt(s)
 
     best = F.array_max(F.transform(jerk, lambda j: F.struct(mag(j).alias("jerk"), (-j["frame"]).alias("nf"))))
-    return F.when(best.isNotNull(), F.struct(best["jerk"].alias("jerk"), (-best["nf"]).alias("frame")))
+    return let(best, lambda b: F.when(b.isNotNull(), F.struct(b["jerk"].alias("jerk"), (-b["nf"]).alias("frame"))))
 
 
 def jerk_score(arr: Column, dims: str = "xyz", scale: float = 0.03, min_points: int = 4) -> Column:
@@ -125,13 +132,20 @@ def slope(values: Column) -> Column:
 
 def correlation(a: Column, b: Column, min_den: float = 1e-8) -> Column:
     """Pearson correlation of two equally long arrays; NULL when undefined."""
-    ma, mb = mean_of(a), mean_of(b)
     add = lambda acc, v: acc + v
-    num = F.aggregate(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)), F.lit(0.0), add)
-    da = F.aggregate(F.transform(a, lambda x: (x - ma) * (x - ma)), F.lit(0.0), add)
-    db = F.aggregate(F.transform(b, lambda y: (y - mb) * (y - mb)), F.lit(0.0), add)
-    den = F.sqrt(da * db)
-    return F.when(den >= min_den, num / den)
+
+    def centred(arr: Column) -> Column:
+        return let(arr, lambda x: let(mean_of(x), lambda m: F.transform(x, lambda v: v - m)))
+
+    def total(arr: Column) -> Column:
+        return F.aggregate(arr, F.lit(0.0), add)
+
+    def ratio(p: Column) -> Column:
+        den = F.sqrt(total(F.transform(p["a"], lambda v: v * v)) * total(F.transform(p["b"], lambda v: v * v)))
+        num = total(F.zip_with(p["a"], p["b"], lambda x, y: x * y))
+        return let(den, lambda d: F.when(d >= min_den, num / d))
+
+    return let(F.struct(centred(a).alias("a"), centred(b).alias("b")), ratio)
 
 
 def dual_body_score(arr: Column, a: str, b: str, dims: str = "xyz") -> Column:
@@ -140,7 +154,7 @@ def dual_body_score(arr: Column, a: str, b: str, dims: str = "xyz") -> Column:
         t = F.transform(arr, lambda p: F.struct(p["frame"].alias("frame"), *[p[name][c].alias(c) for c in dims]))
         return pairwise(velocity(t, dims), lambda p, c: c["speed"] - p["speed"])
     r = correlation(F.transform(side(a), lambda v: -v), side(b))
-    return F.when(F.size(arr) >= 4, F.coalesce(clip01((r + 1.0) / 2.0), F.lit(0.0))).otherwise(0.0)
+    return F.when(F.size(arr) >= 4, let(r, lambda v: F.coalesce(clip01((v + 1.0) / 2.0), F.lit(0.0)))).otherwise(0.0)
 
 
 def ema(arr: Column, alpha: float = 0.7) -> Column:

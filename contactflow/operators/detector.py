@@ -22,8 +22,7 @@ def contact_prior(candidates: DataFrame, contacts: DataFrame, *, frame: str, win
                  .agg(F.min(F.struct((-F.col("contact_prob")).alias("np"), "contact_region")).alias("_c"))
                  .select(*KEYS, "striker_id", "receiver_id", "ce_frame",
                          (-F.col("_c.np")).alias("contact_prob"), "_c.contact_region"))
-    ids = [c for c in ("action_id", frame) if c in candidates.columns]
-    return best_in_band(candidates, per_frame, [*KEYS, "striker_id", "receiver_id"], ids,
+    return best_in_band(candidates, per_frame, [*KEYS, "striker_id", "receiver_id"],
                         left_on=frame, right_on="ce_frame", lo=-window, hi=window,
                         order=[-F.col("contact_prob"), F.col("ce_frame")],
                         keep=["contact_prob", "contact_region"])
@@ -57,7 +56,7 @@ def score_anchored(anchored: DataFrame, contacts: DataFrame, onsets: DataFrame |
          .withColumn("g_audio", F.lit(0.0))
          .withColumn("contact_region", region))
     if onsets is not None:
-        near = best_in_band(c, onsets, KEYS, ["striker_id", "action_id", "frame"], left_on="frame",
+        near = best_in_band(c, onsets, KEYS, left_on="frame",
                             right_on="onset_frame", lo=-8, hi=8,
                             order=[-F.col("strength"), F.col("onset_frame")], keep=["strength"])
         c = near.withColumn("g_audio", F.coalesce("strength", F.lit(0.0))).drop("strength")

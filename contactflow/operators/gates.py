@@ -71,8 +71,10 @@ def pair_frames(hot: DataFrame) -> DataFrame:
     """Directed pairs per frame with gap, region, head gap, overlap and guard distance."""
     p = pairs_same_frame(hot)
     wrists = F.array("s.lw", "s.rw")
-    head_d = G.min_dist(wrists, F.col("r.head_pts"))
-    torso_d = G.min_dist(wrists, F.col("r.torso_pts"))
+    # own columns, so the nested minima are evaluated once
+    p = (p.withColumn("_hd", G.min_dist(wrists, F.col("r.head_pts")))
+         .withColumn("_td", G.min_dist(wrists, F.col("r.torso_pts"))))
+    head_d, torso_d = F.col("_hd"), F.col("_td")
     dl, dr = G.dist(F.col("s.lw"), F.col("r.head")), G.dist(F.col("s.rw"), F.col("r.head"))
     punch = F.when(dr < dl, F.col("s.rw")).otherwise(F.col("s.lw"))
     p = p.withColumn("_punch", punch)

@@ -121,29 +121,36 @@ def live_contact(pairs: DataFrame, profile: JointProfile, *, reach: float, min_e
     Expects ``s``/``r`` structs with ``px`` joints and ``v`` per-joint net
     velocity (wrist minus body drift) on the striker.
     """
-    targets = [(i, "head") for i in profile.head] + [(i, "torso") for i in profile.torso]
-    cands = []
-    for n, side in enumerate(("left", "right")):
-        w_i, e_i, sh_i = profile.arm(side)
-        w, e, sh = (G.joint(F.col("s.px"), i) for i in (w_i, e_i, sh_i))
-        arm = G.dist(w, e) + G.dist(e, sh)
-        ext = G.dist(w, sh) / F.when(arm >= 1e-3, arm)
-        vel = F.col(f"s.v_{side}")
-        for m, (t_i, region) in enumerate(targets):
-            t = G.joint(F.col("r.px"), t_i)
-            d = G.dist(t, w)
-            dv = (vel["x"] * (t["x"] - w["x"]) + vel["y"] * (t["y"] - w["y"])) / F.when(d >= 1e-3, d)
-            score = weighted_sum(WEIGHTS["live"], {
-                "proximity": F.greatest(F.lit(0.0), 1.0 - d / proximity),
-                "directed_velocity": F.least(F.lit(1.0), F.greatest(F.lit(0.0), dv) / full_velocity),
-                "extension": F.least(F.lit(1.0), (ext - min_extension) / (1.0 - min_extension)),
-                "confidence": F.lit(1.0)})
-            cands.append(F.when((ext >= min_extension) & (dv >= min_velocity), F.struct(
-                score.alias("prob"), F.lit(-(n * 100 + m)).alias("order"), F.lit(region).alias("region"),
-                dv.alias("velocity"), F.lit(side).alias("side"))))
+    def arm(side: str, order: int) -> Column:
+        w, e, sh = (G.joint(F.col("s.px"), i) for i in profile.arm(side))
+        length = G.dist(w, e) + G.dist(e, sh)
+        return F.struct(w.alias("w"), (G.dist(w, sh) / F.when(length >= 1e-3, length)).alias("ext"),
+                        F.col(f"s.v_{side}").alias("v"), F.lit(side).alias("side"), F.lit(order).alias("order"))
+
+    def target(i: int, region: str, order: int) -> Column:
+        return F.struct(G.joint(F.col("r.px"), i).alias("p"), F.lit(region).alias("region"), F.lit(order).alias("order"))
+
+    groups = [(i, "head") for i in profile.head] + [(i, "torso") for i in profile.torso]
+
+    def score(a: Column, t: Column) -> Column:
+        def with_distance(d: Column) -> Column:
+            toward = (a["v"]["x"] * (t["p"]["x"] - a["w"]["x"]) + a["v"]["y"] * (t["p"]["y"] - a["w"]["y"])) / d
+            return K.let(toward, lambda dv: F.when((a["ext"] >= min_extension) & (dv >= min_velocity), F.struct(
+                weighted_sum(WEIGHTS["live"], {
+                    "proximity": F.greatest(F.lit(0.0), 1.0 - d / proximity),
+                    "directed_velocity": F.least(F.lit(1.0), dv / full_velocity),
+                    "extension": F.least(F.lit(1.0), (a["ext"] - min_extension) / (1.0 - min_extension)),
+                    "confidence": F.lit(1.0)}).alias("prob"),
+                (-a["order"] * 100 - t["order"]).alias("order"), t["region"].alias("region"),
+                dv.alias("velocity"), a["side"].alias("side"))))
+        return K.let(G.dist(t["p"], a["w"]), lambda d: K.let(F.when(d >= 1e-3, d), with_distance))
+
+    pairs = (pairs.withColumn("_arms", F.array(arm("left", 0), arm("right", 1)))
+             .withColumn("_targets", F.array(*[target(i, r, m) for m, (i, r) in enumerate(groups)])))
     in_reach = None
     for i in profile.wrists:
         hit = G.in_box(G.joint(F.col("s.px"), i), F.col("r.bbox"), reach)
         in_reach = hit if in_reach is None else in_reach | hit
-    best = F.array_max(F.filter(F.array(*cands), lambda c: c.isNotNull()))
-    return pairs.where(in_reach).withColumn("contact", best).where("contact is not null")
+    all_scores = F.flatten(F.transform("_arms", lambda a: F.transform("_targets", lambda t: score(a, t))))
+    return (pairs.where(in_reach).withColumn("contact", F.array_max(all_scores))
+            .where("contact is not null").drop("_arms", "_targets"))

@@ -29,28 +29,40 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *,
     raise ValueError(f"unsupported how={how!r}; see best_in_band / matched_in_band")
 
 
-def best_in_band(left: DataFrame, right: DataFrame, keys: Sequence[str], id_cols: Sequence[str], *,
+def best_in_band(left: DataFrame, right: DataFrame, keys: Sequence[str], *,
                  left_on: str, right_on: str, lo: float, hi: float,
                  order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
     """Left outer join to the single best right row in the band.
 
-    ``order`` lists columns to minimise, the last of which must break ties; ``keep`` are
-    right columns to attach. The winner is taken with min(struct), which
-    combines map-side, so no pair list is ever collected.
+    ``order`` lists columns to minimise, the last of which must break ties; ``keep``
+    are right columns to attach. The winner depends on the row's keys and frame
+    only, so it is found once per distinct frame: rows repeated on one frame add
+    no pairs. min(struct) combines map-side; no pair list is ever collected.
+    Give ``right`` at most one row per frame.
     """
-    pairs = band_join(left.select(*keys, *[c for c in id_cols if c not in keys],
-                                  *[c for c in {left_on} if c not in (*keys, *id_cols)]),
-                      right, keys, left_on=left_on, right_on=right_on, lo=lo, hi=hi)
-    ids = [*keys, *[c for c in id_cols if c not in keys]]
-    best = pairs.groupBy(*ids).agg(
+    keys = list(keys)
+    spots = left.select(*keys, left_on).distinct()
+    pairs = band_join(spots, right, keys, left_on=left_on, right_on=right_on, lo=lo, hi=hi)
+    best = pairs.groupBy(*keys, left_on).agg(
         F.min(F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)],
                        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])).alias("_best"))
-    out = left.join(best, ids, "left")
+    out = left.join(best, [*keys, left_on], "left")
     for i, c in enumerate(keep):
-        out = out.withColumn(c if c not in left.columns else f"right_{c}", F.col(f"_best._k{i}"))
+        out = out.withColumn(c, F.col(f"_best._k{i}"))
     return out.drop("_best")
 
 
+def aggregate_in_band(left: DataFrame, right: DataFrame, keys: Sequence[str], *, left_on: str,
+                      right_on: str, lo: float, hi: float, aggs: Sequence[Column],
+                      width: float | None = None) -> DataFrame:
+    """Left outer join to aggregates over the band, computed per distinct frame."""
+    keys = list(keys)
+    spots = left.select(*keys, left_on).distinct()
+    got = (band_join(spots, right, keys, left_on=left_on, right_on=right_on, lo=lo, hi=hi, width=width)
+           .groupBy(*keys, left_on).agg(*aggs))
+    return left.join(got, [*keys, left_on], "left")
+
+
 def matched_in_band(left: DataFrame, right: DataFrame, keys: Sequence[str], *,
                     left_on: str, right_on: str, lo: int, hi: int, out: str = "matched") -> DataFrame:
     """Flag left rows with at least one right row in the band (integer frames)."""

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactflow.session import cut_lineage
+
 
 def _splits(df: DataFrame, score: str, parts: int) -> list[float]:
     probs = [i / parts for i in range(1, parts)]
@@ -23,14 +25,14 @@ def ranked(df: DataFrame, keys: Sequence[str], score: str, *, tie: Sequence[str]
     keys = list(keys)
     spark = df.sparkSession
     parts = parts or min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1024)
-    cuts = _splits(df, score, parts)
+    # counted once; the cut points and both levels of the scan read the small result
+    counts = cut_lineage(df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_m")))
+    cuts = _splits(counts, score, parts)
     bucket = F.lit(0)
     if cuts:
         lit = F.array(*[F.lit(float(c)) for c in cuts])
         bucket = F.size(F.filter(lit, lambda c: c <= F.col(score)))
-    # ids inside one score value are ordered only when the caller needs row_number
-    counts = (df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_m"))
-              .withColumn("_b", bucket))
+    counts = counts.withColumn("_b", bucket)
     w = Window.partitionBy(*keys, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     local = counts.withColumn("_below", F.coalesce(F.sum("_m").over(w), F.lit(0)))
     ws = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -38,7 +38,7 @@ def best_ce(spark, sf):
   SELECT d.det_id, c.contact_id, c.contact_region, c.contact_prob, row_number() OVER (PARTITION BY d.det_id ORDER BY c.contact_prob DESC NULLS LAST, c.ce_frame, c.contact_id) AS rn
   FROM det d LEFT JOIN ce c ON d.match_id=c.match_id AND d.round_id=c.round_id AND d.striker_id=c.striker_id AND c.ce_frame BETWEEN d.frame-15 AND d.frame+15) WHERE rn=1""")
 def _(spark, sf):
-    j = J.best_in_band(A.detections(spark, sf), best_ce(spark, sf), [*KEYS, "striker_id"], ["det_id"], left_on="frame", right_on="ce_frame",
+    j = J.best_in_band(A.detections(spark, sf), best_ce(spark, sf), [*KEYS, "striker_id"], left_on="frame", right_on="ce_frame",
                        lo=-15, hi=15, order=[-F.col("contact_prob"), F.col("ce_frame"), F.col("contact_id")],
                        keep=["contact_id", "contact_region", "contact_prob"])
     return j.select("det_id", "contact_id", "contact_region", r6(F.col("contact_prob"), "contact_prob"))
@@ -51,7 +51,7 @@ def _(spark, sf):
     a = A.actions(spark, sf).groupBy(*KEYS, F.col("fighter_id").alias("striker_id"), "action_frame").agg(
         F.min(F.struct((-F.col("confidence")).alias("nc"), "action_id")).alias("b"))
     a = a.select(*KEYS, "striker_id", "action_frame", (-F.col("b.nc")).alias("confidence"), "b.action_id")
-    j = J.best_in_band(A.detections(spark, sf), a, [*KEYS, "striker_id"], ["det_id"], left_on="frame", right_on="action_frame",
+    j = J.best_in_band(A.detections(spark, sf), a, [*KEYS, "striker_id"], left_on="frame", right_on="action_frame",
                        lo=-5, hi=5, order=[-F.col("confidence"), F.col("action_frame"), F.col("action_id")], keep=["action_id", "confidence"])
     return j.select("det_id", "action_id", r6(F.col("confidence"), "confidence"))
 
@@ -63,7 +63,7 @@ def _(spark, sf):
     a = A.actions(spark, sf).groupBy(*KEYS, F.col("fighter_id").alias("striker_id"), "action_frame").agg(F.min("action_id").alias("action_id"))
     c = A.contacts(spark, sf)
     gap = F.abs(F.col("action_frame") - F.col("ce_frame"))
-    j = J.best_in_band(c, a, [*KEYS, "striker_id"], ["contact_id", "ce_frame"], left_on="ce_frame", right_on="action_frame", lo=-15, hi=15,
+    j = J.best_in_band(c, a, [*KEYS, "striker_id"], left_on="ce_frame", right_on="action_frame", lo=-15, hi=15,
                        order=[gap, F.col("action_frame"), F.col("action_id")], keep=["action_id", "action_frame"])
     return j.where("action_id is not null").select("contact_id", "action_id", gap.alias("frame_gap"))
 
@@ -75,7 +75,7 @@ def _(spark, sf):
     d = A.detections(spark, sf).groupBy(*KEYS, "striker_id", "frame").agg(F.min("det_id").alias("det_id"))
     a = A.actions(spark, sf).withColumnRenamed("fighter_id", "striker_id").withColumn("center", (F.col("window_start") + F.col("window_end")) / 2)
     gap = F.abs(F.col("frame") - F.col("center"))
-    j = J.best_in_band(a, d, [*KEYS, "striker_id"], ["action_id", "center"], left_on="center", right_on="frame", lo=-8, hi=8,
+    j = J.best_in_band(a, d, [*KEYS, "striker_id"], left_on="center", right_on="frame", lo=-8, hi=8,
                        order=[gap, F.col("frame"), F.col("det_id")], keep=["det_id", "frame"])
     return j.where("det_id is not null").select("action_id", "det_id", F.round(gap, 2).alias("center_gap"))
 
@@ -111,7 +111,7 @@ def _(spark, sf):
   FROM det d LEFT JOIN box b ON d.match_id=b.match_id AND d.round_id=b.round_id AND d.receiver_id=b.track_id AND b.frame BETWEEN d.frame-5 AND d.frame+5) WHERE rn=1""")
 def _(spark, sf):
     b = A.boxes(spark, sf).select(*KEYS, F.col("track_id").alias("receiver_id"), F.col("frame").alias("bf"), F.col("bbox.x1").alias("x1"))
-    j = J.best_in_band(A.detections(spark, sf), b, [*KEYS, "receiver_id"], ["det_id", "frame"], left_on="frame", right_on="bf", lo=-5, hi=5,
+    j = J.best_in_band(A.detections(spark, sf), b, [*KEYS, "receiver_id"], left_on="frame", right_on="bf", lo=-5, hi=5,
                        order=[F.abs(F.col("bf") - F.col("frame")), F.col("bf")], keep=["x1"])
     return j.select("det_id", "x1")
 
@@ -122,7 +122,7 @@ def _(spark, sf):
   FROM det d LEFT JOIN box b ON d.match_id=b.match_id AND d.round_id=b.round_id AND d.receiver_id=b.track_id AND b.frame BETWEEN d.frame-5 AND d.frame+5) WHERE rn=1""")
 def _(spark, sf):
     b = A.boxes(spark, sf).select(*KEYS, F.col("track_id").alias("receiver_id"), F.col("frame").alias("bf"), "bbox")
-    j = J.best_in_band(A.detections(spark, sf), b, [*KEYS, "receiver_id"], ["det_id", "frame"], left_on="frame", right_on="bf", lo=-5, hi=5,
+    j = J.best_in_band(A.detections(spark, sf), b, [*KEYS, "receiver_id"], left_on="frame", right_on="bf", lo=-5, hi=5,
                        order=[F.abs(F.col("bf") - F.col("frame")), F.col("bf")], keep=["bbox"])
     share = F.when(F.col("region") == "head", 0.2).otherwise(0.5)
     box = F.col("bbox")
@@ -166,11 +166,10 @@ def _(spark, sf):
 @query("decayed_onset_strength", """SELECT d.det_id, round(coalesce(max(o.strength*(1-abs(o.onset_frame-d.frame)/11.0)),0),6) AS audio, round(coalesce(max(o.strength),0),6) AS audio_raw
   FROM det d LEFT JOIN ons o ON d.match_id=o.match_id AND d.round_id=o.round_id AND abs(o.onset_frame-d.frame) <= 10 GROUP BY d.det_id""")
 def _(spark, sf):
-    d = A.detections(spark, sf).select("det_id", *KEYS, "frame")
-    j = J.band_join(d, A.onsets(spark, sf), KEYS, left_on="frame", right_on="onset_frame", lo=-10, hi=10)
-    s = F.col("strength") * (1 - F.abs(F.col("onset_frame") - F.col("frame")) / 11.0)
-    best = j.groupBy("det_id").agg(F.max(s).alias("a"), F.max("strength").alias("b"))
-    return d.join(best, "det_id", "left").select("det_id", r6(F.coalesce("a", F.lit(0.0)), "audio"), r6(F.coalesce("b", F.lit(0.0)), "audio_raw"))
+    gap = F.abs(F.col("onset_frame") - F.col("frame"))
+    j = J.aggregate_in_band(A.detections(spark, sf), A.onsets(spark, sf), KEYS, left_on="frame", right_on="onset_frame", lo=-10, hi=10,
+                            aggs=[F.max(F.col("strength") * (1 - gap / 11.0)).alias("a"), F.max("strength").alias("b")])
+    return j.select("det_id", r6(F.coalesce("a", F.lit(0.0)), "audio"), r6(F.coalesce("b", F.lit(0.0)), "audio_raw"))
 
 
 @query("time_range_envelope", """SELECT d.det_id, round(coalesce(max(o.strength),0),6) AS env FROM det d LEFT JOIN ons o ON d.match_id=o.match_id AND d.round_id=o.round_id
@@ -178,9 +177,8 @@ def _(spark, sf):
 def _(spark, sf):
     d = A.detections(spark, sf).select("det_id", *KEYS, "frame").withColumn("t", F.col("frame") / 25.0)
     o = A.onsets(spark, sf).withColumn("ot", F.col("onset_frame") / 25.0)
-    j = J.band_join(d, o, KEYS, left_on="t", right_on="ot", lo=-0.30, hi=0.30, width=0.6)
-    best = j.groupBy("det_id").agg(F.max("strength").alias("e"))
-    return d.join(best, "det_id", "left").select("det_id", r6(F.coalesce("e", F.lit(0.0)), "env"))
+    j = J.aggregate_in_band(d, o, KEYS, left_on="t", right_on="ot", lo=-0.30, hi=0.30, width=0.6, aggs=[F.max("strength").alias("e")])
+    return j.select("det_id", r6(F.coalesce("e", F.lit(0.0)), "env"))
 
 
 @query("candidate_union_outer", """SELECT coalesce(a.match_id,b.match_id) AS match_id, coalesce(a.round_id,b.round_id) AS round_id, coalesce(a.frame,b.frame) AS frame,

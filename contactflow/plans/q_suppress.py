@@ -70,10 +70,13 @@ def _(spark, sf):
     return d.select("det_id", *KEYS, "frame")
 
 
-@query("radius_dedup", "WITH " + first_fit_sql("det", 9) + " SELECT d.det_id, d.match_id, d.round_id, d.frame FROM det d JOIN run r ON d.det_id=r.det_id WHERE r.keep")
+@query("radius_dedup", "WITH gc AS (SELECT match_id, round_id, action_id, CAST(unnest(range(greatest(0, window_start), window_end + 1, 2)) AS INTEGER) AS frame, -CAST(action_id AS DOUBLE) AS pri, action_id*100000 AS cid0 FROM act), "
+       "gd AS (SELECT *, cid0 + frame AS cid FROM gc), " + nms_sql("gd", 9, score="pri", tie="cid") + " SELECT g.action_id, g.match_id, g.round_id, g.frame FROM gd g SEMI JOIN ids USING (cid)")
 def _(spark, sf):
-    # a candidate at exactly the radius (8) is still dropped
-    return S.first_fit(A.detections(spark, sf), KEYS, "frame", 8 + 1, tie=["det_id"]).select("det_id", *KEYS, "frame")
+    # kept earlier in (action, frame) order wins; exactly the radius (8) still drops
+    from contactflow.operators.candidates import window_grid
+    c = window_grid(A.actions(spark, sf), stride=2, pad=0).withColumn("pri", -F.col("action_id").cast("double"))
+    return S.greedy_nms(c, KEYS, "frame", "pri", 8 + 1, tie="action_id").select("action_id", *KEYS, "frame")
 
 
 @query("best_per_window", """SELECT match_id, round_id, action_id, det_id, round(score,6) AS score FROM (
