@@ -11,6 +11,7 @@ work is split into blocks of consecutive frames:
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -154,3 +155,42 @@ def densify(df: DataFrame, keys: Sequence[str], frame: str, chunk: int = BLOCK)
     hi = F.least(F.col("_hi"), (F.col("_b") * chunk + (chunk - 1)).cast("int"))
     axis = cut.select(*keys, F.explode(F.sequence(lo, hi)).alias(frame))
     return axis.join(df, [*keys, frame], "left")
+
+
+def ema_scan(df: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float, out: str,
+             *, size: int = BLOCK) -> DataFrame:
+    """Exact exponential moving average along each key.
+
+    A block's effect on the state is affine (state -> a * state + b), so blocks
+    fold independently and one row per block is composed per key.
+    """
+    keys = list(keys)
+    q = 1 - alpha
+    d = df.withColumn("_blk", block_of(order, size))
+    rows = d.groupBy(*keys, "_blk").agg(F.sort_array(F.collect_list(F.struct(
+        F.col(order).alias("o"), F.col(value).alias("v"), F.struct(*[c for c in df.columns if c not in keys]).alias("r")))).alias("_a"))
+    # within the block, starting from zero state
+    rows = rows.withColumn("_b", F.aggregate("_a", F.lit(0.0), lambda s, x: alpha * x["v"] + q * s))
+    parts = rows.select(*keys, "_blk", F.size("_a").alias("_n"), "_b", F.get("_a", F.lit(0))["v"].alias("_v0"))
+    folded = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_blk", "_n", "_b", "_v0"))).alias("_p"))
+    start = F.aggregate(
+        "_p", F.struct(F.get("_p", F.lit(0))["_v0"].alias("s"), F.expr("cast(array() as array<double>)").alias("all")),
+        lambda acc, p: F.struct((F.pow(F.lit(q), p["_n"]) * acc["s"] + p["_b"]).alias("s"),
+                                F.array_append(acc["all"], acc["s"]).alias("all")))
+    entry = (folded.withColumn("_e", start["all"])
+             .select(*keys, F.explode(F.arrays_zip(F.col("_p._blk").alias("b"), F.col("_e").alias("e"))).alias("z"))
+             .select(*keys, F.col("z.b").alias("_blk"), F.col("z.e").alias("_s0")))
+    x = rows.join(entry, [*keys, "_blk"]).withColumn("_z", F.explode("_a"))
+    w = Window.partitionBy(*keys, "_blk").orderBy("_z.o").rowsBetween(Window.unboundedPreceding, 0)
+    # running value as a scan over the block's rows: scaled prefix sums lose precision, so fold a short tail
+    hist = F.collect_list(F.struct(F.col("_z.v").alias("v"))).over(w.rowsBetween(-ema_tail(q), 0))
+    k = F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy("_z.o"))
+    x = x.withColumn("_h", hist).withColumn("_k", k)
+    s0 = F.when(F.col("_k") <= F.size("_h"), F.col("_s0")).otherwise(0.0)
+    x = x.withColumn(out, F.aggregate("_h", s0, lambda s, e: alpha * e["v"] + q * s))
+    return x.select(*keys, "_z.r.*", out)
+
+
+def ema_tail(q: float) -> int:
+    """Rows after which an earlier value weighs less than double precision."""
+    return max(1, math.ceil(math.log(1e-17) / math.log(q)))

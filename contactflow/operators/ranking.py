@@ -49,3 +49,45 @@ def ranked(df: DataFrame, keys: Sequence[str], score: str, *, tie: Sequence[str]
         inner = Window.partitionBy(*keys, score).orderBy(*tie)
         out = out.withColumn("rank_first", F.col("rank_min") + F.row_number().over(inner) - 1)
     return out.drop("_m")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles per key from distributed ranks.
+
+    No aggregation state grows with the group, unlike percentile().
+    """
+    keys = list(keys)
+    r = ranked(df.where(F.col(value).isNotNull()).select(*keys, value), keys, value)
+    aggs = []
+    for name, p in probs.items():
+        pos = p * (F.col("n") - 1)
+        for tag, idx in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            aggs.append(F.max(F.when(F.col("rank_min") - 1 <= idx, F.col(value))).alias(f"_{name}_{tag}"))
+    g = r.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+    for name, p in probs.items():
+        pos = p * (F.col("n") - 1)
+        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        g = g.withColumn(name, lo + (hi - lo) * (pos - F.floor(pos)))
+    return g.select(*keys, "n", *probs)
+
+
+def roc_auc(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
+    """Rank-sum AUC per key; NULL when a class is missing."""
+    keys = list(keys)
+    r = ranked(df, keys, score)
+    pos = F.col(label) == 1
+    g = r.groupBy(*keys).agg(F.count_if(pos).alias("n_pos"), F.count_if(~pos).alias("n_neg"),
+                             F.sum(F.when(pos, F.col("rank_avg"))).alias("_r"))
+    u = F.col("_r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2
+    return g.select(*keys, "n_pos", "n_neg", F.try_divide(u, (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"))
+
+
+def blocks_by_rank(df: DataFrame, keys: Sequence[str], order: str, k: int, out: str,
+                   tie: Sequence[str]) -> DataFrame:
+    """k consecutive, near-equal blocks in order: the first n mod k hold one more row."""
+    r = ranked(df, keys, order, tie=tie)
+    i, n = F.col("rank_first") - 1, F.col("n")
+    q, rem = F.floor(n / k), n % k
+    cut = rem * (q + 1)
+    fold = F.when(i < cut, F.floor(i / (q + 1))).otherwise(rem + F.floor((i - cut) / F.greatest(q, F.lit(1))))
+    return r.withColumn(out, fold.cast("int")).drop("rank_first", "rank_min", "rank_avg", "n")

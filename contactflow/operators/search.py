@@ -21,3 +21,57 @@ def with_grid(df: DataFrame, grid: Mapping[str, Sequence]) -> DataFrame:
     for n in names:
         out = out.withColumn(n, F.col(f"_g.{n}"))
     return out.drop("_g")
+
+
+def threshold_sweep(cands: DataFrame, truth: DataFrame, keys: Sequence[str], *, frame: str, score: str,
+                    tie: str, thresholds: Sequence[float], cooldowns: Sequence[int], tol: int) -> DataFrame:
+    """tp, fp, fn, precision, recall and F1 for every (cooldown, threshold) with a detection.
+
+    Score-greedy suppression runs once per cooldown: a row is only ever
+    suppressed by a higher score, so suppressing and thresholding commute.
+    """
+    from contactflow.operators.matching import match, with_prf
+    from contactflow.operators.suppress import greedy_nms
+
+    keys = list(keys)
+    kept = None
+    for cd in cooldowns:
+        k = greedy_nms(cands, keys, frame, score, cd, tie=tie).withColumn("cd", F.lit(cd))
+        kept = k if kept is None else kept.unionByName(k)
+    thr = F.array(*[F.lit(float(t)) for t in thresholds])
+    d = kept.withColumn("thr", F.explode(F.filter(thr, lambda t: t <= F.col(score))))
+    return score_configs(d, truth, keys, ["cd", "thr"], frame, tol,
+                         {"cd": list(cooldowns), "thr": [float(t) for t in thresholds]})
+
+
+def score_configs(detections: DataFrame, truth: DataFrame, keys: Sequence[str], config: Sequence[str],
+                  frame: str, tol: int, grid: Mapping[str, Sequence]) -> DataFrame:
+    """Closest-pair matching of every configuration's detections, summed over recordings."""
+    from contactflow.operators.matching import match, with_prf
+
+    keys, config = list(keys), list(config)
+    t = truth.select(*keys, frame).distinct()
+    m = match(detections, with_grid(t, grid), [*keys, *config], tol, "closest_pair", frame=frame)
+    c = m.groupBy(*config).agg(F.count("gt_frame").alias("tp"), F.count(F.lit(1)).alias("n_det"))
+    n = t.agg(F.count(F.lit(1)).alias("n_gt"))
+    c = c.crossJoin(F.broadcast(n))  # one row
+    return with_prf(c.select(*config, "tp", (F.col("n_det") - F.col("tp")).alias("fp"),
+                             (F.col("n_gt") - F.col("tp")).alias("fn")))
+
+
+def best_config(table: DataFrame, config: Sequence[str]) -> DataFrame:
+    """Highest F1; the first configuration wins ties."""
+    rest = [c for c in table.columns if c not in ("f1", *config)]
+    b = table.agg(F.min(F.struct((-F.col("f1")).alias("nf"), *config, *rest)).alias("b"))
+    return b.select(*[F.col(f"b.{c}").alias(c) for c in config], *[F.col(f"b.{c}").alias(c) for c in rest],
+                    (-F.col("b.nf")).alias("f1"))
+
+
+def constrained_best(table: DataFrame, config: Sequence[str], floor: float, fallback: float) -> DataFrame:
+    """Precision at least ``floor``: most recall, then F1. Else precision at least
+    ``fallback``: best F1. Else best F1 overall."""
+    tier = F.when(F.col("precision") >= floor, 0).when(F.col("precision") >= fallback, 1).otherwise(2)
+    first = F.when(tier == 0, -F.col("recall")).otherwise(-F.col("f1"))
+    b = table.agg(F.min(F.struct(tier.alias("tier"), first.alias("_a"), (-F.col("f1")).alias("_b"), *config,
+                                 "precision", "recall", "f1")).alias("b"))
+    return b.select(*[f"b.{c}" for c in (*config, "tier", "precision", "recall", "f1")])

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from contactflow.plans import (  # noqa: F401
-    q_geometry, q_joins, q_gates, q_suppress, q_candidates,
+    q_geometry, q_joins, q_gates, q_suppress, q_candidates, q_reports, q_evaluate,
 )
 from contactflow.plans.registry import ORACLE, QUERIES
 
