@@ -56,8 +56,13 @@ def _(spark, sf):
     return d.select("event_id", F.round(F.when(~F.isnan("step"), F.col("step")), 6).alias("step"))
 
 
-def raw_boxes(e):
-    """Every event is a detected box."""
+def person_boxes(e):
+    """Detected people: at most five boxes per frame, the newest event of each person slot."""
+    slot = e.groupBy(*KEYS, "frame", F.pmod("event_id", F.lit(5)).alias("slot")).agg(F.max(F.struct("event_id", "value")).alias("b"))
+    return boxes_of(slot.select(*KEYS, "frame", "b.event_id", "b.value"))
+
+
+def boxes_of(e):
     y1 = F.pmod(F.col("event_id") * 37, F.lit(101)).cast("double")
     return e.select(*KEYS, "frame", F.col("event_id").alias("det_id"), F.col("value").alias("x1"), y1.alias("y1"),
                     (F.col("value") + 80).alias("x2"), (y1 + 120).alias("y2"))
@@ -65,17 +70,20 @@ def raw_boxes(e):
 
 @query("track_assignment")
 def _(spark, sf):
-    return T.track_batch(raw_boxes(A.events(spark, sf)), KEYS).select("det_id", *KEYS, "frame", "track_id")
+    return T.track_batch(person_boxes(A.events(spark, sf)), KEYS).select("det_id", *KEYS, "frame", "track_id")
 
 
 @query("streaming_track_assignment")
 def _(spark, sf):
-    return J.drain(T.track_stream(raw_boxes(stream(spark, sf))), "tracks").select("det_id", *KEYS, "frame", "track_id")
+    # sixteen cameras film a match: each is a stream of its own
+    e = stream(spark, sf).withColumn("round_id", (F.col("round_id") * 16 + F.pmod("event_id", F.lit(16))).cast("int"))
+    d = J.drain(T.track_stream(boxes_of(e)), "tracks")
+    return d.select("det_id", "match_id", F.floor(F.col("round_id") / 16).cast("int").alias("round_id"), F.pmod("round_id", F.lit(16)).alias("camera_id"), "frame", "track_id")
 
 
 @query("streaming_fighter_selection")
 def _(spark, sf):
-    e = raw_boxes(stream(spark, sf)).withColumn("frame", F.floor(F.col("frame") / 12).cast("int"))
+    e = boxes_of(stream(spark, sf)).withColumn("frame", F.floor(F.col("frame") / 12).cast("int"))
     e = e.withColumn("track_id", F.pmod("det_id", F.lit(5)).cast("int"))
     return J.drain(T.select_fighters_stream(e), "fighters")
 
@@ -84,7 +92,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Batch replay of the live chain: track, keep the two largest per frame, pair, cool down."""
     from pyspark.sql import Window
-    t = T.track_batch(raw_boxes(A.events(spark, sf)), KEYS)
+    t = T.track_batch(person_boxes(A.events(spark, sf)), KEYS)
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     # one box per (frame, track), then at most two per frame: both reductions combine map-side
     t = t.withColumn("frame", F.floor(F.col("frame") / 4).cast("int")).groupBy(*KEYS, "frame", "track_id").agg(

@@ -48,13 +48,13 @@ class Tracks:
         hit = set()
         if self.ids and len(boxes):
             m = iou_matrix(np.asarray(self.boxes, float), boxes)
-            while True:
-                r, c = np.unravel_index(np.argmax(m), m.shape)
-                if m[r, c] < IOU_MIN:
-                    break
-                self.boxes[r], self.missed[r], out[c] = boxes[c].tolist(), 0, self.ids[r]
-                hit.add(self.ids[r])
-                m[r, :], m[:, c] = 0, 0
+            r, c = np.nonzero(m >= IOU_MIN)
+            # best overlap first, earlier track and box on ties
+            for i in np.argsort(-m[r, c], kind="stable"):
+                t, d = int(r[i]), int(c[i])
+                if out[d] < 0 and self.ids[t] not in hit:
+                    self.boxes[t], self.missed[t], out[d] = boxes[d].tolist(), 0, self.ids[t]
+                    hit.add(self.ids[t])
         for c, got in enumerate(out):
             if got < 0:
                 out[c] = self.next_id
