@@ -125,6 +125,11 @@ def depth_proxy(b: Column, frame_area: float) -> Column:
     return box_area(b) / (frame_area + 1e-6)
 
 
+def shift_depth(p: Column, offset: Column) -> Column:
+    """Bring a point into the other person's depth frame; no offset leaves it as it is."""
+    return F.struct(p["x"].alias("x"), p["y"].alias("y"), (p["z"] + F.coalesce(offset, F.lit(0.0))).alias("z"))
+
+
 # ---- joints in image space
 
 def project_to_box(joints: Column, b: Column, p: Column) -> Column:

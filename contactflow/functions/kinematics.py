@@ -103,6 +103,12 @@ def scalar_jerk_score(arr: Column, dims: str = "xyz", scale: float = 1.5) -> Col
     return F.when(F.size(arr) >= 4, F.coalesce(cap1(jerk / scale), F.lit(0.0))).otherwise(0.0)
 
 
+def speed_change_score(arr: Column, dims: str = "xy", scale: float = 15.0) -> Column:
+    """Largest change of speed between neighbouring steps, over ``scale``."""
+    jump = F.array_max(pairwise(velocity(arr, dims), lambda p, c: F.abs(c["speed"] - p["speed"])))
+    return F.when(F.size(arr) >= 3, F.coalesce(cap1(jump / scale), F.lit(0.0))).otherwise(0.0)
+
+
 def depth_convergence(arr: Column) -> Column:
     """Direction reversal between the first and the second half of the path."""
     n = F.size(arr)

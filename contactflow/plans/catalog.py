@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from contactflow.plans import (  # noqa: F401
-    q_geometry, q_joins, q_gates, q_suppress, q_candidates, q_reports, q_evaluate, q_audio, q_labels, q_sequences, q_sources, q_streaming,
+    q_geometry, q_joins, q_gates, q_suppress, q_candidates, q_reports, q_evaluate, q_audio, q_labels, q_sequences, q_sources, q_streaming, q_features,
 )
 from contactflow.plans.registry import ORACLE, QUERIES
 

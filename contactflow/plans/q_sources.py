@@ -145,7 +145,7 @@ def _(spark, sf):
 
 @query("recording_from_path", "SELECT det_id, 'm' || match_id AS match_name, round_id FROM det")
 def _(spark, sf):
-    d = A.detections(spark, sf).select("det_id", F.format_string("/data/m%d/Round%d/sam.json", "match_id", "round_id").alias("p"))
+    d = A.detections(spark, sf).select("det_id", F.format_string("/data/m%d/Round%d/pose.json", "match_id", "round_id").alias("p"))
     return R.with_recording(d, F.col("p")).select("det_id", F.col("match_id").alias("match_name"), "round_id")
 
 
