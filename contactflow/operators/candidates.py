@@ -38,11 +38,12 @@ def window_grid(actions: DataFrame, *, stride: int, pad: int, ratio: float = 1.0
     return d.withColumn("frame", F.explode(F.sequence("_lo", "_hi", F.lit(stride)))).drop("_lo", "_hi")
 
 
-def merge_windows(windows: DataFrame, keys: list[str], gap: int, *, tie: str, size: int = BLOCK) -> DataFrame:
-    """Merge windows that start within ``gap`` frames of the running end.
+def window_groups(windows: DataFrame, keys: list[str], gap: int, size: int = BLOCK) -> DataFrame:
+    """Windows with ``group_start``, the start of the merged window they belong to.
 
-    The running end is a running maximum in start order: computed per block and
-    carried over blocks.
+    A window joins when it starts within ``gap`` frames of the running end. The
+    running end is a running maximum in start order: computed per block and
+    carried over blocks. The members in order spell the merged window's name.
     """
     # windows with one start act as one for the running end
     starts = windows.groupBy(*keys, "window_start").agg(F.max("window_end").alias("end"))
@@ -54,13 +55,16 @@ def merge_windows(windows: DataFrame, keys: list[str], gap: int, *, tie: str, si
     reach = F.greatest("_l", "_c")
     d = d.withColumn("_open", F.when(reach.isNull() | (F.col("window_start") - reach > gap), F.col("window_start")))
     d = forward_fill(d.select(*keys, "window_start", "_open"), keys, "window_start", "_open", "group_start", size=size)
-    g = windows.join(d.select(*keys, "window_start", "group_start"), [*keys, "window_start"])
-    return g.groupBy(*keys, "group_start").agg(
+    return windows.join(d.select(*keys, "window_start", "group_start"), [*keys, "window_start"])
+
+
+def merge_windows(windows: DataFrame, keys: list[str], gap: int, size: int = BLOCK) -> DataFrame:
+    """Merged windows: end, highest confidence, member count and the action names that occur."""
+    return window_groups(windows, keys, gap, size).groupBy(*keys, "group_start").agg(
         F.max("window_end").alias("window_end"), F.max("confidence").alias("confidence"),
         F.count(F.lit(1)).alias("n_windows"),
-        # the merged name is part of the result: member names in start order
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("window_start", tie, "action"))),
-                                 lambda x: x["action"]), "+").alias("action"),
+        # a set over the action vocabulary; the full member order is window_groups
+        F.array_join(F.sort_array(F.collect_set("action")), "+").alias("actions"),
     ).withColumnRenamed("group_start", "window_start")
 
 

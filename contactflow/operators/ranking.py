@@ -14,19 +14,24 @@ def _splits(df: DataFrame, score: str, parts: int) -> list[float]:
     return sorted(set(df.approxQuantile(score, probs, 0.5 / parts))) if probs else []
 
 
+HOT_SCORE = 200_000  # rows sharing one score before their tie order is split
+
+
 def ranked(df: DataFrame, keys: Sequence[str], score: str, *, tie: Sequence[str] = (),
-           parts: int | None = None) -> DataFrame:
-    """Add ``rank_first`` (row_number), ``rank_min``, ``rank_avg`` and ``n`` per key.
+           parts: int | None = None, hot: int = HOT_SCORE) -> DataFrame:
+    """Add ``rank_min``, ``rank_avg``, ``n`` and, given a tie column, ``rank_first`` per key.
 
     Scores are cut at approximate quantiles (any cut is exact, good cuts are
     balanced). Equal scores are counted before ranking, so one repeated score
-    costs one row.
+    costs one row. Rows of a score shared by more than ``hot`` rows get their
+    order from equal slices of the numeric tie column, so no task sorts them all.
     """
     keys = list(keys)
     spark = df.sparkSession
     parts = parts or min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1024)
     # counted once; the cut points and both levels of the scan read the small result
-    counts = cut_lineage(df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_m")))
+    ends = [F.min(tie[0]).alias("_t0"), F.max(tie[0]).alias("_t1")] if tie else []
+    counts = cut_lineage(df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_m"), *ends))
     cuts = _splits(counts, score, parts)
     bucket = F.lit(0)
     if cuts:
@@ -36,19 +41,29 @@ def ranked(df: DataFrame, keys: Sequence[str], score: str, *, tie: Sequence[str]
     w = Window.partitionBy(*keys, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     local = counts.withColumn("_below", F.coalesce(F.sum("_m").over(w), F.lit(0)))
     ws = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wa = Window.partitionBy(*keys)
     sums = counts.groupBy(*keys, "_b").agg(F.sum("_m").alias("_s"))
     sums = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(ws), F.lit(0)).alias("_base"),
-                       F.sum("_s").over(wa).alias("n"))
-    table = (local.join(sums, [*keys, "_b"])
-             .select(*keys, score, "_m", "n",
-                     (F.col("_below") + F.col("_base") + 1).alias("rank_min"))
-             .withColumn("rank_avg", F.col("rank_min") + (F.col("_m") - 1) / 2.0))
+                       F.sum("_s").over(Window.partitionBy(*keys)).alias("n"))
+    table = (local.join(sums, [*keys, "_b"]).drop("_b")
+             .withColumn("rank_min", F.col("_below") + F.col("_base") + 1)
+             .withColumn("rank_avg", F.col("rank_min") + (F.col("_m") - 1) / 2.0).drop("_below", "_base"))
     out = df.join(table, [*keys, score])
-    if tie:
+    if not tie:
+        return out.drop("_m")
+    if counts.where(F.col("_m") > hot).isEmpty():
         inner = Window.partitionBy(*keys, score).orderBy(*tie)
         out = out.withColumn("rank_first", F.col("rank_min") + F.row_number().over(inner) - 1)
-    return out.drop("_m")
+        return out.drop("_m", "_t0", "_t1")
+    slices = F.ceil(F.col("_m") / hot)
+    width = (F.col("_t1") - F.col("_t0") + 1).cast("double") / slices
+    out = out.withColumn("_sl", F.floor((F.col(tie[0]) - F.col("_t0")) / width))
+    base = out.where(F.col("_m") > hot).groupBy(*keys, score, "_sl").agg(F.count(F.lit(1)).alias("_c"))
+    wb = Window.partitionBy(*keys, score).orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
+    base = base.select(*keys, score, "_sl", F.sum("_c").over(wb).alias("_before"))
+    inner = Window.partitionBy(*keys, score, "_sl").orderBy(*tie)
+    out = out.withColumn("_rn", F.row_number().over(inner)).join(base, [*keys, score, "_sl"], "left")
+    out = out.withColumn("rank_first", F.col("rank_min") + F.coalesce("_before", F.lit(0)) + F.col("_rn") - 1)
+    return out.drop("_m", "_t0", "_t1", "_sl", "_rn", "_before")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -53,8 +53,8 @@ def score_configs(detections: DataFrame, truth: DataFrame, keys: Sequence[str],
     t = truth.select(*keys, frame).distinct()
     m = match(detections, with_grid(t, grid), [*keys, *config], tol, "closest_pair", frame=frame)
     c = m.groupBy(*config).agg(F.count("gt_frame").alias("tp"), F.count(F.lit(1)).alias("n_det"))
-    n = t.agg(F.count(F.lit(1)).alias("n_gt"))
-    c = c.crossJoin(F.broadcast(n))  # one row
+    n = with_grid(t, grid).groupBy(*config).agg(F.count(F.lit(1)).alias("n_gt"))
+    c = c.join(n, config)
     return with_prf(c.select(*config, "tp", (F.col("n_det") - F.col("tp")).alias("fp"),
                              (F.col("n_gt") - F.col("tp")).alias("fn")))
 

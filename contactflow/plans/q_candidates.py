@@ -114,14 +114,20 @@ def _(spark, sf):
     return C.window_grid(A.actions(spark, sf), stride=3, pad=5, ratio=1.2, margin=10, last_frame=F.lit(289)).select("action_id", "frame")
 
 
-@query("merged_action_windows", """WITH o AS (SELECT *, max(window_end) OVER (PARTITION BY match_id, round_id ORDER BY window_start, action_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM act),
-  p AS (SELECT *, max(window_end) OVER (PARTITION BY match_id, round_id ORDER BY window_start RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach2 FROM o),
-  g AS (SELECT *, sum(CASE WHEN reach IS NULL OR window_start - reach > 6 THEN 1 ELSE 0 END) OVER (PARTITION BY match_id, round_id ORDER BY window_start, action_id) AS grp FROM p)
-  SELECT match_id, round_id, min(window_start) AS window_start, max(window_end) AS window_end, round(max(confidence),6) AS confidence, count(*) AS n_windows,
-  string_agg(action, '+' ORDER BY window_start, action_id) AS action FROM g GROUP BY match_id, round_id, grp""")
-def _(spark, sf):
-    m = C.merge_windows(A.actions(spark, sf), KEYS, 6, tie="action_id")
-    return m.select(*KEYS, "window_start", "window_end", r6(F.col("confidence"), "confidence"), "n_windows", "action")
+_MERGE = """WITH o AS (SELECT *, max(window_end) OVER (PARTITION BY match_id, round_id ORDER BY window_start, action_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM act),
+  g AS (SELECT *, sum(CASE WHEN reach IS NULL OR window_start - reach > 6 THEN 1 ELSE 0 END) OVER (PARTITION BY match_id, round_id ORDER BY window_start, action_id) AS grp FROM o)"""
+
+
+@query("merged_action_windows", _MERGE + """ SELECT match_id, round_id, min(window_start) AS window_start, max(window_end) AS window_end, round(max(confidence),6) AS confidence, count(*) AS n_windows,
+  array_to_string(list_sort(list(DISTINCT action)), '+') AS actions FROM g GROUP BY match_id, round_id, grp""")
+def _(spark, sf):
+    m = C.merge_windows(A.actions(spark, sf), KEYS, 6)
+    return m.select(*KEYS, "window_start", "window_end", r6(F.col("confidence"), "confidence"), "n_windows", "actions")
+
+
+@query("merged_window_members", _MERGE + " SELECT match_id, round_id, action_id, action, window_start, min(window_start) OVER (PARTITION BY match_id, round_id, grp) AS group_start FROM g")
+def _(spark, sf):
+    return C.window_groups(A.actions(spark, sf), KEYS, 6).select(*KEYS, "action_id", "action", "window_start", "group_start")
 
 
 @query("clip_bounds_seconds", """SELECT action_id, round(CASE WHEN e-s < 1.4 THEN greatest(0.0::DOUBLE, (s+e)/2-0.7) ELSE s END,4) AS start_sec, round(CASE WHEN e-s < 1.4 THEN 1.4 ELSE e-s END,4) AS dur_sec FROM (

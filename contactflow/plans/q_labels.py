@@ -75,7 +75,8 @@ def _(spark, sf):
     w = L.class_weights(live(spark, sf).where("label is not null"), "label")
     g = w.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("weight"), 8).alias("weight"))
     neg, pos = F.max(F.when(F.col("label") == "not_impact", F.col("n"))), F.max(F.when(F.col("label") == "impact", F.col("n")))
-    return g.crossJoin(F.broadcast(g.agg(F.round(neg / pos, 6).alias("pos_weight"))))  # one row
+    two = g.agg(F.collect_list(F.struct("label", "n", "weight")).alias("c"), F.round(neg / pos, 6).alias("pos_weight"))  # two classes
+    return two.select(F.explode("c").alias("c"), "pos_weight").select("c.*", "pos_weight")
 
 
 @query("merged_parts", """WITH p AS (SELECT match_id, round_id, event_id, frame//60+1 AS part, frame%60+1 AS local_frame, value FROM hev) SELECT match_id, round_id, CAST((part-1)*60+(local_frame-1) AS INTEGER) AS frame, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM p GROUP BY match_id, round_id, part, local_frame""")

@@ -137,7 +137,7 @@ def test_merge_windows_crosses_blocks(spark):
             want[-1][1] = max(want[-1][1], e)
         else:
             want.append([s, e])
-    got = sorted([x.window_start, x.window_end] for x in merge_windows(d, ["k"], 3, tie="id", size=16).collect())
+    got = sorted([x.window_start, x.window_end] for x in merge_windows(d, ["k"], 3, size=16).collect())
     assert got == want
 
 
@@ -149,3 +149,14 @@ def test_prominence_looks_as_far_as_needed(spark):
     peak = sig.where("f = 100")
     assert prominent(peak, sig, ["k"], "f", "v", 0.3, first_reach=4, growth=4).count() == 1
     assert prominent(peak, sig, ["k"], "f", "v", 0.55, first_reach=4, growth=4).count() == 0
+
+
+def test_ranks_split_a_hot_score(spark):
+    from contactflow.operators.ranking import ranked
+    r = random.Random(19)
+    data = [(1, 0.0 if r.random() < 0.7 else r.random(), i) for i in range(600)]
+    r.shuffle(data)
+    d = spark.createDataFrame(data, "k int, s double, id long")
+    want = {i: n for n, (_, i) in enumerate(sorted((s, i) for _, s, i in data), 1)}
+    for hot in (50, 10_000):
+        assert {x.id: x.rank_first for x in ranked(d, ["k"], "s", tie=["id"], hot=hot).collect()} == want
