@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from contactflow.functions import geometry as G
 from contactflow.functions import kinematics as K
 from contactflow.functions.scoring import weighted_sum
-from contactflow.operators.ordering import blocked
+from contactflow.operators.ordering import Blocked, blocked
 from contactflow.schema import WEIGHTS, JointProfile
 
 TRACK = ["match_id", "round_id", "track_id"]
@@ -28,25 +28,25 @@ def arm_contact_ratio(striker: Column, receiver: Column, profile: JointProfile)
     return F.coalesce(best["ratio"], F.lit(1.0))
 
 
-def head_steps(boxes: DataFrame) -> DataFrame:
-    """Head-point step to the previous frame (exact frame), raw and over box height."""
-    b = blocked(boxes, TRACK, "frame", before=1, after=0)
+def head_steps(b: Blocked) -> DataFrame:
+    """Adds the head-point step to the previous frame (exact frame), raw and over box height.
+
+    Works inside the given blocks, whose halo must hold one more frame than the
+    windows that follow; so steps and windows share one shuffle.
+    """
     box = F.col("bbox")
-    top = G.point((box["x1"] + box["x2"]) / 2, box["y1"])
-    d = b.df.withColumn("_h", G.box_head(box)).withColumn("_t", top)
+    d = b.df.withColumn("_h", G.box_head(box)).withColumn("_t", G.point((box["x1"] + box["x2"]) / 2, box["y1"]))
     d = d.withColumn("_ph", b.at(F.col("_h"), -1)).withColumn("_pt", b.at(F.col("_t"), -1))
-    d = b.core(d)
     return d.withColumn("head_step", G.dist(F.col("_h"), F.col("_ph"))).withColumn(
         "snap", G.dist(F.col("_t"), F.col("_pt")) / F.greatest(F.lit(1.0), box["y2"] - box["y1"])).drop("_h", "_t", "_ph", "_pt")
 
 
 def box_snap(boxes: DataFrame, after: int = 8) -> DataFrame:
     """Peak head-level speed after a frame relative to the speed just before it."""
-    s = head_steps(boxes)
-    b = blocked(s, TRACK, "frame", before=2, after=after)
+    b = blocked(boxes, TRACK, "frame", before=3, after=after)
     base = F.coalesce(F.avg("snap").over(b.span(-2, 0)), F.lit(0.02))
     peak = F.coalesce(F.max("snap").over(b.span(1, after)), F.lit(0.0))
-    d = b.df.withColumn("_r", peak / F.greatest(base, F.lit(0.005)))
+    d = head_steps(b).withColumn("_r", peak / F.greatest(base, F.lit(0.005)))
     return b.core(d.withColumn("g_bbox_react", K.clip01((F.col("_r") - 1.0) / 4.0))).drop("_r", "snap", "head_step")
 
 
@@ -55,10 +55,9 @@ def receiver_motion(boxes: DataFrame) -> DataFrame:
 
     A window of positions a..b contributes the steps a+1..b, both ends inside it.
     """
-    s = head_steps(boxes)
-    b = blocked(s, TRACK, "frame", before=6, after=7)
+    b = blocked(boxes, TRACK, "frame", before=6, after=7)
     mean = lambda lo, hi: F.coalesce(F.avg("head_step").over(b.span(lo, hi)), F.lit(0.0))
-    d = (b.df.withColumn("motion_pre", mean(-5, 0)).withColumn("motion_post", mean(2, 7))
+    d = (head_steps(b).withColumn("motion_pre", mean(-5, 0)).withColumn("motion_post", mean(2, 7))
          .withColumn("_vb", mean(-4, -2)).withColumn("_va", mean(3, 5)))
     d = b.core(d)
     return d.select(*TRACK, "frame", "motion_pre", "motion_post",

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -35,6 +35,14 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def utc_instant(ts: str) -> Column:
+    """A zone-less timestamp read as UTC, whatever the session's time zone."""
+    day = F.datediff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    clock = (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("long")
+    second = F.expr(f"extract(second from {ts})")
+    return F.timestamp_micros((day * 86400 + clock) * 1000000 + (second * 1000000).cast("long"))
+
+
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream, on the same frame axis as the batch adapter."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -43,7 +51,7 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) * 24 + F.hour("ts")
     return e.select("event_id", F.col("user_id").alias("match_id"), F.floor(h / 240).cast("int").alias("round_id"),
                     F.pmod(h, F.lit(240)).cast("int").alias("frame"), "event_type", "value",
-                    F.col("ts").cast("timestamp").alias("ts"))
+                    utc_instant("ts").alias("ts"))
 
 
 # ---- two-level cooldown

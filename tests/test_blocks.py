@@ -160,3 +160,15 @@ def test_ranks_split_a_hot_score(spark):
     want = {i: n for n, (_, i) in enumerate(sorted((s, i) for _, s, i in data), 1)}
     for hot in (50, 10_000):
         assert {x.id: x.rank_first for x in ranked(d, ["k"], "s", tie=["id"], hot=hot).collect()} == want
+
+
+def test_steps_are_exact_at_block_edges(spark, monkeypatch):
+    from contactflow.operators import gates_extra as GX
+    r = random.Random(23)
+    data = [(1, 0, 0, f, (r.random() * 50, 0.0, 60.0, 100.0)) for f in range(300) if r.random() < 0.9]
+    d = spark.createDataFrame(data, "match_id int, round_id int, track_id int, frame int, bbox struct<x1:double,y1:double,x2:double,y2:double>")
+    whole = {x.frame: (x.motion_pre, x.motion_post, x.head_accel) for x in GX.receiver_motion(d).collect()}
+    snap = {x.frame: x.g_bbox_react for x in GX.box_snap(d).collect()}
+    monkeypatch.setattr(GX, "blocked", lambda *a, **k: O.blocked(*a, **k, size=20))
+    assert {x.frame: (x.motion_pre, x.motion_post, x.head_accel) for x in GX.receiver_motion(d).collect()} == whole
+    assert {x.frame: x.g_bbox_react for x in GX.box_snap(d).collect()} == snap
