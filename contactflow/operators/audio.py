@@ -113,19 +113,20 @@ def local_peaks(df: DataFrame, keys: Sequence[str], frame: str, value: str, heig
     return d.where((F.col(value) > F.col("_p")) & (F.col(value) > F.col("_n")) & (F.col(value) >= height)).drop("_p", "_n")
 
 
-def _side(peaks: DataFrame, signal: DataFrame, keys: list[str], frame: str, value: str, reach: int, sign: int) -> DataFrame:
-    """Lowest sample between each peak and the nearest higher one on one side within reach."""
+def _sides(peaks: DataFrame, signal: DataFrame, keys: list[str], frame: str, value: str, reach: int) -> DataFrame:
+    """Per peak and side: offset of the nearest higher sample within reach, lowest sample before it."""
     s = signal.select(*keys, F.col(frame).alias("_f"), F.col(value).alias("_v"))
-    lo, hi = (-reach, -1) if sign < 0 else (1, reach)
     p = peaks.select(*keys, frame, F.col(value).alias("_pv"))
-    pairs = band_join(p, s, keys, left_on=frame, right_on="_f", lo=lo, hi=hi)
-    off = F.abs(F.col("_f") - F.col(frame))
+    pairs = band_join(p, s, keys, left_on=frame, right_on="_f", lo=-reach, hi=reach)
+    off = F.col("_f") - F.col(frame)
+    left, right = off < 0, off > 0
+    higher = F.col("_v") > F.col("_pv")
     # first pass: where a higher sample blocks the view
-    stop = pairs.groupBy(*keys, frame).agg(F.min(F.when(F.col("_v") > F.col("_pv"), off)).alias("_stop"),
-                                           F.count(F.lit(1)).alias("_seen"))
-    mins = (pairs.join(stop, [*keys, frame]).where(F.col("_stop").isNull() | (off < F.col("_stop")))
-            .groupBy(*keys, frame).agg(F.min("_v").alias("_min")))
-    return stop.join(mins, [*keys, frame], "left")
+    stop = pairs.groupBy(*keys, frame).agg(F.min(F.when(left & higher, -off)).alias("_ls"), F.min(F.when(right & higher, off)).alias("_rs"))
+    seen = pairs.join(stop, [*keys, frame])
+    low = lambda side, dist, stop_at: F.min(F.when(side & (F.col(stop_at).isNull() | (dist < F.col(stop_at))), F.col("_v")))
+    return seen.groupBy(*keys, frame).agg(F.first("_ls").alias("_ls"), F.first("_rs").alias("_rs"),
+                                          low(left, -off, "_ls").alias("_lm"), low(right, off, "_rs").alias("_rm"))
 
 
 def prominent(peaks: DataFrame, signal: DataFrame, keys: Sequence[str], frame: str, value: str, needed: float,
@@ -140,9 +141,7 @@ def prominent(peaks: DataFrame, signal: DataFrame, keys: Sequence[str], frame: s
     open_, kept, reach = peaks.join(span, keys), None, first_reach
     cols = peaks.columns
     while True:
-        l = _side(open_, signal, keys, frame, value, reach, -1).select(*keys, frame, F.col("_stop").alias("_ls"), F.col("_min").alias("_lm"))
-        r = _side(open_, signal, keys, frame, value, reach, 1).select(*keys, frame, F.col("_stop").alias("_rs"), F.col("_min").alias("_rm"))
-        d = open_.join(l, [*keys, frame], "left").join(r, [*keys, frame], "left")
+        d = open_.join(_sides(open_, signal, keys, frame, value, reach), [*keys, frame], "left")
         fell = lambda m: F.coalesce(F.col(value) - F.col(m) >= needed, F.lit(False))
         done_l = fell("_lm") | F.col("_ls").isNotNull() | (F.col(frame) - reach <= F.col("_lo"))
         done_r = fell("_rm") | F.col("_rs").isNotNull() | (F.col(frame) + reach >= F.col("_hi"))

@@ -4,19 +4,28 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactflow.operators.ordering import blocked, densify, forward_fill
+from contactflow.operators.ordering import BLOCK, blocked, densify, two_level_scan
 
 
-def interpolate(df: DataFrame, keys: Sequence[str], frame: str, value: str) -> DataFrame:
+def interpolate(df: DataFrame, keys: Sequence[str], frame: str, value: str, size: int = BLOCK) -> DataFrame:
     """Dense frames between each key's ends, missing values linearly interpolated."""
     keys = list(keys)
     d = densify(df.select(*keys, frame, value), keys, frame)
     d = d.withColumn("_k", F.when(F.col(value).isNotNull(), F.struct(F.col(frame).alias("f"), F.col(value).alias("v"))))
-    d = forward_fill(d, keys, frame, "_k", "_p")
-    d = forward_fill(d, keys, frame, "_k", "_n", descending=True)
+    # both neighbours in one scan: the same blocks and the same sort serve either direction
+    known = F.when(F.col("_k").isNotNull(), F.col(frame))
+    before, after = Window.unboundedPreceding, Window.unboundedFollowing
+    d = two_level_scan(
+        d, keys, frame, size=size,
+        local={"_lp": lambda w: F.last("_k", ignorenulls=True).over(w.rowsBetween(before, 0)),
+               "_ln": lambda w: F.first("_k", ignorenulls=True).over(w.rowsBetween(0, after))},
+        summary={"_sp": F.max_by("_k", known), "_sn": F.min_by("_k", known)},
+        carry={"_cp": lambda w: F.last("_sp", ignorenulls=True).over(w),
+               "_cn": lambda w: F.first("_sn", ignorenulls=True).over(w.rowsBetween(1, after))})
+    d = d.withColumn("_p", F.coalesce("_lp", "_cp")).withColumn("_n", F.coalesce("_ln", "_cn"))
     span = (F.col("_n.f") - F.col("_p.f")).cast("double")
     lerp = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (F.col(frame) - F.col("_p.f")) / F.nullif(span, F.lit(0.0))
     return d.select(*keys, frame, F.coalesce(F.col(value), lerp, F.col("_p.v"), F.col("_n.v")).alias(value))
@@ -52,5 +61,9 @@ def gaussian_smooth(df: DataFrame, keys: Sequence[str], frame: str, value: str,
         return (inside(f) + F.when(f > lo, inside(2 * lo - f)).otherwise(0.0)
                 + F.when(f < hi, inside(2 * hi - f)).otherwise(0.0))
 
-    s = F.aggregate(F.transform("_w", lambda p: weight(p["f"]) * p["v"]), F.lit(0.0), lambda a, v: a + v)
+    add = lambda a, v: a + v
+    # away from the ends the window lines up with the kernel; only end rows need reflected weights
+    inner = F.aggregate(F.zip_with("_w", lit, lambda p, k: p["v"] * k), F.lit(0.0), add)
+    edge = F.aggregate(F.transform("_w", lambda p: weight(p["f"]) * p["v"]), F.lit(0.0), add)
+    s = F.when(F.size("_w") == len(kernel), inner).otherwise(edge)
     return b.core(x.withColumn(out, s)).drop("_w", "_lo", "_hi")

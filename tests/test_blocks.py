@@ -172,3 +172,17 @@ def test_steps_are_exact_at_block_edges(spark, monkeypatch):
     monkeypatch.setattr(GX, "blocked", lambda *a, **k: O.blocked(*a, **k, size=20))
     assert {x.frame: (x.motion_pre, x.motion_post, x.head_accel) for x in GX.receiver_motion(d).collect()} == whole
     assert {x.frame: x.g_bbox_react for x in GX.box_snap(d).collect()} == snap
+
+
+def test_interpolation_crosses_blocks(spark):
+    import numpy as np
+    from contactflow.operators.smoothing import interpolate
+    r = random.Random(29)
+    known = sorted(r.sample(range(300), 25))
+    vals = {f: float(r.randrange(100)) for f in known}
+    d = spark.createDataFrame([(1, f, v) for f, v in vals.items()], "k int, frame int, v double")
+    got = {x.frame: x.v for x in interpolate(d, ["k"], "frame", "v", size=8).collect()}
+    axis = np.arange(known[0], known[-1] + 1)
+    want = np.interp(axis, known, [vals[f] for f in known])
+    assert sorted(got) == axis.tolist()
+    assert [got[f] for f in axis.tolist()] == pytest.approx(want.tolist())
