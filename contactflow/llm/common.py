@@ -46,8 +46,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text, in order; none for null."""
-    parts = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES)), SPACE_RUN)
-    return F.filter(parts, lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE_RUN))
 
 
 def text_key(text: Column) -> Column:

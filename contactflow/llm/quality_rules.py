@@ -9,7 +9,7 @@ left to it hold less than `min_left` of the words of its distinct lines.
 
 Scale: the counts are two-level aggregates on (host, line, document), so a hot host or a hot line is spread and
 combined before it is shuffled. Lines over the limit and depleted texts are written tables; the joins
-against them broadcast only below Spark's size threshold. The texts themselves are never shuffled.
+against them broadcast only below Spark's size threshold. `judge` shuffles texts only where depleted texts exceed that size.
 
 Edge cases: a null text has no words and fails the base rules. A null host is a host of its own. Rows with
 equal host and text get equal verdicts, whatever their ids (null or repeated). Extra columns are kept by
@@ -41,14 +41,14 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     out = docs.withColumns({
         "_w": words(F.col(text)),
         "_l": lines,
-        "word_chars": count(F.length(F.translate(t, SPACES, ""))),
-        "n_symbols": count(F.length(t) - F.length(F.translate(t, SYMBOLS, ""))),
+        "n_symbols": count(F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", ""))),
     })
     w = F.col("_w")
     windows = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(
         F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))))
     out = out.withColumns({
         "n_words": count(F.size(w)),
+        "word_chars": count(F.length(F.array_join(w, ""))),
         "n_dup_lines": count(F.size("_l") - F.size(F.array_distinct("_l"))),
         "_s": F.sort_array(windows),
     }).withColumn("_p", _repeated_words(w, F.col("_s")))
@@ -60,15 +60,17 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _lines(docs: DataFrame, host: str, text: str) -> DataFrame:
-    """A row for each distinct normalised line of each text: host, key of the text, key of its longest line, hash, words."""
-    squeezed = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " "), "[0-9]+", "0")
+    """A row for each distinct normalised line of each text: host, key of the text, key of its longest line, words of its distinct lines, hash, words."""
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    squeezed = F.regexp_replace(F.regexp_replace(lower, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " "), "[0-9]+", "0")
     lines = F.array_distinct(F.filter(F.transform(F.split(squeezed, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    count = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
     longest = F.array_max(F.transform("lines", lambda x: F.named_struct(F.lit("n"), F.length(x), F.lit("x"), x)))["x"]
+    total = F.aggregate("lines", F.lit(0), lambda a, x: a + count(x))
     return (
         docs.select(F.col(host).alias("host"), text_key(F.col(text)).alias("doc"), lines.alias("lines"))
-        .select("host", "doc", F.xxhash64(longest).alias("copy"), F.explode("lines").alias("line"))
-        .select("host", "doc", "copy", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"),
-                (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("n"))
+        .select("host", "doc", F.xxhash64(longest).alias("copy"), total.alias("total"), F.explode("lines").alias("line"))
+        .select("host", "doc", "copy", "total", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), count(F.col("line")).alias("n"))
     )
 
 
@@ -85,12 +87,9 @@ def depleted_texts(docs: DataFrame, host: str = "source", text: str = "text", mi
     bad = written(frequent_lines(docs, host, text, **limits), "frequent-lines").select(F.col("host").alias("bh"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
     rows = _lines(docs, host, text)
     lost = rows.join(bad, rows.host.eqNullSafe(F.col("bh")) & (rows.h1 == F.col("b1")) & (rows.h2 == F.col("b2")), "left_semi")
-    lost = lost.groupBy("host", "doc", "h1", "h2").agg(F.max("n").alias("n")).groupBy("host", "doc").agg(F.sum("n").alias("lost"))
-    lost = written(lost, "lost-words").select(F.col("host").alias("lh"), F.col("doc").alias("ld"), "lost")
-    total = rows.select("host", "doc", "h1", "h2", "n").join(lost, rows.host.eqNullSafe(F.col("lh")) & (rows.doc == F.col("ld")))
-    total = total.groupBy("host", "doc", "h1", "h2").agg(F.max("n").alias("n"), F.max("lost").alias("lost"))
-    total = total.groupBy("host", "doc").agg(F.sum("n").alias("n"), F.max("lost").alias("lost"))
-    return written(total.filter(F.col("n") - F.col("lost") < min_left * F.col("n")).select("host", "doc", "lost"), "depleted")
+    lost = lost.groupBy("host", "doc", "h1", "h2").agg(F.max("n").alias("n"), F.max("total").alias("total"))
+    lost = lost.groupBy("host", "doc").agg(F.sum("n").alias("lost"), F.max("total").alias("total"))
+    return written(lost.filter(F.col("total") - F.col("lost") < min_left * F.col("total")).select("host", "doc", "lost"), "depleted")
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from contactflow.llm import decontamination, line_dedup, packing, quality_rules, simhash
+from contactflow.llm import decontamination, html_extract, language_id, line_dedup, packing, quality_rules, simhash, toxicity, warc_index
 from contactflow.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +87,42 @@ FROM l LEFT JOIN marks m USING (doc_id, p) GROUP BY doc_id
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.remove(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+#: Base32 of a SHA-1 in SQL: 160 bits, five at a time.
+SQL_BASE32 = """list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum([CASE WHEN substr(bits, 5 * k + j + 1, 1) = '1' THEN (16 >> j) ELSE 0 END
+ for j in [0, 1, 2, 3, 4]])::INT, 1) for k in range(32)], 'string_agg', '')"""
+
+
+@query("op2_warc_index", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+t AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS top,
+  list_aggregate([lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0') for c in string_split(sha1(html), '')], 'string_agg', '') AS bits FROM p)
+SELECT page_id, payload_bytes, {SQL_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM t
+""")
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc_index.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_html_extraction")
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(language_id.fold("doc_id", 5) == 0, F.lit(False))
+    model = language_id.train(docs.filter(~held_out))
+    return language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(language_id.fold("doc_id", 3) == 1, F.lit(False))
+    model = toxicity.train(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.predict(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted")
