@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactflow.llm import decontamination, html_extract, language_id, line_dedup, packing, quality_rules, simhash, toxicity, warc_index
+from contactflow.llm import decontamination, html_extract, language_id, line_dedup, packing, perplexity, quality_rules, simhash, toxicity, warc_index
 from contactflow.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(language_id.fold("doc_id", 3) == 1, F.lit(False))
     model = toxicity.train(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
     return toxicity.predict(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op3_kneser_ney")
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    return perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), trusted)

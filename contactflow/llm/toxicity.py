@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A text's lower-cased words are cut into windows of WINDOW words, each STRIDE after the one before, so all words are scored
-and most of them twice. A word enters as an embedding (words of the training sample; any other word has the unknown word's) plus the mean
+and windows overlap. A word enters as an embedding (words of the training sample; any other word has the unknown word's) plus the mean
 of hashed character-trigram embeddings. Two gated recurrent units read the window forwards and backwards, attention pools their
 states, a logistic layer scores the window; a text's score is its highest window's.
 
@@ -26,8 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, STRIDE, WIDTH, HIDDEN, TRIGRAMS, ATTENTION = 48, 32, 8, 8, 4096, 8
-BATCH, SAMPLE, SAMPLE_WINDOWS, MIN_COUNT, VOCABULARY, EPOCHS, RATE, THRESHOLD = 1024, 1500, 16, 3, 20_000, 7, 0.01, 0.7
+WINDOW, STRIDE, WIDTH, HIDDEN, TRIGRAMS, ATTENTION = 48, 40, 8, 8, 4096, 8
+BATCH, SAMPLE, SAMPLE_WINDOWS, MIN_COUNT, VOCABULARY, EPOCHS, RATE, THRESHOLD = 1024, 1000, 16, 3, 20_000, 5, 0.01, 0.7
 WORD = re.compile(r"[^\W_]+(?:['’*@$][^\W_]+)*")
 Model = dict[str, object]
 
@@ -57,7 +57,8 @@ def start(vocabulary: list[str], seed: int = 11) -> Model:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
 
 
 class Words:
