@@ -149,7 +149,7 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def tokenizer(path: str, remembered: int = 600_000) -> Callable[[str], bytes]:
+def tokenizer(path: str, remembered: int = 1_000_000) -> Callable[[str], bytes]:
     """ids of a text (little-endian 32-bit) under a byte-level BPE file of the tokenizers library, without added special tokens.
 
     Where a space stands between two other characters that are no white space a pre-token begins, so such a text is its
@@ -170,11 +170,15 @@ def tokenizer(path: str, remembered: int = 600_000) -> Callable[[str], bytes]:
     whole, plain = encoding.encode, encoding.encode_ordinary
     odd = re.compile("|".join([r" \s", r"\s ", "^ ", " $", *map(re.escape, special)]))
 
+    marked = re.compile(r"([^\W\d_]+)([.,;:!?]+)")  # letters, then marks: two pre-tokens
+
     class Known(dict):
         def __missing__(self, chunk: str) -> bytes:
             if len(self) >= remembered:
                 self.clear()
-            self[chunk] = ids = array("I", plain(" " + chunk)).tobytes()
+            m = marked.fullmatch(chunk)
+            ids = self[m[1]] + array("I", plain(m[2])).tobytes() if m else array("I", plain(" " + chunk)).tobytes()
+            self[chunk] = ids
             return ids
 
     known = Known()
