@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from contactflow.llm.common import SPACES, text_key, words, written
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED, MIN_DOCS, HOST_SHARE, MIN_LEFT = 50, 0.5, 10, 0.002, 0.5
 
@@ -34,7 +35,10 @@ def _repeated_words(w: Column, s: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to every row."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to every row (columns of these names are replaced).
+
+    The measures leave through one exploded struct: a filter on them is then not pushed below, where the optimizer would repeat
+    their array expressions for every element."""
     t = F.coalesce(F.col(text), F.lit(""))
     count = lambda c: c.cast("long")
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
@@ -56,7 +60,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     steps = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
     out = out.withColumn("n_repeat_words", F.coalesce(F.aggregate(steps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_w", "_l", "_s", "_p")
+    made = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]
+    return out.select(*own, F.explode(F.array(made)).alias("_m")).select(*own, "_m.*")
 
 
 def _lines(docs: DataFrame, host: str, text: str) -> DataFrame:
