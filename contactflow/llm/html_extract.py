@@ -4,7 +4,7 @@
 2. Per host, tokens that occur equally often on every page share an occurrence vector. The vector is held as sums of
    hash(page, count), so tokens are grouped by two aggregates that combine before their shuffles; no host's pages meet in one task.
    A class is kept when it is large (MIN_SIZE tokens) and frequent (MIN_PAGES pages and MIN_SHARE of the host's).
-3. On a page, classes are nested into the template: in order of support, a class is valid where its tokens stand in
+3. On a page, classes are nested into the template: in order of support (once-a-page tokens first), a class is valid where its tokens stand in
    their template order and within one slot of the tokens placed before. Valid text tokens are template text.
 4. What lies between template tokens are slots. Slots in an article (or main) element hold the text, whole; without such an element
    all slots do, less template text and blocks that are mostly links. Menus, site headers, footers, sidebars,
@@ -138,32 +138,33 @@ def _vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def templates(pages: DataFrame, url: str = "url", text: str = "html", min_size: int = MIN_SIZE, min_pages: int = MIN_PAGES,
               min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, template): the classes' tokens as an array of (support, class, mean place, token), most supported first.
+    """(host, template): the classes' tokens as an array of (support, times, class, mean place, token), most supported and, among
+    those, least repeated first.
 
     host is the hash of the host's name. An occurrence vector is two sums of 32 bits of hash(page, count)."""
     keyed = pages.select(F.xxhash64(host_of(F.col(url))).alias("host"), F.xxhash64(F.col(text)).alias("page"), F.col(text).alias("html"))
     rows = keyed.mapInPandas(_vectors, "host long, token long, n long, place long, page long")
     h = F.xxhash64("page", "n")
     vector = F.struct(F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("a"), F.sum(F.shiftrightunsigned(h, 32)).alias("b"))
-    by = rows.groupBy("host", "token").agg(F.xxhash64(vector).alias("v"), F.count(F.lit(1)).alias("pages"), F.avg("place").alias("place"))
+    by = rows.groupBy("host", "token").agg(F.xxhash64(vector).alias("v"), F.count(F.lit(1)).alias("pages"), F.avg("place").alias("place"), F.sum("n").alias("times"))
     hosts = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     often = by.filter(F.col("pages") >= min_pages).join(hosts, "host").filter(F.col("pages") >= min_share * F.col("total"))
-    classes = often.groupBy("host", "v", "pages").agg(F.collect_list(F.struct("place", "token")).alias("members")).filter(F.size("members") >= min_size)
-    flat = classes.select("host", "pages", "v", F.explode("members").alias("m"))
-    item = F.struct((-F.col("pages")).alias("support"), F.col("v").alias("kind"), F.col("m.place").alias("place"), F.col("m.token").alias("token"))
+    classes = often.groupBy("host", "v", "pages", "times").agg(F.collect_list(F.struct("place", "token")).alias("members")).filter(F.size("members") >= min_size)
+    flat = classes.select("host", "pages", "times", "v", F.explode("members").alias("m"))
+    item = F.struct((-F.col("pages")).alias("support"), F.col("times"), F.col("v").alias("kind"), F.col("m.place").alias("place"), F.col("m.token").alias("token"))
     return flat.groupBy("host").agg(F.sort_array(F.collect_list(item)).alias("template"))
 
 
-def nest(codes: list[int], template: list[tuple[int, int, float, int]]) -> set[int]:
+def nest(codes: list[int], template: list[tuple[int, int, int, float, int]]) -> set[int]:
     """Tokens of the template that are valid on a page: class by class, each in its order and in one slot of those placed before."""
     first: dict[int, int] = {}
     for k, c in enumerate(codes):
         first.setdefault(c, k)
     placed: list[int] = []
     valid: set[int] = set()
-    groups: dict[tuple[int, int], list[int]] = {}
-    for support, kind, _, token in template:
-        groups.setdefault((support, kind), []).append(token)
+    groups: dict[tuple[int, int, int], list[int]] = {}
+    for support, times, kind, _, token in template:
+        groups.setdefault((support, times, kind), []).append(token)
     from bisect import bisect_left, insort
 
     for members in groups.values():
@@ -178,7 +179,7 @@ def nest(codes: list[int], template: list[tuple[int, int, float, int]]) -> set[i
     return valid
 
 
-def main_text(html: str | None, template: list[tuple[int, int, float, int]] | None = None) -> str:
+def main_text(html: str | None, template: list[tuple[int, int, int, float, int]] | None = None) -> str:
     tokens = read(html)
     if any(t[0] == "text" and t[2] for t in tokens) or any(t[0] == "tag" and t[1].split(" ")[0] in MAIN for t in tokens):
         return "\n".join(t[1] for t in tokens if t[0] == "text" and t[2] and not t[3])
@@ -196,7 +197,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", column: str
     def texts(page: pd.Series, template: pd.Series) -> pd.Series:
         out = []
         for p, t in zip(page, template, strict=True):
-            items = None if t is None else [(x["support"], x["kind"], x["place"], x["token"]) for x in t]
+            items = None if t is None else [(x["support"], x["times"], x["kind"], x["place"], x["token"]) for x in t]
             out.append(main_text(p, items))
         return pd.Series(out, dtype=object)
 
