@@ -75,7 +75,8 @@ def _lines(docs: DataFrame, host: str, text: str) -> DataFrame:
     total = F.aggregate("lines", F.lit(0), lambda a, x: a + count(x))
     return (
         docs.select(F.col(host).alias("host"), text_key(F.col(text)).alias("doc"), lines.alias("lines"))
-        .select("host", "doc", F.xxhash64(longest).alias("copy"), total.alias("total"), F.explode("lines").alias("line"))
+        .select("host", "doc", F.xxhash64(longest).alias("copy"), total.alias("total"), "lines")
+        .select("host", "doc", "copy", "total", F.explode("lines").alias("line"))  # apart, or all is computed for each line
         .select("host", "doc", "copy", "total", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), count(F.col("line")).alias("n"))
     )
 
