@@ -103,10 +103,11 @@ def in_box(p: Column, b: Column, margin: float = 0.0) -> Column:
 
 
 def outside_distance(p: Column, b: Column) -> Column:
-    """Distance from a point to a box; zero inside."""
+    """Distance from a point to a box; zero inside, NULL if a coordinate is missing (``greatest`` skips NULL)."""
     dx = F.greatest(b["x1"] - p["x"], F.lit(0.0), p["x"] - b["x2"])
     dy = F.greatest(b["y1"] - p["y"], F.lit(0.0), p["y"] - b["y2"])
-    return norm([dx, dy])
+    there = p["x"].isNotNull() & p["y"].isNotNull() & b["x1"].isNotNull() & b["y1"].isNotNull() & b["x2"].isNotNull() & b["y2"].isNotNull()
+    return F.when(there, norm([dx, dy]))
 
 
 def padded_square_side(a: Column, b: Column, factor: float = 1.4, floor: float = 200.0) -> Column:

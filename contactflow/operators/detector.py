@@ -19,7 +19,7 @@ def contact_prior(candidates: DataFrame, contacts: DataFrame, *, frame: str, win
     """Most probable contact event of the same direction near each candidate."""
     # one contact per (direction, frame) is enough for an arg-max
     per_frame = (contacts.groupBy(*KEYS, "striker_id", "receiver_id", "ce_frame")
-                 .agg(F.min(F.struct((-F.col("contact_prob")).alias("np"), "contact_region")).alias("_c"))
+                 .agg(F.min(F.when(F.col("contact_prob").isNotNull(), F.struct((-F.col("contact_prob")).alias("np"), "contact_region"))).alias("_c"))
                  .select(*KEYS, "striker_id", "receiver_id", "ce_frame",
                          (-F.col("_c.np")).alias("contact_prob"), "_c.contact_region"))
     return best_in_band(candidates, per_frame, [*KEYS, "striker_id", "receiver_id"],
@@ -29,11 +29,11 @@ def contact_prior(candidates: DataFrame, contacts: DataFrame, *, frame: str, win
 
 
 def anchor_actions(actions: DataFrame, gates: DataFrame, before: int = 3, after: int = 5) -> DataFrame:
-    """The frame of smallest gap inside each padded action window (earliest on ties)."""
+    """The frame of smallest gap inside each padded action window (earliest on ties); frames without a gap are skipped."""
     a = actions.withColumnRenamed("fighter_id", "striker_id")
     rest = [c for c in a.columns if c not in (*KEYS, "striker_id")]
     cols = [c for c in gates.columns if c not in (*KEYS, "striker_id", "frame", "gap")]
-    j = interval_join(a, gates, [*KEYS, "striker_id"], start="window_start", end="window_end",
+    j = interval_join(a, gates.where(F.col("gap").isNotNull()), [*KEYS, "striker_id"], start="window_start", end="window_end",
                       before=before, after=after)
     best = j.groupBy(*KEYS, "striker_id", *rest).agg(
         F.min(F.struct("gap", "frame", *cols)).alias("b"))

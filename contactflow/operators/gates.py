@@ -76,7 +76,8 @@ def pair_frames(hot: DataFrame) -> DataFrame:
          .withColumn("_td", G.min_dist(wrists, F.col("r.torso_pts"))))
     head_d, torso_d = F.col("_hd"), F.col("_td")
     dl, dr = G.dist(F.col("s.lw"), F.col("r.head")), G.dist(F.col("s.rw"), F.col("r.head"))
-    punch = F.when(dr < dl, F.col("s.rw")).otherwise(F.col("s.lw"))
+    right = (dr < dl) | (dl.isNull() & dr.isNotNull())  # a missing wrist is never the punching one
+    punch = F.when(right, F.col("s.rw")).otherwise(F.col("s.lw"))
     p = p.withColumn("_punch", punch)
     guard = F.least(*[G.segment_distance(F.col(f"r.{g}"), F.col("_punch"), F.col("r.head"))
                       for g in ("le", "re", "rw", "lw")])

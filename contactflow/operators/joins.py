@@ -29,6 +29,11 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *,
     raise ValueError(f"unsupported how={how!r}; see best_in_band / matched_in_band")
 
 
+def least(order: Sequence[Column], *keep: Column) -> Column:
+    """Arg-min by ``order``; a row whose first order column is NULL never wins (NULL if there is no other)."""
+    return F.min(F.when(order[0].isNotNull(), F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], *keep)))
+
+
 def best_in_band(left: DataFrame, right: DataFrame, keys: Sequence[str], *,
                  left_on: str, right_on: str, lo: float, hi: float,
                  order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
@@ -44,8 +49,7 @@ def best_in_band(left: DataFrame, right: DataFrame, keys: Sequence[str], *,
     spots = left.select(*keys, left_on).distinct()
     pairs = band_join(spots, right, keys, left_on=left_on, right_on=right_on, lo=lo, hi=hi)
     best = pairs.groupBy(*keys, left_on).agg(
-        F.min(F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)],
-                       *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])).alias("_best"))
+        least(order, *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]).alias("_best"))
     out = left.join(best, [*keys, left_on], "left")
     for i, c in enumerate(keep):
         out = out.withColumn(c, F.col(f"_best._k{i}"))

@@ -123,11 +123,11 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: str, value: Column,
                  *, size: int = BLOCK) -> DataFrame:
     """Value of the preceding available row (row-based lag, any gap)."""
     d = two_level_scan(
-        df.withColumn("_v", value), keys, order, size=size,
+        df.withColumn("_v", F.struct(value.alias("v"))), keys, order, size=size,  # a struct, so a NULL value is not taken for no row
         local={"_l": lambda w: F.lag("_v").over(w)},
         summary={"_s": F.max_by("_v", order)},
         carry={"_c": lambda w: F.last("_s").over(w)})
-    return d.withColumn(out, F.coalesce("_l", "_c")).drop("_l", "_c", "_v")
+    return d.withColumn(out, F.coalesce("_l", "_c")["v"]).drop("_l", "_c", "_v")
 
 
 def islands(df: DataFrame, keys: Sequence[str], frame: str, gap: int, out: str = "island",

@@ -17,6 +17,16 @@ def _splits(df: DataFrame, score: str, parts: int) -> list[float]:
 HOT_SCORE = 200_000  # rows sharing one score before their tie order is split
 
 
+def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Equi-join that also matches NULL with NULL, so rows without a key or score stay (they rank first)."""
+    own = right.withColumnsRenamed({c: f"_j_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in on]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    return left.join(own, cond, how).drop(*[f"_j_{c}" for c in on])
+
+
 def ranked(df: DataFrame, keys: Sequence[str], score: str, *, tie: Sequence[str] = (),
            parts: int | None = None, hot: int = HOT_SCORE) -> DataFrame:
     """Add ``rank_min``, ``rank_avg``, ``n`` and, given a tie column, ``rank_first`` per key.
@@ -47,7 +57,7 @@ def ranked(df: DataFrame, keys: Sequence[str], score: str, *, tie: Sequence[str]
     table = (local.join(sums, [*keys, "_b"]).drop("_b")
              .withColumn("rank_min", F.col("_below") + F.col("_base") + 1)
              .withColumn("rank_avg", F.col("rank_min") + (F.col("_m") - 1) / 2.0).drop("_below", "_base"))
-    out = df.join(table, [*keys, score])
+    out = _null_safe(df, table, [*keys, score], "inner")
     if not tie:
         return out.drop("_m")
     if counts.where(F.col("_m") > hot).isEmpty():
@@ -61,7 +71,8 @@ def ranked(df: DataFrame, keys: Sequence[str], score: str, *, tie: Sequence[str]
     wb = Window.partitionBy(*keys, score).orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
     base = base.select(*keys, score, "_sl", F.sum("_c").over(wb).alias("_before"))
     inner = Window.partitionBy(*keys, score, "_sl").orderBy(*tie)
-    out = out.withColumn("_rn", F.row_number().over(inner)).join(base, [*keys, score, "_sl"], "left")
+    out = out.withColumn("_rn", F.row_number().over(inner))
+    out = _null_safe(out, base, [*keys, score, "_sl"], "left")
     out = out.withColumn("rank_first", F.col("rank_min") + F.coalesce("_before", F.lit(0)) + F.col("_rn") - 1)
     return out.drop("_m", "_t0", "_t1", "_sl", "_rn", "_before")
 

@@ -79,11 +79,15 @@ def sequence_rows(clips: DataFrame, pose: DataFrame, profile: JointProfile, *, l
     return d.select("clip_id", *[c for c in clips.columns if c != "clip_id"], "frame", F.array(*norm(s), *norm(r)).alias("raw"), *ENGINEERED)
 
 
-def padded(rows: DataFrame, t_max: int, extra: Sequence[str] = ()) -> DataFrame:
-    """(clip_id, t_actual, x, mask): sequences cut or padded to t_max.
+def padded(rows: DataFrame, t_max: int | None = None, extra: Sequence[str] = ()) -> DataFrame:
+    """(clip_id, t_actual, x, mask): sequences padded to the longest clip's length.
 
-    Padding repeats the last row with its motion features zeroed.
+    Padding repeats the last row with its motion features zeroed. A caller may name a
+    length of its own (``t_max``); only then are longer clips cut.
     """
+    if t_max is None:
+        longest = rows.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"))
+        t_max = int(longest.first()[0] or 1)  # one number
     names = [*ENGINEERED, *extra]
     feats = F.concat("raw", F.array(*[F.col(n).cast("double") for n in names]))
     d = rows.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("frame", feats.alias("v")))).alias("_a"))

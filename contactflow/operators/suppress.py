@@ -148,9 +148,11 @@ def greedy_nms(df: DataFrame, keys: Sequence[str], frame: str, score: str, coold
     Equal scores resolve by (frame, tie). A block sees a halo of neighbours and
     decides every row whose outcome cannot depend on anything further away. Rows
     left open (long monotone score ramps across a block edge) are retried with
-    the neighbours' decisions until none is open.
+    the neighbours' decisions until none is open. Rows without a score are no
+    candidates: they neither suppress nor are kept.
     """
     keys = list(keys)
+    df = df.where(F.col(score).isNotNull())
     halo = 16 * cooldown
     size = max(size, 8 * halo)
     rows = _winner_per_frame(df, keys, frame, [-F.col(score), F.col(tie)])

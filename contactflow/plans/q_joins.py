@@ -30,7 +30,7 @@ def _(spark, sf):
 def best_ce(spark, sf):
     """One contact per (recording, striker, frame): most probable, smallest id."""
     c = A.contacts(spark, sf).groupBy(*KEYS, "striker_id", "ce_frame").agg(
-        F.min(F.struct((-F.col("contact_prob")).alias("np"), "contact_id", "contact_region")).alias("b"))
+        F.min(F.when(F.col("contact_prob").isNotNull(), F.struct((-F.col("contact_prob")).alias("np"), "contact_id", "contact_region"))).alias("b"))
     return c.select(*KEYS, "striker_id", "ce_frame", (-F.col("b.np")).alias("contact_prob"), "b.contact_id", "b.contact_region")
 
 
@@ -49,7 +49,7 @@ def _(spark, sf):
   FROM det d LEFT JOIN act a ON d.match_id=a.match_id AND d.round_id=a.round_id AND d.striker_id=a.fighter_id AND a.action_frame BETWEEN d.frame-5 AND d.frame+5) WHERE rn=1""")
 def _(spark, sf):
     a = A.actions(spark, sf).groupBy(*KEYS, F.col("fighter_id").alias("striker_id"), "action_frame").agg(
-        F.min(F.struct((-F.col("confidence")).alias("nc"), "action_id")).alias("b"))
+        F.min(F.when(F.col("confidence").isNotNull(), F.struct((-F.col("confidence")).alias("nc"), "action_id"))).alias("b"))
     a = a.select(*KEYS, "striker_id", "action_frame", (-F.col("b.nc")).alias("confidence"), "b.action_id")
     j = J.best_in_band(A.detections(spark, sf), a, [*KEYS, "striker_id"], left_on="frame", right_on="action_frame",
                        lo=-5, hi=5, order=[-F.col("confidence"), F.col("action_frame"), F.col("action_id")], keep=["action_id", "confidence"])

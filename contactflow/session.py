@@ -24,12 +24,12 @@ def local_session(cpus: int | str = "*", app: str = "contactflow") -> SparkSessi
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; a temporary one only if none is named."""
+    """Use the cluster's shared checkpoint folder; a temporary one only in a one-process local session that names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not sc.master.startswith("local"):
+    if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="contactflow-ckpt-"))
 

@@ -186,3 +186,23 @@ def test_interpolation_crosses_blocks(spark):
     want = np.interp(axis, known, [vals[f] for f in known])
     assert sorted(got) == axis.tolist()
     assert [got[f] for f in axis.tolist()] == pytest.approx(want.tolist())
+
+
+def test_missing_values_never_win(spark):
+    from pyspark.sql import functions as F
+
+    from contactflow.functions import geometry as G
+    from contactflow.operators import joins, ordering, ranking, suppress
+
+    left = spark.createDataFrame([(1, 10)], "k int, f int")
+    right = spark.createDataFrame([(1, 9, None), (1, 11, 0.8)], "k int, g int, p double")
+    best = joins.best_in_band(left, right, ["k"], left_on="f", right_on="g", lo=-3, hi=3, order=[-F.col("p"), F.col("g")], keep=["p"])
+    assert [r.p for r in best.collect()] == [0.8]
+    rows = spark.createDataFrame([(1, 0, 5.0), (1, 5000, None), (1, 9000, 7.0)], "k int, f int, v double")
+    prev = ordering.previous_row(rows, ["k"], "f", F.col("v"), "p", size=64)
+    assert {r.f: r.p for r in prev.collect()} == {0: None, 5000: 5.0, 9000: None}
+    box = spark.sql("SELECT named_struct('x', CAST(NULL AS DOUBLE), 'y', 1.0D) AS p, named_struct('x1', 0.0D, 'y1', 0.0D, 'x2', 2.0D, 'y2', 2.0D) AS b")
+    assert box.select(G.outside_distance(F.col("p"), F.col("b"))).first()[0] is None
+    scored = spark.createDataFrame([(1, 0, None, 1), (1, 3, 0.9, 2), (None, 4, 0.5, 3)], "k int, f int, s double, id int")
+    assert {r.id for r in suppress.greedy_nms(scored.where("k = 1"), ["k"], "f", "s", 10, tie="id").collect()} == {2}
+    assert ranking.ranked(scored, ["k"], "s").count() == 3
