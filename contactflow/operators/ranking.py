@@ -54,7 +54,7 @@ def ranked(df: DataFrame, keys: Sequence[str], score: str, *, tie: Sequence[str]
     sums = counts.groupBy(*keys, "_b").agg(F.sum("_m").alias("_s"))
     sums = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(ws), F.lit(0)).alias("_base"),
                        F.sum("_s").over(Window.partitionBy(*keys)).alias("n"))
-    table = (local.join(sums, [*keys, "_b"]).drop("_b")
+    table = (_null_safe(local, sums, [*keys, "_b"], "inner").drop("_b")
              .withColumn("rank_min", F.col("_below") + F.col("_base") + 1)
              .withColumn("rank_avg", F.col("rank_min") + (F.col("_m") - 1) / 2.0).drop("_below", "_base"))
     out = _null_safe(df, table, [*keys, score], "inner")
