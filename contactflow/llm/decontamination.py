@@ -141,7 +141,8 @@ def _searcher(items: list[Item], seeds: list) -> Callable:
                 for n in lengths:
                     r = rolling(ws, n)
                     maybe = np.flatnonzero(sieve[n][(r >> np.uint64(44)).astype(np.int64)])
-                    for q in maybe[np.isin(r[maybe], known[n])]:
+                    place = np.minimum(np.searchsorted(known[n], r[maybe]), len(known[n]) - 1)
+                    for q in maybe[known[n][place] == r[maybe]]:
                         for k, p in index[n][int(r[q])]:
                             hits.setdefault(k, []).append((int(q), p))
                 for k, places in hits.items():
