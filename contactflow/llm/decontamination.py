@@ -95,12 +95,13 @@ def word_shares(docs: DataFrame, items: list[Item], text: str) -> dict[str, floa
         from collections import Counter
 
         found: Counter = Counter()
+        total = 0
         for frame in frames:
             for t in frame["text"]:
-                c = Counter(tokens(t))
-                found[""] += sum(c.values())
-                for w in wanted & c.keys():
-                    found[w] += c[w]
+                ws = tokens(t)
+                total += len(ws)
+                found.update(filter(wanted.__contains__, ws))
+        found[""] = total
         yield pd.DataFrame({"word": list(found), "n": list(found.values())}, columns=["word", "n"]).astype({"word": "object", "n": "int64"})
 
     rows = docs.select(F.col(text).alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
