@@ -6,7 +6,8 @@ marks its three lines. Marked places of a document are merged and its text is re
 
 Scale: one aggregate on the hash (combined before its shuffle) finds repeated windows and their first places;
 the repeated ones are written and joined back on the hash, so a passage in a third of all documents is a
-skewed join that Spark splits, never one task's group. A document's marks are bounded by its own lines.
+skewed join that Spark splits, never one task's group. A document's marks are bounded by its own lines. Texts are
+shuffled once, by document, at every size: marks grow with the documents, so they are never broadcast.
 
 Edge cases: a null text stays null; texts with fewer than three lines with words are unchanged; null ids sort first. Rows
 with equal id and text count as one document and are trimmed alike. Extra columns are kept.
@@ -49,7 +50,7 @@ def remove(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     """Every row with its text without later occurrences, and n_lines, n_removed."""
     marks = written(later_lines(docs, id, text), "later-lines").select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), "places")
     rows = docs.withColumn("_key", text_key(F.col(text)))
-    rows = rows.join(marks, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_doc")), "left")
+    rows = rows.join(marks.hint("merge"), F.col(id).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_doc")), "left")
     rows = rows.withColumn("_l", F.split(F.col(text), "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("places"))
     cut = F.array_join(F.transform(left, lambda i: F.get(F.col("_l"), i)), "\n")
