@@ -85,7 +85,7 @@ def pair_frames(hot: DataFrame) -> DataFrame:
     return p.select(
         "match_id", "round_id", F.col("s.track_id").alias("striker_id"), F.col("r.track_id").alias("receiver_id"),
         "frame", (F.least(head_d, torso_d) / sw).alias("gap"),
-        F.when(head_d <= torso_d, "head").otherwise("torso").alias("region"),
+        F.when((head_d <= torso_d) | (head_d.isNotNull() & torso_d.isNull()), "head").when(torso_d.isNotNull(), "torso").alias("region"),
         (head_d / sw).alias("head_gap"), G.box_iou(F.col("s.bbox"), F.col("r.bbox")).alias("iou"),
         (guard / sw).alias("guard_d"))
 

@@ -58,7 +58,9 @@ def sequence_rows(clips: DataFrame, pose: DataFrame, profile: JointProfile, *, l
          .withColumn("_sw", G.dist(G.joint(r, profile.left_shoulder), G.joint(r, profile.right_shoulder), "xyz")))
     clip = Window.partitionBy("clip_id")
     ref = F.col("frame").between(F.col(ref_start), F.col(ref_start) + (ref_frames - 1))
-    d = d.withColumn("ref_scale", F.greatest(F.avg(F.when(ref, F.col("_sw"))).over(clip), F.lit(1e-4)))
+    # without a reference frame there is no scale: the clip is skipped
+    d = d.withColumn("ref_scale", F.avg(F.when(ref, F.col("_sw"))).over(clip)).where(F.col("ref_scale").isNotNull())
+    d = d.withColumn("ref_scale", F.greatest(F.col("ref_scale"), F.lit(1e-4)))
     for c in "xyz":
         d = d.withColumn(f"_o{c}", F.avg(F.when(ref, F.col(f"r_hip.{c}"))).over(clip))
     w = clip.orderBy("frame")

@@ -41,8 +41,9 @@ def gaussian_kernel(n: int) -> list[float]:
 def gaussian_smooth(df: DataFrame, keys: Sequence[str], frame: str, value: str, n: int, out: str) -> DataFrame:
     """Convolve a dense series with reflected ends.
 
-    A reflected neighbour is an ordinary one seen twice: the value at the mirrored
-    frame takes the kernel weight of both positions.
+    A series shorter than the kernel is reflected as often as it takes; one frame
+    alone repeats itself. Folding never moves a place away from the row, so every
+    folded place lies in the row's own window.
     """
     keys = list(keys)
     kernel = gaussian_kernel(n)
@@ -53,17 +54,16 @@ def gaussian_smooth(df: DataFrame, keys: Sequence[str], frame: str, value: str,
     lit = F.array(*[F.lit(v) for v in kernel])
     x = b.df.withColumn("_w", F.collect_list(F.struct(F.col(frame).alias("f"), F.col(value).alias("v"))).over(b.span(-half, half)))
 
-    def weight(f):
-        here = F.col(frame)
-        at = lambda g: F.coalesce(F.get(lit, (g - here + half).cast("int")), F.lit(0.0))
-        inside = lambda g: F.when(F.abs(g - here) <= half, at(g)).otherwise(0.0)
-        lo, hi = F.col("_lo"), F.col("_hi")
-        return (inside(f) + F.when(f > lo, inside(2 * lo - f)).otherwise(0.0)
-                + F.when(f < hi, inside(2 * hi - f)).otherwise(0.0))
+    lo, last = F.col("_lo"), F.col("_hi") - F.col("_lo")
+
+    def folded(k):
+        place = F.pmod(F.col(frame) + k - half - lo, F.greatest(2 * last, F.lit(1)))
+        return lo + last - F.abs(place - last)
 
     add = lambda a, v: a + v
-    # away from the ends the window lines up with the kernel; only end rows need reflected weights
+    # away from the ends the window lines up with the kernel; only end rows need folded places
     inner = F.aggregate(F.zip_with("_w", lit, lambda p, k: p["v"] * k), F.lit(0.0), add)
-    edge = F.aggregate(F.transform("_w", lambda p: weight(p["f"]) * p["v"]), F.lit(0.0), add)
+    at = lambda k: F.get("_w", (folded(k) - F.get("_w", F.lit(0))["f"]).cast("int"))["v"]
+    edge = F.aggregate(F.transform(lit, lambda v, k: at(k) * v), F.lit(0.0), add)
     s = F.when(F.size("_w") == len(kernel), inner).otherwise(edge)
     return b.core(x.withColumn(out, s)).drop("_w", "_lo", "_hi")

@@ -180,7 +180,7 @@ def _(spark, sf):
     w = {k: v for k, v in S.WEIGHTS["window_scan"].items() if k in ("gap", "region", "bbox_react", "guard", "conf")}
     j = j.withColumn("g_conf", F.least(F.lit(1.0), F.col("confidence"))).withColumn("score", SC.weighted_sum(w))
     # best frame per action, then best action per frame
-    best = j.groupBy(*KEYS, "action_id", "striker_id").agg(F.min(F.struct((-F.col("score")).alias("ns"), "frame")).alias("b"))
+    best = j.where("score is not null").groupBy(*KEYS, "action_id", "striker_id").agg(F.min(F.struct((-F.col("score")).alias("ns"), "frame")).alias("b"))
     top = best.groupBy(*KEYS, F.col("b.frame").alias("frame")).agg(F.min(F.struct("b.ns", "action_id", "striker_id")).alias("t"))
     return top.select("t.action_id", *KEYS, "frame", "t.striker_id", F.round(-F.col("t.ns"), 5).alias("score"))
 
@@ -269,7 +269,8 @@ def wrist_box_rows(spark, sf):
         da = (vx * tx + vy * ty) / ((n + 1e-6) * F.greatest(G.norm([tx, ty]), F.lit(1e-6)))
         return F.struct(G.outside_distance(w, grow).alias("nd"), F.lit(order).alias("o"), (n / 4).alias("spd"), da.alias("da"))
 
-    best = F.array_min(F.array(one(A.PROFILE.left_wrist, 0), one(A.PROFILE.right_wrist, 1)))
+    both = F.array(one(A.PROFILE.left_wrist, 0), one(A.PROFILE.right_wrist, 1))
+    best = F.array_min(F.filter(both, lambda c: c["nd"].isNotNull()))  # a missing wrist is not the deepest
     p = p.withColumn("w", best).where("w.nd <= 0 and w.spd >= 10 and w.da >= 0.20")
     return p.select(*KEYS, "frame", F.col("s.track_id").alias("striker_id"), F.col("w.spd").alias("speed"), F.col("w.da").alias("direction"))
 
@@ -363,7 +364,7 @@ def _(spark, sf):
   h AS (SELECT * FROM (SELECT k.match_id, k.round_id, k.frame AS f0, k.striker_id, k.score, c.frame, c.d, c.jt, row_number() OVER (PARTITION BY k.match_id, k.round_id, k.frame, k.striker_id ORDER BY c.d, c.frame) AS rn FROM k JOIN (
     SELECT match_id, round_id, frame, striker_id, m.d AS d, m.k AS jt FROM (SELECT {PKEY}, list_min([{",".join(f"{{'d': {least_of([dj('s', 19, 'r', j), dj('s', 20, 'r', j)])}, 'k': {j}}}" for j in (*P.head, *P.torso, 7, 8))}]) AS m FROM {PAIR})) c
     ON c.match_id=k.match_id AND c.round_id=k.round_id AND c.striker_id=k.striker_id AND abs(c.frame-k.frame)<=12) WHERE rn=1),
-  a AS (SELECT h.*, (SELECT arg_max(action, confidence) FROM pact p WHERE p.match_id=h.match_id AND p.round_id=h.round_id AND p.fighter_id=h.striker_id AND p.action_frame=h.f0) AS action,
+  a AS (SELECT h.*, (SELECT first(action ORDER BY confidence DESC, action_id) FROM pact p WHERE p.match_id=h.match_id AND p.round_id=h.round_id AND p.fighter_id=h.striker_id AND p.action_frame=h.f0) AS action,
     (SELECT max(contact_prob) FROM pce p WHERE p.match_id=h.match_id AND p.round_id=h.round_id AND p.striker_id=h.striker_id AND abs(p.ce_frame-h.f0)<=15) AS ce FROM h)
   SELECT match_id, round_id, f0 AS frame, striker_id, frame AS contact_frame, round(d,6) AS dist, jt AS joint, coalesce(action,'punch') AS action, round(coalesce(ce,0),6) AS ce FROM a""")
 def _(spark, sf):
@@ -374,7 +375,7 @@ def _(spark, sf):
     k = J.best_in_band(k, c, [*KEYS, "striker_id"], left_on="frame", right_on="cf", lo=-12, hi=12,
                        order=[F.col("d"), F.col("cf")], keep=["cf", "d", "joint"]).where("cf is not null")
     a = A.pose_actions(spark, sf).groupBy(*KEYS, F.col("fighter_id").alias("striker_id"), F.col("action_frame").alias("frame")).agg(
-        F.max_by("action", "confidence").alias("action"))
+        F.max_by("action", F.struct("confidence", -F.col("action_id"))).alias("action"))  # equal confidences: the earlier action
     ce = A.pose_contacts(spark, sf).select(*KEYS, "striker_id", "ce_frame", "contact_prob")
     k = J.aggregate_in_band(k.join(a, [*KEYS, "striker_id", "frame"], "left"), ce, [*KEYS, "striker_id"], left_on="frame", right_on="ce_frame", lo=-15, hi=15,
                             aggs=[F.max("contact_prob").alias("ce")])
@@ -415,7 +416,7 @@ def _(spark, sf):
     p = pairs(spark, sf).select(*KEYS, "frame", F.col("striker_id").alias("fighter_id"), G.min_dist(
         F.array(G.joint(F.col("s.px"), 20)), G.joints_of(F.col("r.px"), (*A.PROFILE.head, *A.PROFILE.torso))).alias("d"))
     a = A.pose_actions(spark, sf).withColumn("lo", F.greatest(F.lit(0), F.col("window_start") - 5)).withColumn("hi", F.col("window_end") + 5)
-    j = J.interval_join(a, p, [*KEYS, "fighter_id"], start="lo", end="hi", before=0, after=0)
+    j = J.interval_join(a, p.where("d is not null"), [*KEYS, "fighter_id"], start="lo", end="hi", before=0, after=0)
     b = j.groupBy("action_id").agg(F.min(F.struct((-F.greatest(F.lit(0.0), 1 - F.col("d") / 60.0)).alias("np"), "frame")).alias("b"))
     return b.select("action_id", F.col("b.frame").alias("best_frame"), r6(-F.col("b.np"), "prox"))
 

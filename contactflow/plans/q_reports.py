@@ -202,17 +202,16 @@ def _(spark, sf):
 
 
 _K9 = SM.gaussian_kernel(9)
-_REFL = "CASE WHEN d.frame+k < e.lo THEN 2*e.lo-d.frame-k WHEN d.frame+k > e.hi THEN 2*e.hi-d.frame-k ELSE d.frame+k END"
+# a triangle wave: short tracks are reflected as often as the kernel needs
+_REFL = "CASE WHEN e.hi = e.lo THEN e.lo ELSE e.hi-abs(((d.frame+k-e.lo)%(2*(e.hi-e.lo))+2*(e.hi-e.lo))%(2*(e.hi-e.lo))-(e.hi-e.lo)) END"
 
 
-@query("gaussian_smoothed_track", f"""WITH e AS (SELECT match_id, round_id, track_id, min(frame) AS lo, max(frame) AS hi FROM box GROUP BY ALL HAVING max(frame)-min(frame) >= 8)
+@query("gaussian_smoothed_track", f"""WITH e AS (SELECT match_id, round_id, track_id, min(frame) AS lo, max(frame) AS hi FROM box GROUP BY ALL)
   SELECT d.match_id, d.round_id, d.track_id, d.frame, round(sum(l.x*[{",".join(map(repr, _K9))}][k+5]),8) AS x FROM lerp d JOIN e USING (match_id, round_id, track_id), (SELECT unnest(range(-4,5)) AS k), lerp l
   WHERE l.match_id=d.match_id AND l.round_id=d.round_id AND l.track_id=d.track_id AND l.frame = {_REFL} GROUP BY ALL""")
 def _(spark, sf):
     d = SM.interpolate(box_x(spark, sf), GA.TRACK, "frame", "x")
-    # reflection needs more frames than half the kernel; shorter tracks have no smooth window
-    ends = A.boxes(spark, sf).groupBy(*GA.TRACK).agg((F.max("frame") - F.min("frame")).alias("s")).where("s >= 8").drop("s")
-    s = SM.gaussian_smooth(d.join(ends, GA.TRACK), GA.TRACK, "frame", "x", 9, "y")
+    s = SM.gaussian_smooth(d, GA.TRACK, "frame", "x", 9, "y")
     return s.select(*BK, F.round("y", 8).alias("x"))
 
 

@@ -56,13 +56,8 @@ def _(spark, sf):
     return d.select("event_id", F.round(F.when(~F.isnan("step"), F.col("step")), 6).alias("step"))
 
 
-def person_boxes(e):
-    """Detected people: at most five boxes per frame, the newest event of each person slot."""
-    slot = e.groupBy(*KEYS, "frame", F.pmod("event_id", F.lit(5)).alias("slot")).agg(F.max(F.struct("event_id", "value")).alias("b"))
-    return boxes_of(slot.select(*KEYS, "frame", "b.event_id", "b.value"))
-
-
 def boxes_of(e):
+    """Every event as the box of a detected person."""
     y1 = F.pmod(F.col("event_id") * 37, F.lit(101)).cast("double")
     return e.select(*KEYS, "frame", F.col("event_id").alias("det_id"), F.col("value").alias("x1"), y1.alias("y1"),
                     (F.col("value") + 80).alias("x2"), (y1 + 120).alias("y2"))
@@ -70,7 +65,7 @@ def boxes_of(e):
 
 @query("track_assignment")
 def _(spark, sf):
-    return T.track_batch(person_boxes(A.events(spark, sf)), KEYS).select("det_id", *KEYS, "frame", "track_id")
+    return T.track_batch(boxes_of(A.events(spark, sf)), KEYS).select("det_id", *KEYS, "frame", "track_id")
 
 
 @query("streaming_track_assignment")
@@ -83,8 +78,7 @@ def _(spark, sf):
 
 @query("streaming_fighter_selection")
 def _(spark, sf):
-    e = boxes_of(stream(spark, sf)).withColumn("frame", F.floor(F.col("frame") / 12).cast("int"))
-    e = e.withColumn("track_id", F.pmod("det_id", F.lit(5)).cast("int"))
+    e = boxes_of(stream(spark, sf)).withColumn("track_id", F.pmod("det_id", F.lit(5)).cast("int"))
     return J.drain(T.select_fighters_stream(e), "fighters")
 
 
@@ -92,10 +86,10 @@ def _(spark, sf):
 def _(spark, sf):
     """Batch replay of the live chain: track, keep the two largest per frame, pair, cool down."""
     from pyspark.sql import Window
-    t = T.track_batch(person_boxes(A.events(spark, sf)), KEYS)
+    t = T.track_batch(boxes_of(A.events(spark, sf)), KEYS)
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     # one box per (frame, track), then at most two per frame: both reductions combine map-side
-    t = t.withColumn("frame", F.floor(F.col("frame") / 4).cast("int")).groupBy(*KEYS, "frame", "track_id").agg(
+    t = t.groupBy(*KEYS, "frame", "track_id").agg(
         F.max(F.struct(area.alias("area"), "det_id", "x1", "y1", "x2", "y2")).alias("b"))
     a = t.groupBy(*KEYS, "frame").agg(F.max(F.struct("b.area", "track_id", "b")).alias("first"))
     rest = t.join(a, [*KEYS, "frame"]).where(F.col("track_id") != F.col("first.track_id")).groupBy(*KEYS, "frame").agg(

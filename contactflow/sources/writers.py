@@ -14,11 +14,13 @@ RECORDING = ("match_id", "round_id")
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = RECORDING, mode: str = "overwrite") -> None:
     """Parquet by recording. Rows are spread by recording and frame block first,
-    so a large recording is written by many tasks and a small one to few files."""
+    so a large recording is written by many tasks and a small one to few files.
+    Overwriting replaces the recordings of ``df`` only."""
     keys = [F.col(c) for c in partition_by]
     if "frame" in df.columns:
         keys.append(F.floor(F.col("frame") / 65536))
-    df.repartition(*keys).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    w = df.repartition(*keys).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    w.partitionBy(*partition_by).parquet(path)
 
 
 def detection_events(df: DataFrame, approach: str, threshold: float, cooldown: int, gates: Sequence[str]) -> DataFrame:
@@ -30,7 +32,7 @@ def detection_events(df: DataFrame, approach: str, threshold: float, cooldown: i
 
 
 def write_json_lines(df: DataFrame, path: str, partition_by: Sequence[str] = RECORDING) -> None:
-    df.write.mode("overwrite").partitionBy(*partition_by).json(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).json(path)
 
 
 def write_manifest(clips: DataFrame, path: str) -> None:
@@ -48,14 +50,17 @@ def write_metrics(df: DataFrame, path: str) -> None:
 
 
 def publish_version(df: DataFrame, root: str) -> str:
-    """Write a new version directory, then point to it; earlier versions stay as backups."""
-    version = f"v{int(time.time() * 1000)}"
+    """Write a new version directory, then point to it; earlier versions stay as backups.
+
+    Pointers are only ever added and the newest one counts, so a reader always finds a
+    complete version, also while the next one is published."""
+    version = f"v{time.time_ns():020d}"
     df.write.mode("errorifexists").parquet(f"{root}/{version}")
     spark = df.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{root}/current")
     return version
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{root}/current").first()["version"]
+    version = spark.read.schema("version string").json(f"{root}/current").agg(F.max("version")).first()[0]
     return spark.read.parquet(f"{root}/{version}")

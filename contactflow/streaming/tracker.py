@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from contactflow.operators.ordering import islands, running_sum
 
-IOU_MIN, MAX_MISSED = 0.25, 20  # fixed values
+IOU_MIN, MAX_MISSED, EDGE = 0.25, 20, 0.05  # fixed values
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -130,12 +130,17 @@ def track_stream(stream: DataFrame) -> DataFrame:
         "ids array<int>, boxes array<double>, missed array<int>, next_id int, frame int", "append", GroupStateTimeout.NoTimeout)
 
 
-def sticky_pair(people: list[tuple[int, float, float, float]], chosen: set[int]) -> list[int]:
+def sticky_pair(people: list[tuple[int, float, float, float]], chosen: set[int], width: float | None = None) -> list[int]:
     """The two fighters of a frame from (track, area, cx, cy), keeping earlier ones while visible.
 
-    Both known: keep. One known: add the largest other. Else the closest pair of
-    the four largest. Fewer than two people: whoever is there.
+    Given the frame's width, people centred in its outer 5 % on either side count only
+    where fewer than two others are there. Both known: keep. One known: add the largest
+    other. Else, of the four largest, the pair with the least distance for its summed
+    area. Fewer than two people: whoever is there.
     """
+    if width is not None:
+        central = [p for p in people if EDGE * width <= p[2] <= (1 - EDGE) * width]
+        people = central if len(central) >= 2 else people
     known = [p for p in people if p[0] in chosen]
     if len(known) == 2:
         return [p[0] for p in known]
@@ -146,12 +151,13 @@ def sticky_pair(people: list[tuple[int, float, float, float]], chosen: set[int])
     top = sorted(people, key=lambda p: -p[1])[:4]
     if len(top) <= 2:
         return [p[0] for p in top]
-    pairs = [((top[i][2] - top[j][2]) ** 2 + (top[i][3] - top[j][3]) ** 2, i, j) for i in range(len(top)) for j in range(i + 1, len(top))]
+    apart = lambda a, b: np.hypot(a[2] - b[2], a[3] - b[3]) / (a[1] + b[1] + 1e-6)
+    pairs = [(apart(top[i], top[j]), i, j) for i in range(len(top)) for j in range(i + 1, len(top))]
     _, i, j = min(pairs)
     return [top[i][0], top[j][0]]
 
 
-def select_fighters_stream(stream: DataFrame) -> DataFrame:
+def select_fighters_stream(stream: DataFrame, width: float | None = None) -> DataFrame:
     """Sticky selection with the two chosen ids as state: (match_id, round_id, frame, track_id)."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         chosen = set(state.get[0]) if state.exists else set()
@@ -159,7 +165,7 @@ def select_fighters_stream(stream: DataFrame) -> DataFrame:
         out = []
         for f, g in rows.groupby("frame", sort=True):
             people = list(zip(g["track_id"], (g["x2"] - g["x1"]) * (g["y2"] - g["y1"]), (g["x1"] + g["x2"]) / 2, (g["y1"] + g["y2"]) / 2))
-            pick = sticky_pair(people, chosen)
+            pick = sticky_pair(people, chosen, width)
             if len(pick) == 2:
                 chosen = set(pick)
             out += [(key[0], key[1], int(f), int(t)) for t in pick]

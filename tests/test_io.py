@@ -84,6 +84,10 @@ def test_sinks_round_trip(spark, tmp_path):
     d = spark.createDataFrame([(1, 0, 5, 0.5), (2, 1, 6, 0.7)], "match_id int, round_id int, frame int, score double")
     K.write_table(d, str(tmp_path / "t"))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).select(*d.columns).collect())) == sorted(map(tuple, d.collect()))
+    first = d.first()
+    own = (d.match_id == first.match_id) & (d.round_id == first.round_id)
+    K.write_table(d.where(own), str(tmp_path / "t"))  # other recordings stay
+    assert spark.read.parquet(str(tmp_path / "t")).count() == d.count()
     m = spark.createDataFrame([("c1", "impact", 4), ("c2", None, None)], "clip string, label string, impact_frame int")
     K.write_manifest(m, str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m/counters")).first().labeled == 1
@@ -129,3 +133,8 @@ def test_sticky_pair():
     assert set(T.sticky_pair(people, set())) == {1, 2}
     assert set(T.sticky_pair(people, {1, 4})) == {1, 4}
     assert set(T.sticky_pair(people, {2, 9})) == {2, 3}
+    # far apart but large beats close but small
+    assert set(T.sticky_pair([(1, 900.0, 0, 0), (2, 900.0, 60, 0), (3, 30.0, 500, 0), (4, 30.0, 510, 0)], set())) == {1, 2}
+    # people at the frame's edge count only where fewer than two others are there
+    assert set(T.sticky_pair([(1, 9.0, 500, 0), (2, 8.0, 700, 0), (3, 99.0, 20, 0)], set(), 1000)) == {1, 2}
+    assert set(T.sticky_pair([(1, 9.0, 500, 0), (3, 99.0, 20, 0)], set(), 1000)) == {1, 3}
