@@ -206,3 +206,17 @@ def test_missing_values_never_win(spark):
     scored = spark.createDataFrame([(1, 0, None, 1), (1, 3, 0.9, 2), (None, 4, 0.5, 3)], "k int, f int, s double, id int")
     assert {r.id for r in suppress.greedy_nms(scored.where("k = 1"), ["k"], "f", "s", 10, tie="id").collect()} == {2}
     assert ranking.ranked(scored, ["k"], "s").count() == 3
+
+
+def test_smoothing_reflects_short_series(spark):
+    import numpy as np
+
+    from contactflow.operators.smoothing import gaussian_kernel, gaussian_smooth
+    r = random.Random(31)
+    series = {n: [r.random() for _ in range(n)] for n in (1, 2, 3, 5, 9, 30)}
+    d = spark.createDataFrame([(n, 7 + k, v) for n, vs in series.items() for k, v in enumerate(vs)], "k int, frame int, v double")
+    got = {(x.k, x.frame): x.s for x in gaussian_smooth(d, ["k"], "frame", "v", 9, "s").collect()}
+    for n, vs in series.items():
+        padded = np.pad(vs, 4, mode="reflect") if n > 1 else np.repeat(vs, 9)
+        want = np.convolve(padded, gaussian_kernel(9), mode="valid")
+        assert [got[n, 7 + k] for k in range(n)] == pytest.approx(want.tolist())
