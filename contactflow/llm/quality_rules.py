@@ -3,15 +3,16 @@
 Base rules look at one text: too few words, or more than half of its words in three-word windows that
 the text repeats. The corpus rule looks at lines: every line is normalised (lower case, white space
 squeezed, digit runs to one 0) and hashed; per host the distinct documents that have the line are counted,
-where copies of a document (same longest line) count once, so that a text is not held against itself. Lines in
-more documents than a host's limit are boiler-plate; a document is depleted, and rejected, when the lines
-left to it hold less than `min_left` of the words of its distinct lines.
+where copies and near copies of a document (same longest line) count once, so that a text is not held against itself and
+near duplicates reach their own stage. (So a notice longer than every own line of its pages counts as one document and stays.)
+Lines in more documents than a host's limit are boiler-plate: `remove_lines` takes them out. A document is depleted,
+and rejected, when the lines left to it hold less than `min_left` of the words of its distinct lines.
 
 Scale: the counts are two-level aggregates on (host, line, document), so a hot host or a hot line is spread and
 combined before it is shuffled. Lines over the limit and depleted texts are written tables; the joins
 against them broadcast only below Spark's size threshold. `judge` shuffles texts only where depleted texts exceed that size.
 
-Edge cases: a null text has no words and fails the base rules. A null host is a host of its own. Rows with
+Edge cases: a null text has no words and fails the base rules; `remove_lines` leaves it null. A null host is a host of its own. Rows with
 equal host and text get equal verdicts, whatever their ids (null or repeated). Extra columns are kept by
 `filter_documents` and ignored by `measure`; an empty table gives an empty result.
 """
@@ -65,11 +66,16 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.select(*own, F.explode(F.array(made)).alias("_m")).select(*own, "_m.*")
 
 
-def _lines(docs: DataFrame, host: str, text: str) -> DataFrame:
-    """A row for each distinct normalised line of each text: host, key of the text, key of its longest line, words of its distinct lines, hash, words."""
+def _normal(text: str) -> Column:
+    """The text's normalised lines, as many as it has lines."""
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
     squeezed = F.regexp_replace(F.regexp_replace(lower, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " "), "[0-9]+", "0")
-    lines = F.array_distinct(F.filter(F.transform(F.split(squeezed, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.transform(F.split(squeezed, "\n"), lambda x: F.trim(x))
+
+
+def _lines(docs: DataFrame, host: str, text: str) -> DataFrame:
+    """A row for each distinct normalised line of each text: host, key of the text, key of its longest line, words of its distinct lines, hash, words."""
+    lines = F.array_distinct(F.filter(_normal(text), lambda x: x != ""))
     count = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
     longest = F.array_max(F.transform("lines", lambda x: F.named_struct(F.lit("n"), F.length(x), F.lit("x"), x)))["x"]
     total = F.aggregate("lines", F.lit(0), lambda a, x: a + count(x))
@@ -99,6 +105,23 @@ def depleted_texts(docs: DataFrame, host: str = "source", text: str = "text", mi
     return written(lost.filter(F.col("total") - F.col("lost") < min_left * F.col("total")).select("host", "doc", "lost"), "depleted")
 
 
+def remove_lines(docs: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
+    """Every row with its text less the lines above its host's limit, and n_over, the number of lines taken out."""
+    bad = written(frequent_lines(docs, host, text, **limits), "frequent-lines").select(F.col("host").alias("bh"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
+    rows = _lines(docs, host, text)
+    own = rows.join(bad, rows.host.eqNullSafe(F.col("bh")) & (rows.h1 == F.col("b1")) & (rows.h2 == F.col("b2")), "left_semi")
+    over = own.groupBy("host", "doc").agg(F.collect_set(F.struct("h1", "h2")).alias("_over"))
+    over = written(over, "lines-over").withColumnsRenamed({"host": "_oh", "doc": "_od"})
+    out = docs.withColumn("_key", text_key(F.col(text)))
+    out = out.join(over, F.col(f"`{host}`").eqNullSafe(F.col("_oh")) & (F.col("_key") == F.col("_od")), "left")
+    both = F.arrays_zip(F.split(F.col(text), "\n").alias("own"), _normal(text).alias("normal"))
+    stays = F.filter(both, lambda z: ~F.array_contains("_over", F.struct(F.xxhash64(z["normal"]).alias("h1"), F.hash(z["normal"]).alias("h2"))))
+    cut = F.transform(stays, lambda z: z["own"])
+    made = F.when(F.col("_over").isNull(), F.struct(F.col(text).alias("t"), F.lit(0).cast("long").alias("n"))).otherwise(
+        F.struct(F.array_join(cut, "\n").alias("t"), (F.size(F.split(F.col(text), "\n")) - F.size(cut)).cast("long").alias("n")))
+    return out.withColumn("_made", made).withColumns({text: F.col("_made.t"), "n_over": F.col("_made.n")}).drop("_key", "_oh", "_od", "_over", "_made")
+
+
 def judge(docs: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
     """Every row with its measures and `kept`."""
     gone = depleted_texts(docs, host, text, **limits).select(F.col("host").alias("_gh"), F.col("doc").alias("_gd"))

@@ -40,6 +40,8 @@ def test_quality_rules_on_odd_input(spark, odd, empty):
     kept = quality_rules.filter_documents(odd)
     assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in rows)
     assert quality_rules.filter_documents(empty).count() == 0
+    assert quality_rules.remove_lines(empty).count() == 0
+    assert Counter((r.text, r.n_over) for r in quality_rules.remove_lines(odd).collect()) == Counter((r.text, 0) for r in rows)
 
 
 def test_frequent_lines_deplete_only_their_documents(spark):
@@ -51,6 +53,23 @@ def test_frequent_lines_deplete_only_their_documents(spark):
     assert all(got[k] for k in range(30)) and not any(got[100 + k] for k in range(30)) and all(got[200 + k] for k in range(50))
 
 
+def test_lines_over_the_limit_are_removed(spark):
+    letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    own = lambda k, n: " ".join(f"{letters(k)}x{letters(j)}" for j in range(n))
+    notices = ["\n".join(f"Notice {c} " + " ".join(f"{c}{d}" for d in "abcdefghij") for c in "pqrstu"), "NOTICE  p " + " ".join(f"P{d}" for d in "abcdefghij")]
+    rows = [(k, f"{notices[0]}\n{own(1000 + k, 20)}", "a") for k in range(30)]  # mostly notices
+    rows += [(100 + k, f"{own(1100 + k, 70)}\n{notices[1]}\n\n{own(1200 + k, 90)}", "a" if k < 15 else None) for k in range(30)]
+    rows += [(200 + k, f"{own(2000, 50)}\n{own(3000, 50)}\nlast {letters(k)}", "a") for k in range(30)]  # near copies
+    docs = spark.createDataFrame(rows + [(900, None, "a")], "doc_id long, text string, source string")
+    got = {r.doc_id: r.kept for r in quality_rules.judge(docs, min_docs=10, host_share=0.01).collect()}
+    assert not any(got[k] for k in range(30)) and all(got[100 + k] and got[200 + k] for k in range(30)) and not got[900]
+    left = {r.doc_id: (r.text, r.n_over) for r in quality_rules.remove_lines(docs, min_docs=10, host_share=0.01).collect()}
+    assert left[900] == (None, 0)
+    assert all(left[k] == (own(1000 + k, 20), 6) for k in range(30))
+    assert all(left[100 + k] == (f"{own(1100 + k, 70)}\n\n{own(1200 + k, 90)}", 1) for k in range(30))
+    assert all(left[i] == (t, 0) for i, t, _ in rows if i >= 200)
+
+
 def brute_lines(rows):
     """Rows (id, text): text with later windows removed, in order of id, text key and place."""
     seen, out = set(), {}
