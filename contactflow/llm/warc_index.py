@@ -24,7 +24,7 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from contactflow.llm.common import run_dir, written
 
 BLOCK, OPEN_FILES = 512, 64
+URL_SAFE = "%:/?#[]@!$&'()*+,;=-._~"  # fixed value: what a URL may hold as it is, beside letters and digits
 CAPTURE = "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, file string, at long, size long"
 
 
@@ -69,23 +70,25 @@ def _open(folder: str):
 
 
 def record(page_id: int | None, url: str | None, kind: str, refers: int | None, payload: bytes, checksum: str) -> bytes:
-    """One WARC/1.1 record as a gzip member; a revisit carries no payload but its digest and length."""
+    """One WARC/1.1 record as a gzip member: HTTP header and payload; a revisit has the header alone, and its payload's digest and length."""
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:capture:{page_id}>", f"WARC-Target-URI: {json.dumps(url)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:capture:{page_id}>", f"WARC-Target-URI: {quote(url or '', safe=URL_SAFE, errors='replace')}",
         "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{checksum}", f"WARC-Payload-Length: {len(payload)}",
     ]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:capture:{refers}>"]
-        payload = b""
-    head = "\r\n".join([*lines, "Content-Type: text/html", f"Content-Length: {len(payload)}"]).encode("utf-8", "surrogatepass")
-    return gzip.compress(head + b"\r\n\r\n" + payload + b"\r\n\r\n", compresslevel=6, mtime=0)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if kind == "revisit" else http + payload
+    head = "\r\n".join([*lines, "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]).encode()
+    return gzip.compress(head + b"\r\n\r\n" + block + b"\r\n\r\n", compresslevel=6, mtime=0)
 
 
 def parse(member: bytes) -> tuple[dict[str, str], bytes]:
+    """WARC header fields and payload of a record."""
     data = gzip.decompress(member)
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    return fields, rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
