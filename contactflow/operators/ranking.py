@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contactflow.session import cut_lineage
 
@@ -27,20 +28,35 @@ def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> Da
     return left.join(own, cond, how).drop(*[f"_j_{c}" for c in on])
 
 
+def _place(df: DataFrame, name: str) -> Column:
+    """A number that never falls along a column's order: its value, or for text its first six bytes."""
+    kind, c = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return c.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return c.cast("double")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.lit(0.0)
+
+
 def ranked(df: DataFrame, keys: Sequence[str], score: str, *, tie: Sequence[str] = (),
            parts: int | None = None, hot: int = HOT_SCORE) -> DataFrame:
     """Add ``rank_min``, ``rank_avg``, ``n`` and, given a tie column, ``rank_first`` per key.
 
     Scores are cut at approximate quantiles (any cut is exact, good cuts are
     balanced). Equal scores are counted before ranking, so one repeated score
-    costs one row. Rows of a score shared by more than ``hot`` rows get their
-    order from equal slices of the numeric tie column, so no task sorts them all.
+    costs one row. A score's rows get their order within slices of the first tie
+    column, about ``hot`` rows each, so no task sorts all rows of a hot score.
     """
     keys = list(keys)
     spark = df.sparkSession
     parts = parts or min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1024)
     # counted once; the cut points and both levels of the scan read the small result
-    ends = [F.min(tie[0]).alias("_t0"), F.max(tie[0]).alias("_t1")] if tie else []
+    place = _place(df, tie[0]) if tie else None
+    ends = [F.min(place).alias("_t0"), F.max(place).alias("_t1")] if tie else []
     counts = cut_lineage(df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_m"), *ends))
     cuts = _splits(counts, score, parts)
     bucket = F.lit(0)
@@ -60,13 +76,8 @@ def ranked(df: DataFrame, keys: Sequence[str], score: str, *, tie: Sequence[str]
     out = _null_safe(df, table, [*keys, score], "inner")
     if not tie:
         return out.drop("_m")
-    if counts.where(F.col("_m") > hot).isEmpty():
-        inner = Window.partitionBy(*keys, score).orderBy(*tie)
-        out = out.withColumn("rank_first", F.col("rank_min") + F.row_number().over(inner) - 1)
-        return out.drop("_m", "_t0", "_t1")
-    slices = F.ceil(F.col("_m") / hot)
-    width = (F.col("_t1") - F.col("_t0") + 1).cast("double") / slices
-    out = out.withColumn("_sl", F.floor((F.col(tie[0]) - F.col("_t0")) / width))
+    width = (F.col("_t1") - F.col("_t0") + 1) / F.ceil(F.col("_m") / hot)
+    out = out.withColumn("_sl", F.floor((place - F.col("_t0")) / width))
     base = out.where(F.col("_m") > hot).groupBy(*keys, score, "_sl").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.partitionBy(*keys, score).orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
     base = base.select(*keys, score, "_sl", F.sum("_c").over(wb).alias("_before"))

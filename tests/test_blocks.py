@@ -160,6 +160,9 @@ def test_ranks_split_a_hot_score(spark):
     want = {i: n for n, (_, i) in enumerate(sorted((s, i) for _, s, i in data), 1)}
     for hot in (50, 10_000):
         assert {x.id: x.rank_first for x in ranked(d, ["k"], "s", tie=["id"], hot=hot).collect()} == want
+    named = d.withColumn("name", F.format_string("%04d", "id"))  # a tie column of any type, in the same plan
+    for tie in (["name"], ["name", "id"]):
+        assert {x.id: x.rank_first for x in ranked(named, ["k"], "s", tie=tie, hot=50).collect()} == want
 
 
 def test_steps_are_exact_at_block_edges(spark, monkeypatch):
