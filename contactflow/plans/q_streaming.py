@@ -35,7 +35,7 @@ def _(spark, sf):
 
 @query("streaming_round_counters", "SELECT user_id AS match_id, CAST(floor(epoch(ts)/21600)*21600 AS BIGINT) AS start_sec, count(*) AS n, max(value) AS max_value FROM events GROUP BY ALL")
 def _(spark, sf):
-    return J.drain(J.tumbling_counts(stream(spark, sf), "6 hours"), "tumbling", "complete")
+    return J.drain(J.tumbling_counts(stream(spark, sf), "6 hours"), "tumbling", "update", ["match_id", "start_sec"])
 
 
 @query("streaming_combos", """WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 HOUR THEN 0 ELSE 1 END AS b FROM events WHERE event_type='click' WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM o)
@@ -46,7 +46,7 @@ def _(spark, sf):
 
 @query("streaming_running_counters", "SELECT match_id, round_id, event_type, count(*) AS n, max(value) AS max_value FROM hev GROUP BY ALL")
 def _(spark, sf):
-    return J.drain(J.running_counters(stream(spark, sf)), "counters", "complete")
+    return J.drain(J.running_counters(stream(spark, sf)), "counters", "update", [*KEYS, "event_type"])
 
 
 @query("streaming_value_steps", """SELECT event_id, round(value-lag(value) OVER (PARTITION BY match_id, round_id, event_id%2 ORDER BY frame, event_id),6) AS step FROM hev WHERE event_type='view'""")

@@ -6,12 +6,13 @@ dropped from state; cooldowns count event-time frames, not processed rows.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from contactflow.session import ensure_checkpoint_dir
 
@@ -22,13 +23,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process everything available, then read the sink's table."""
+def drain(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+    """Process everything available, then read the sink's table.
+
+    In update mode each batch writes only its changed rows, in a folder of its own (a
+    repeated batch replaces it); the last version of every key is read.
+    """
     spark = stream.sparkSession
     out, ckpt = scratch(spark, name), scratch(spark, name + "-ckpt")
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
     if mode == "append":
         q = w.format("parquet").option("path", out).start()
+    elif mode == "update":
+        spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")
+        q = w.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).start()
+        q.awaitTermination()
+        rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
+        rest = [c for c in stream.columns if c not in keys]
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
+        return last.select(*[F.col(c) if c in keys else F.col(f"_r.{c}") for c in stream.columns])
     else:
         q = w.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     q.awaitTermination()
@@ -101,7 +114,7 @@ def tumbling_counts(stream: DataFrame, size: str, delay: str = "1 hour") -> Data
 
 
 def combos(stream: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
-    """Session windows: runs of detections no further apart than the gap."""
+    """Session windows: runs of detections no further apart than the gap (append or complete mode: sessions cannot be updated)."""
     return (stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "match_id")
             .agg(F.count(F.lit(1)).alias("n"))
             .select("match_id", F.unix_seconds("session_window.start").alias("start_sec"), "n"))

@@ -111,6 +111,20 @@ def test_streaming_cooldown_over_batches_equals_batch(spark, tmp_path):
     assert got == {r.det_id for r in want.collect()}
 
 
+def test_updated_counts_over_batches_equal_batch(spark, tmp_path):
+    d = spark.range(900).select((F.col("id") % 2).alias("match_id"), F.lit(0).alias("round_id"), F.lit("c").alias("event_type"),
+                                (F.col("id") % 7).cast("double").alias("value"), F.timestamp_seconds("id").alias("ts"))
+    src = str(tmp_path / "src")
+    for lo in range(0, 900, 250):  # windows of 100 seconds go on over batches
+        d.where(F.unix_seconds("ts").between(lo, lo + 249)).coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = J.drain(J.tumbling_counts(s, "100 seconds"), "t", "update", ["match_id", "start_sec"])
+    want = d.groupBy("match_id", (F.floor(F.unix_seconds("ts") / 100) * 100).alias("start_sec")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("max_value"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    total = J.drain(J.running_counters(s), "t", "update", ["match_id", "round_id", "event_type"])
+    assert sorted((r.match_id, r.n) for r in total.collect()) == [(0, 450), (1, 450)]
+
+
 def test_tracker_stream_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(5)
     rows, i = [], 0
