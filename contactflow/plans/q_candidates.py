@@ -18,7 +18,7 @@ from contactflow.operators.ranking import ranked
 from contactflow.operators.suppress import first_fit, greedy_nms
 from contactflow.plans.q_gates import _PWIN, _AK, action_traj, hot, nms_sql
 from contactflow.plans.q_geometry import BK, PK, pairs, r6
-from contactflow.plans.q_suppress import first_fit_sql
+from contactflow.plans.q_suppress import first_fit_sql, pair_sql
 from contactflow.plans.registry import query, view
 from contactflow.plans.sqltext import HX, HY, PAIR, PKEY, PX, PY, P, SW, X, Y, Z, arr, dj, dpx, hyp, iou, least_of
 from contactflow.sources import adapters as A
@@ -225,7 +225,7 @@ def _(spark, sf):
 
 
 @query("dense_scan_detections", """WITH src AS (SELECT *, (match_id*10+round_id)*100000 + frame*10 + striker_id AS det_id, CAST(striker_id AS VARCHAR) AS pk FROM dsc WHERE score >= 0.3), """
-       + __import__("contactflow.plans.q_suppress", fromlist=["pair_sql"]).pair_sql("src", "pk", 30, 10)
+       + pair_sql("src", "pk", 30, 10)
        + " SELECT s.match_id, s.round_id, s.frame, s.striker_id, round(s.score,5) AS score FROM src s JOIN run r ON s.det_id=r.det_id WHERE r.keep")
 def _(spark, sf):
     from contactflow.operators.suppress import pair_global_cooldown
