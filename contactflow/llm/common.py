@@ -26,9 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    made = tempfile.mkdtemp(prefix="contactflow-shared-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="contactflow-shared-"))  # the setting itself is fixed once a session runs
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def run_dir(spark: SparkSession, name: str) -> str:

@@ -11,7 +11,7 @@ ODD = [None, "", "   \n\t ", "\n\n", "one", "a\nb\nc", "a\nb\nc", "x " * 200, LO
 def spark(tmp_path_factory):
     s = local_session(8, "contactflow-tests")
     if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     return s
 
 
