@@ -10,13 +10,18 @@ off a long example first. A task packs the rows that it reads in pools of POOL_P
 the next pool and closes the last bin at its end: no shuffle, and memory bounded by a pool. A sequence id is the
 partition and a number in it. The tail of a task is cut at powers of two, which need no padding.
 
-Edge cases: a null or empty text is its end token alone; null ids are carried; repeated rows are packed once each.
+Loss: a column of character spans names the parts of a text that bear loss (answers in a conversation, say). The text is cut at the spans'
+borders and each part is encoded on its own, so no token stands over a border; the end token bears loss where the text's last character does.
+Null spans, or no such column, put loss on all tokens; an empty array on none.
+
+Edge cases: a null or empty text is its end token alone, with loss unless its spans are an empty array; null ids are carried; repeated rows are packed once each.
 """
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -101,7 +106,7 @@ class Packer:
             if not last and int((kinds[:, 0] * many).sum()) < self.limits[0]:
                 return
             free, sequence = self.limits.copy(), []
-            while free.min() > 0 and many.any():
+            while free[:2].min() > 0 and many.any():  # pieces without loss still fit where no loss is free
                 fits = (kinds <= free).all(axis=1) & (many > 0)
                 worth = (kinds / self.limits) @ (free / self.limits)
                 if fits.any():
@@ -193,9 +198,40 @@ def tokenizer(path: str, remembered: int = 1_000_000) -> Callable[[str], bytes]:
     return ids
 
 
+def parts(text: str, spans: Iterable[tuple[int, int]]) -> Iterator[tuple[str, bool]]:
+    """The text cut at the borders of the character spans (clipped and merged), each part with whether it bears loss."""
+    merged: list[list[int]] = []
+    for start, end in sorted((max(0, a), min(len(text), b)) for a, b in spans):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(end, merged[-1][1])
+        elif start < end:
+            merged.append([start, end])
+    at = 0
+    for start, end in merged:
+        if start > at:
+            yield text[at:start], False
+        yield text[start:end], True
+        at = end
+    if at < len(text):
+        yield text[at:], False
+
+
+def masked(text: str, spans: Iterable[tuple[int, int]], ids: Callable[[str], bytes], end: bytes) -> tuple[bytes, bytes]:
+    """Ids of a text with its end token, and a byte for each: whether it bears loss."""
+    spans, own, mask, last = list(spans), b"", b"", False
+    for part, last in parts(text, spans):
+        new = ids(part)
+        own, mask = own + new, mask + bytes([last]) * (len(new) // 4)
+    return own + end, mask + bytes([last if text else bool(spans)])
+
+
 def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS,
-         max_loss: int = MAX_LOSS, pool: int = POOL_PIECES, end_id: int = END_ID) -> DataFrame:
-    """A row for each piece of each document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens."""
+         max_loss: int = MAX_LOSS, pool: int = POOL_PIECES, end_id: int = END_ID, loss: str | None = None) -> DataFrame:
+    """A row for each piece of each document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
+
+    loss: a column array<struct<start, end>> of the characters that bear loss, from 0 and without the end."""
+    if min(max_tokens, max_segments, max_loss) < 1:
+        raise ValueError("each limit is 1 at least")
     kind = docs.schema[id].dataType.simpleString()
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -216,13 +252,17 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", max
 
         for frame in frames:
             out: list[tuple] = []
-            for owner, t in zip(frame["id"], frame["text"], strict=True):
-                own = ids(t or "") + end
-                out += rows(packer.add(Piece(owner, 0, len(own) // 4, own)))
+            for owner, t, spans in zip(frame["id"], frame["text"], frame["loss"] if loss else repeat(None)):  # noqa: B905
+                if spans is None:
+                    own, mask = ids(t or "") + end, None
+                else:
+                    own, mask = masked(t or "", [(x["start"], x["end"]) for x in spans], ids, end)
+                out += rows(packer.add(Piece(owner, 0, len(own) // 4, own, mask)))
                 if packer.count >= pool:
                     out += rows(packer.fill(pool // 2))
             yield pd.DataFrame(out, columns=COLUMNS)
         yield pd.DataFrame(list(rows(packer.fill(0, last=True))), columns=COLUMNS)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(run, schema)
+    own = [F.col(loss).cast("array<struct<start:long,end:long>>").alias("loss")] if loss else []
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text"), *own).mapInPandas(run, schema)
