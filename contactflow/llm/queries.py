@@ -6,7 +6,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactflow.llm import decontamination, html_extract, language_id, line_dedup, packing, perplexity, quality_rules, simhash, toxicity, warc_index
+from contactflow.llm import (
+    decontamination,
+    exact_dedup,
+    html_extract,
+    language_id,
+    line_dedup,
+    merkle,
+    packing,
+    perplexity,
+    quality_rules,
+    shallot,
+    simhash,
+    toxicity,
+    warc_index,
+)
 from contactflow.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -132,3 +146,72 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").filter("quality = 1")
     return perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), trusted)
+
+
+def sql_kmeans(rounds: int = 10) -> str:
+    """SQL of the rounds: m = long form of the vectors, c = centroids in long form, a = nearest centroid of each vector."""
+    parts = ["""v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
+             "m AS MATERIALIZED (SELECT r, generate_subscripts(q, 1) AS j, unnest(q) AS x FROM v)",
+             """c0 AS MATERIALIZED (SELECT k, generate_subscripts(q, 1) AS j, unnest(q) AS x FROM
+  (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, q FROM v QUALIFY k < 8))"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT r, k, d FROM (SELECT m.r, c.k, sum((m.x - c.x) * (m.x - c.x))::BIGINT AS d FROM m JOIN c{r} c USING (j) GROUP BY m.r, c.k)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.k, c.j, coalesce(n.x, c.x) AS x FROM c{r} c LEFT JOIN
+  (SELECT k, j, (CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END)::BIGINT AS x FROM
+    (SELECT a.k, m.j, sum(m.x) AS s, count(*) AS n FROM m JOIN a{r} a USING (r) GROUP BY a.k, m.j)) n ON n.k = c.k AND n.j = c.j)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT v.vec_id, a.k::INT AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia, sum(a.d) OVER ()::BIGINT AS inertia, h.h AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS h FROM c{rounds} GROUP BY k) h ON h.k = a.k"""
+
+
+@query("op11_centroid_clustering", sql_kmeans())
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot.report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW g AS (PARTITION BY t)
+""")
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: CRC-32 of decimal text in SQL: bit by bit, polynomial 0xEDB88320.
+SQL_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT for x in string_split(doc_id::VARCHAR, '')]), lambda c, b:
+  list_reduce(list_prepend(xor(c, b), range(8)), lambda z, i: xor(z >> 1, CASE WHEN z % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+SQL_LEAF = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+
+
+def sql_fold(start: str) -> str:
+    """SQL of folding up a chain of (left, right) lists."""
+    return f"list_reduce(list_prepend({start}, list_transform(path, lambda p: p.l || '|' || p.r)), lambda d, p: sha256(split_part(p, '|', 1) || d || split_part(p, '|', 2)))"
+
+
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '-') AS tree, sha256({SQL_LEAF} || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+  CASE WHEN {SQL_CRC32} % 5 = 0 THEN sha256({SQL_LEAF} || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS other FROM documents),
+low AS (SELECT 0 AS level, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n, leaf AS h FROM d
+  UNION ALL SELECT level + 1, tree, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY level, tree, i // 16),
+subroots AS MATERIALIZED (SELECT tree, h FROM low WHERE n = 1),
+high AS (SELECT 0 AS level, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n, h FROM subroots
+  UNION ALL SELECT level + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY level, i // 16),
+nodes AS MATERIALIZED (SELECT level, tree, i, n, h FROM low UNION ALL SELECT level + 1000, '', i, n, h FROM high),
+sides AS MATERIALIZED (SELECT level, tree, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM nodes WHERE n > 1 WINDOW w AS (PARTITION BY level, tree, i // 16 ORDER BY i)),
+places AS MATERIALIZED (SELECT d.*, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, (SELECT count(*) FROM subroots s WHERE s.tree < d.tree) AS j FROM d),
+paths AS (SELECT p.tree, p.i, list(struct_pack(l := s.l, r := s.r) ORDER BY s.level) AS path FROM places p JOIN sides s
+  ON (s.level < 1000 AND s.tree = p.tree AND s.i = p.i // (16 ** s.level)::BIGINT) OR (s.level >= 1000 AND s.i = p.j // (16 ** (s.level - 1000))::BIGINT) GROUP BY p.tree, p.i),
+out AS (SELECT p.doc_id, p.leaf, u.h AS subroot, (SELECT h FROM high WHERE n = 1) AS root, coalesce(q.path, []) AS path, coalesce(p.other, p.leaf) AS start
+  FROM places p JOIN subroots u USING (tree) LEFT JOIN paths q ON q.tree = p.tree AND q.i = p.i)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(list_aggregate([p.l || p.r for p in path], 'string_agg', ''), '')) AS proof_sha256,
+  {sql_fold('start')} AS folded_root, {sql_fold('start')} = root AS verified FROM out
+""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = ("doc_id", "source", "lang", "n_chars", "text")
+    small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = merkle.leaf([small if v == "text" else F.col(v) for v in values])
+    return merkle.manifest(table(spark, sf_dir, "documents"), values, other=F.when(language_id.fold("doc_id", 5) == 0, tampered))
