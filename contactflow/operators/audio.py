@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactflow.functions.geometry import mean_of
-from contactflow.operators.joins import band_join
-from contactflow.operators.ordering import blocked
+from contactflow.operators.ordering import BLOCK, block_of, blocked
 from contactflow.operators.ranking import exact_quantiles
 from contactflow.operators.suppress import first_fit, greedy_nms
 from contactflow.session import cut_lineage
@@ -113,47 +112,97 @@ def local_peaks(df: DataFrame, keys: Sequence[str], frame: str, value: str, heig
     return d.where((F.col(value) > F.col("_p")) & (F.col(value) > F.col("_n")) & (F.col(value) >= height)).drop("_p", "_n")
 
 
-def _sides(peaks: DataFrame, signal: DataFrame, keys: list[str], frame: str, value: str, reach: int) -> DataFrame:
-    """Per peak and side: offset of the nearest higher sample within reach, lowest sample before it."""
-    s = signal.select(*keys, F.col(frame).alias("_f"), F.col(value).alias("_v"))
-    p = peaks.select(*keys, frame, F.col(value).alias("_pv"))
-    pairs = band_join(p, s, keys, left_on=frame, right_on="_f", lo=-reach, hi=reach)
-    off = F.col("_f") - F.col(frame)
-    left, right = off < 0, off > 0
-    higher = F.col("_v") > F.col("_pv")
-    # first pass: where a higher sample blocks the view
-    stop = pairs.groupBy(*keys, frame).agg(F.min(F.when(left & higher, -off)).alias("_ls"), F.min(F.when(right & higher, off)).alias("_rs"))
-    seen = pairs.join(stop, [*keys, frame])
-    low = lambda side, dist, stop_at: F.min(F.when(side & (F.col(stop_at).isNull() | (dist < F.col(stop_at))), F.col("_v")))
-    return seen.groupBy(*keys, frame).agg(F.first("_ls").alias("_ls"), F.first("_rs").alias("_rs"),
-                                          low(left, -off, "_ls").alias("_lm"), low(right, off, "_rs").alias("_rm"))
-
-
-def prominent(peaks: DataFrame, signal: DataFrame, keys: Sequence[str], frame: str, value: str, needed: float,
-              first_reach: int = 32, growth: int = 16) -> DataFrame:
+def falls_to(v: np.ndarray, needed: float) -> np.ndarray:
+    """For each sample s the least peak height p with p - s >= needed, in the same floating-point comparison."""
+    p = np.asarray(v, dtype=float) + needed
+    for _ in range(2):
+        p = np.where(p - v >= needed, p, np.nextafter(p, np.inf))
+    for _ in range(2):
+        lower = np.nextafter(p, -np.inf)
+        p = np.where(lower - v >= needed, lower, p)
+    return p
+
+
+def entry_height(v: np.ndarray, needed: float) -> float:
+    """Least height of a peak before the samples that falls by ``needed`` in them before one is higher; inf if none does."""
+    before = np.concatenate([[-np.inf], np.maximum.accumulate(v)[:-1]])
+    return float(np.maximum(before, falls_to(v, needed)).min()) if len(v) else np.inf
+
+
+def peak_falls(v: np.ndarray, at: np.ndarray, needed: float, beyond: float) -> np.ndarray:
+    """Whether the peaks at places ``at`` fall on their left; those that meet neither a fall nor a higher sample fall from height ``beyond`` on.
+
+    All peaks step left together, by halving strides over running extremes of 1, 2, 4, ... samples."""
+    n, own = len(v), v[at]
+    top, low = [v], [v]
+    while (1 << len(top)) < n:
+        k = 1 << (len(top) - 1)
+        top.append(np.maximum(top[-1], np.concatenate([np.full(k, -np.inf), top[-1][:-k]])))
+        low.append(np.minimum(low[-1], np.concatenate([np.full(k, np.inf), low[-1][:-k]])))
+    place, least = at - 1, np.full(len(at), np.inf)
+    for k in range(len(top) - 1, -1, -1):
+        for _ in range(2 if k == len(top) - 1 else 1):
+            here = np.maximum(place, 0)
+            go = (place >= (1 << k) - 1) & (top[k][here] <= own)
+            least = np.where(go, np.minimum(least, low[k][here]), least)
+            place = np.where(go, place - (1 << k), place)
+    return (own - least >= needed) | ((place < 0) & (own >= beyond))
+
+
+def prominent(peaks: DataFrame, signal: DataFrame, keys: Sequence[str], frame: str, value: str, needed: float, size: int = BLOCK) -> DataFrame:
     """Peaks that fall by ``needed`` on both sides before a higher sample.
 
-    Each round looks further; a peak is settled once it has fallen far enough or
-    met a higher sample on each side, or the recording ends.
+    Seen from a block's edge, whether a peak falls depends on its height alone and never turns back as it grows: from some height
+    on it falls. A block maps the height that its far edge asks for to that of its near edge, x -> min(own, max(highest sample, x)).
+    So a block is two numbers a side, composed per recording from one row a block; then every block settles its own peaks. No
+    pairs are made, however far a peak must look, and the output is linear.
     """
     keys = list(keys)
-    span = signal.groupBy(*keys).agg(F.min(frame).alias("_lo"), F.max(frame).alias("_hi"))
-    open_, kept, reach = peaks.join(span, keys), None, first_reach
-    cols = peaks.columns
-    while True:
-        d = open_.join(_sides(open_, signal, keys, frame, value, reach), [*keys, frame], "left")
-        fell = lambda m: F.coalesce(F.col(value) - F.col(m) >= needed, F.lit(False))
-        done_l = fell("_lm") | F.col("_ls").isNotNull() | (F.col(frame) - reach <= F.col("_lo"))
-        done_r = fell("_rm") | F.col("_rs").isNotNull() | (F.col(frame) + reach >= F.col("_hi"))
-        ok = fell("_lm") & fell("_rm")
-        state = F.when(ok, "keep").when((done_l & ~fell("_lm")) | (done_r & ~fell("_rm")), "drop").otherwise("open")
-        d = cut_lineage(d.withColumn("_state", state).select(*cols, "_lo", "_hi", "_state"))
-        k = d.where("_state = 'keep'").select(*cols)
-        kept = k if kept is None else kept.unionByName(k)
-        open_ = d.where("_state = 'open'").drop("_state")
-        if open_.isEmpty():
-            return kept
-        reach *= growth
+    rest = [c for c in peaks.columns if c not in (*keys, frame)]
+    d = signal.select(*keys, F.col(frame).alias("_f"), F.col(value).cast("double").alias("_v"), F.lit(None).cast(peaks.select(F.struct(*rest)).schema[0].dataType).alias("_row"))
+    d = d.where("_v is not null and not isnan(_v)").unionByName(peaks.select(*keys, F.col(frame).alias("_f"), F.lit(None).cast("double").alias("_v"), F.struct(*rest).alias("_row")))
+    rows = d.groupBy(*keys, block_of("_f", size).alias("_blk")).agg(
+        F.sort_array(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("_f", "_v")))).alias("_s"),
+        F.collect_list(F.when(F.col("_row").isNotNull(), F.struct("_f", "_row"))).alias("_p"))
+    rows = cut_lineage(rows)  # a row a block, read three times
+
+    @F.pandas_udf("struct<top:double,left:double,right:double>")
+    def edges(samples: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in samples:
+            v = np.asarray(v, dtype=float)
+            out.append((v.max(initial=-np.inf), entry_height(v[::-1], needed), entry_height(v, needed)))
+        return pd.DataFrame(out, columns=["top", "left", "right"])
+
+    @F.pandas_udf("array<struct<l:double,r:double>>")
+    def beyond(tops: pd.Series, lefts: pd.Series, rights: pd.Series) -> pd.Series:
+        """What the blocks beyond each edge ask for: composed from the farthest block on."""
+        def composed(top: Sequence[float], own: Sequence[float]) -> list[float]:
+            x, out = np.inf, []
+            for t, o in zip(top, own):
+                out.append(x)
+                x = min(o, max(t, x))
+            return out
+
+        return pd.Series([[{"l": x, "r": y} for x, y in zip(composed(t, left), composed(t[::-1], right[::-1])[::-1])] for t, left, right in zip(tops, lefts, rights)])
+
+    parts = rows.select(*keys, "_blk", edges("_s._v").alias("_e")).select(*keys, "_blk", "_e.*").where("top > double('-infinity')")
+    whole = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_blk", "top", "left", "right"))).alias("_b"))
+    asked = whole.withColumn("_x", beyond("_b.top", "_b.left", "_b.right"))
+    asked = asked.select(*keys, F.explode(F.arrays_zip(F.col("_b._blk").alias("b"), F.col("_x").alias("x"))).alias("z"))
+    asked = asked.select(*keys, F.col("z.b").alias("_blk"), F.col("z.x.l").alias("_l"), F.col("z.x.r").alias("_r"))
+
+    @F.pandas_udf("array<boolean>")
+    def settle(frames: pd.Series, samples: pd.Series, at: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for f, v, p, x, y in zip(frames, samples, at, left, right):
+            v, k = np.asarray(v, dtype=float), np.searchsorted(np.asarray(f), np.asarray(p))
+            out.append((peak_falls(v, k, needed, x) & peak_falls(v[::-1], len(v) - 1 - k, needed, y)).tolist())
+        return pd.Series(out)
+
+    d = rows.where(F.size("_p") > 0).join(asked, [*keys, "_blk"]).withColumn("_m", settle("_s._f", "_s._v", "_p._f", "_l", "_r"))
+    d = d.select(*keys, F.explode(F.filter(F.zip_with("_p", "_m", lambda p, m: F.struct(p.alias("p"), m.alias("m"))), lambda z: z["m"])).alias("_z"))
+    return d.select(*keys, F.col("_z.p._f").alias(frame), "_z.p._row.*").select(*peaks.columns)
 
 
 def pick_peaks(signal: DataFrame, keys: Sequence[str], frame: str, value: str, height: float, distance: int) -> DataFrame:

@@ -147,8 +147,30 @@ def test_prominence_looks_as_far_as_needed(spark):
     v[100], v[0], v[199] = 0.6, 0.1, 0.1      # falls far enough only at the ends
     sig = spark.createDataFrame([(1, i, x) for i, x in enumerate(v)], "k int, f int, v double")
     peak = sig.where("f = 100")
-    assert prominent(peak, sig, ["k"], "f", "v", 0.3, first_reach=4, growth=4).count() == 1
-    assert prominent(peak, sig, ["k"], "f", "v", 0.55, first_reach=4, growth=4).count() == 0
+    assert prominent(peak, sig, ["k"], "f", "v", 0.3, size=4).count() == 1
+    assert prominent(peak, sig, ["k"], "f", "v", 0.55, size=4).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["noise", "steps", "rise", "flat"])
+def test_prominence_equals_brute_force(spark, kind):
+    from contactflow.operators.audio import local_peaks, prominent
+    r = random.Random(41)
+    make = {"noise": lambda i: r.random(), "steps": lambda i: r.randrange(6) / 10, "rise": lambda i: i / 500 + (0.3 if i % 7 == 0 else 0.1 * r.random()), "flat": lambda i: 0.9 if i % 5 == 0 else 0.7}[kind]
+    v = {i: make(i) for i in range(600) if kind == "flat" or r.random() < 0.97}
+    sig = spark.createDataFrame(list((1, i, x) for i, x in v.items()), "k int, f int, v double")
+    peaks = local_peaks(sig, ["k"], "f", "v", 0.0).withColumn("extra", F.lit("x"))
+    for needed in (0.1, 0.2, 0.35, 0.8):
+        want = set()
+        for p in (x.f for x in peaks.collect()):
+            fell = []
+            for step in (-1, 1):
+                low, g = float("inf"), p + step
+                while 0 <= g < 600 and not (g in v and v[g] > v[p]):
+                    low, g = min(low, v.get(g, low)), g + step
+                fell.append(v[p] - low >= needed)
+            want |= {p} if all(fell) else set()
+        got = prominent(peaks, sig, ["k"], "f", "v", needed, size=16)
+        assert got.columns == peaks.columns and {x.f for x in got.collect()} == want
 
 
 def test_ranks_split_a_hot_score(spark):
