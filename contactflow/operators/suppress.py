@@ -7,6 +7,8 @@ gathered whole.
 """
 from __future__ import annotations
 
+import json
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactflow.operators.ordering import BLOCK, block_of, islands
+from contactflow.operators.ordering import BLOCK, block_of
 from contactflow.session import cut_lineage
 
 DROPPED, KEPT, UNKNOWN = 0, 1, 2
@@ -189,43 +191,153 @@ def greedy_nms(df: DataFrame, keys: Sequence[str], frame: str, score: str, coold
 
 # ---------------------------------------------------------------- two-level cooldowns
 
+#: Frames still blocked: for every pair, and for each pair that is blocked at all.
+State = tuple[int, tuple[tuple[str | None, int], ...]]
+FREE: State = (0, ())
+
+
+class Automaton:
+    """The cooldown as an automaton over the rows (frame, pair) of a block; its states are relative to a frame."""
+
+    def __init__(self, frames: Sequence[int], pairs: Sequence[str | None], base: int, pair_cooldown: int, global_cooldown: int) -> None:
+        self.f, self.p, self.base = [int(f) for f in frames], list(pairs), int(base)
+        self.pc, self.gc = pair_cooldown, global_cooldown
+        self.head = bisect_left(self.f, base + max(pair_cooldown, global_cooldown))
+        self.memo: dict[tuple, State] = {}
+
+    def left(self, until: int, last: dict, frame: int) -> State:
+        """The state at ``frame``."""
+        return max(0, until - frame), tuple(sorted(((p, u - frame) for p, u in last.items() if u > frame), key=lambda x: (x[0] is not None, x[0])))
+
+    def walk(self, state: State, frame: int, lo: int, hi: int, to: int, share: bool = False) -> tuple[list[int], State]:
+        """Rows lo..hi accepted from a state at ``frame``, and the state at frame ``to``; walks that meet share their ends."""
+        until, last = frame + state[0], {p: frame + n for p, n in state[1]}
+        taken, met, end = [], [], None
+        i = bisect_left(self.f, until, lo, hi)
+        while i < hi:
+            f, p = self.f[i], self.p[i]
+            if f < last.get(p, f):
+                i += 1
+                continue
+            taken.append(i)
+            until, last[p] = f + self.gc, f + self.pc
+            if share:
+                here = (i, self.left(until, last, f))
+                if (end := self.memo.get(here)) is not None:
+                    break
+                met.append(here)
+            i = bisect_left(self.f, until, i + 1, hi)
+        if end is None:
+            end = self.left(until, last, to)
+        for here in met:
+            self.memo[here] = end
+        return taken, end
+
+    @property
+    def settled(self) -> int:
+        """The frame from which on nothing before the block counts."""
+        return self.base + max(self.pc, self.gc)
+
+    def middle(self, entry: State) -> State:
+        return self.walk(entry, self.base, 0, self.head, self.settled)[1]
+
+    def exit(self, middle: State, size: int) -> State:
+        return self.walk(middle, self.settled, self.head, len(self.f), self.base + size, share=True)[1]
+
+    def likely(self) -> list[State]:
+        """Middle states after no or one acceptance in the frames before the block."""
+        pairs = list(dict.fromkeys(self.p[:self.head]))
+        entries = [FREE, *[(max(0, self.gc - o), ((p, self.pc - o),) if o < self.pc else ()) for o in range(1, max(self.pc, self.gc)) for p in pairs]]
+        return list(dict.fromkeys(map(self.middle, entries)))
+
+
+def _text(state: State) -> str:
+    return json.dumps(state)
+
+
+def _state(text: str) -> State:
+    n, pairs = json.loads(text)
+    return n, tuple((p, k) for p, k in pairs)
+
+
 def pair_global_cooldown(df: DataFrame, keys: Sequence[str], frame: str, pair: Column, *,
-                         pair_cooldown: int, global_cooldown: int, tie: Sequence[str]) -> DataFrame:
+                         pair_cooldown: int, global_cooldown: int, tie: Sequence[str], size: int = BLOCK) -> DataFrame:
     """Frame-ordered acceptance with a cooldown per pair and one over all pairs.
 
     Pass an unordered pair key for symmetric cooldowns or a directed one for
-    per-direction cooldowns. Runs separated by the longer cooldown cannot
-    influence each other and resolve independently. Rows of one frame are tried in
-    pair order.
+    per-direction cooldowns. Rows of one frame are tried in pair order.
+
+    A block of frames is an automaton. What came before it counts in its first
+    ``max(cooldowns)`` frames only, so a block is its rows of these frames and a table
+    from the state after them to the state at its end. Tables hold the states that
+    follow from at most one earlier acceptance; a walk over the blocks of a recording
+    asks for the few others, which their blocks add until none is missing. Then every block
+    accepts its own rows. No array holds a run, however dense it is.
     """
     keys = list(keys)
-    gap = max(pair_cooldown, global_cooldown)
+    gap = max(pair_cooldown, global_cooldown, 1)
+    size = max(size, 2 * gap)
     d = df.withColumn("_p", pair)
     # later rows of the same frame and pair are always blocked
     rest = [c for c in df.columns if c not in (*keys, frame)]
     d = (d.groupBy(*keys, frame, "_p")
          .agg(F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(tie)],
                              F.struct(*rest).alias("_row"))).alias("_w")))
-    axis = islands(d.select(*keys, frame).distinct(), keys, frame, gap)
-    d = d.join(axis, [*keys, frame])
-    runs = d.groupBy(*keys, "island").agg(F.sort_array(F.collect_list(
+    blocks = d.groupBy(*keys, block_of(frame, size).alias("_blk")).agg(F.sort_array(F.collect_list(
         F.struct(F.col(frame).alias("f"), F.col("_p").alias("p"), F.col("_w").alias("w")))).alias("_a"))
+    blocks = cut_lineage(blocks)
+    made = lambda b, f, p: Automaton(f, p, b * size, pair_cooldown, global_cooldown)
+
+    @F.pandas_udf("array<struct<middle:string,exit:string>>")
+    def likely(blks: pd.Series, frames: pd.Series, pairs: pd.Series) -> pd.Series:
+        out = []
+        for b in map(made, blks, frames, pairs):
+            out.append([{"middle": _text(m), "exit": _text(b.exit(m, size))} for m in b.likely()])
+        return pd.Series(out)
+
+    @F.pandas_udf("string")
+    def exit_(blks: pd.Series, frames: pd.Series, pairs: pd.Series, middles: pd.Series) -> pd.Series:
+        return pd.Series([_text(made(b, f, p).exit(_state(m), size)) for b, f, p, m in zip(blks, frames, pairs, middles)])
+
+    @F.pandas_udf("array<struct<entry:string,middle:string,missing:boolean>>")
+    def passed(blks: pd.Series, frames: pd.Series, pairs: pd.Series, middles: pd.Series, exits: pd.Series) -> pd.Series:
+        out = []
+        for recording in zip(blks, frames, pairs, middles, exits):
+            state, before, got = FREE, None, []
+            for b, f, p, ms, es in zip(*recording):
+                entry = state if before is not None and b == before + 1 else FREE  # an absent block outlasts any cooldown
+                middle, table = _text(made(b, f, p).middle(entry)), dict(zip(ms, es))
+                got.append({"entry": _text(entry), "middle": middle, "missing": middle not in table})
+                state, before = _state(table.get(middle, es[0])), b
+            out.append(got)
+        return pd.Series(out)
 
     @F.pandas_udf("array<boolean>")
-    def accept(frames: pd.Series, pairs: pd.Series) -> pd.Series:
+    def accept(blks: pd.Series, frames: pd.Series, pairs: pd.Series, entries: pd.Series) -> pd.Series:
         out = []
-        for fs, ps in zip(frames, pairs):
-            last_any, last, mask = None, {}, []
-            for f, p in zip(fs, ps):
-                ok = (last_any is None or f - last_any >= global_cooldown) and (
-                    p not in last or f - last[p] >= pair_cooldown)
-                if ok:
-                    last_any, last[p] = f, f
-                mask.append(bool(ok))
-            out.append(mask)
+        for b, f, p, e in zip(blks, frames, pairs, entries):
+            mask = np.zeros(len(f), dtype=bool)
+            mask[made(b, f, p).walk(_state(e), b * size, 0, len(f), (b + 1) * size)[0]] = True
+            out.append(mask.tolist())
         return pd.Series(out)
 
-    out = (runs.withColumn("_m", accept("_a.f", "_a.p"))
+    head = F.filter("_a", lambda x: x["f"] < F.col("_blk") * size + gap)
+    heads = blocks.select(*keys, "_blk", head.alias("_h")).select(*keys, "_blk", F.col("_h.f").alias("hf"), F.col("_h.p").alias("hp"))
+    known = cut_lineage(blocks.select(*keys, "_blk", likely("_blk", "_a.f", "_a.p").alias("_t")))
+    while True:
+        whole = (heads.join(known, [*keys, "_blk"]).groupBy(*keys)
+                 .agg(F.sort_array(F.collect_list(F.struct("_blk", "hf", "hp", F.col("_t.middle").alias("m"), F.col("_t.exit").alias("e")))).alias("_b")))
+        steps = whole.select(*keys, F.explode(F.arrays_zip(F.col("_b._blk").alias("b"), passed("_b._blk", "_b.hf", "_b.hp", "_b.m", "_b.e").alias("s"))).alias("z"))
+        steps = cut_lineage(steps.select(*keys, F.col("z.b").alias("_blk"), "z.s.*"))
+        asked = steps.where("missing")
+        if asked.isEmpty():
+            break
+        more = blocks.join(asked, [*keys, "_blk"]).select(*keys, "_blk", "middle", exit_("_blk", "_a.f", "_a.p", "middle").alias("exit"))
+        more = more.select(*keys, "_blk", F.array(F.struct("middle", "exit")).alias("_n"))
+        known = known.join(more, [*keys, "_blk"], "left")
+        known = cut_lineage(known.select(*keys, "_blk", F.when(F.col("_n").isNull(), F.col("_t")).otherwise(F.concat("_t", "_n")).alias("_t")))
+    out = (blocks.join(steps.select(*keys, "_blk", "entry"), [*keys, "_blk"])
+           .withColumn("_m", accept("_blk", "_a.f", "_a.p", "entry"))
            .select(*keys, F.explode(F.filter(
                F.zip_with("_a", "_m", lambda a, m: F.struct(a.alias("a"), m.alias("m"))),
                lambda z: z["m"])).alias("z"))

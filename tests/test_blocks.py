@@ -64,6 +64,22 @@ def test_pair_global_equals_whole_list(spark):
     assert {r.id for r in got.collect()} == kept
 
 
+@pytest.mark.parametrize("kind,pc,gc", [("dense", 8, 3), ("dense", 30, 20), ("dense", 5, 5), ("sparse", 12, 2), ("sparse", 9, 0), ("one", 7, 10)])
+def test_cooldown_blocks_compose(spark, kind, pc, gc):
+    """Dense runs over 16 blocks and more: blocks never come to rest, so every block's table counts."""
+    r = random.Random(pc * 100 + gc)
+    n = 16 * max(2 * pc, 2 * gc, 16)
+    data = [(1, f, p, 3 * f + p) for f in range(n) for p in (range(1) if kind == "one" else range(3)) if kind != "sparse" or r.random() < 0.25]
+    kept, g, last = set(), None, {}
+    for _, f, p, i in sorted(data, key=lambda t: (t[1], str(t[2]))):
+        if (g is None or f - g >= gc) and (p not in last or f - last[p] >= pc):
+            g = last[p] = f
+            kept.add(i)
+    d = spark.createDataFrame(data, "k int, frame int, p int, id int")
+    got = pair_global_cooldown(d, ["k"], "frame", F.col("p").cast("string"), pair_cooldown=pc, global_cooldown=gc, tie=["id"], size=16)
+    assert {x.id for x in got.collect()} == kept
+
+
 @pytest.mark.parametrize("method", METHODS)
 def test_matching_equals_whole_list(spark, method):
     r = random.Random(7)
