@@ -20,6 +20,8 @@ from contactflow.operators.ordering import BLOCK, block_of
 from contactflow.session import cut_lineage
 
 DROPPED, KEPT, UNKNOWN = 0, 1, 2
+#: No row.
+NONE = -(1 << 62)
 
 
 def _winner_per_frame(df: DataFrame, keys: list[str], frame: str,
@@ -143,49 +145,157 @@ def _nms_block(frames, score, tie, status, lo, hi, cooldown):
     return status
 
 
+class _Open:
+    """The open rows of a block, with those of its neighbours that reach over its edges; rows are named by frame."""
+
+    def __init__(self, frames, score, tie, lo: int, hi: int, cooldown: int) -> None:
+        order = np.lexsort((np.asarray(tie), np.asarray(frames), -np.asarray(score, dtype=float)))
+        self.f, self.lo, self.hi, self.cd = [int(x) for x in frames], lo, hi, cooldown
+        self.rank = np.empty(len(order), dtype=np.int64)
+        self.rank[order] = np.arange(len(order))
+        self.near = [(bisect_left(self.f, x - cooldown + 1), bisect_left(self.f, x + cooldown)) for x in self.f]
+        self.own = [int(i) for i in order if lo <= self.f[i] < hi]
+
+    def beaten(self, i: int) -> list[int]:
+        a, b = self.near[i]
+        return [j for j in range(a, b) if self.rank[j] > self.rank[i] and self.lo <= self.f[j] < self.hi]
+
+    def outside(self, left: bool) -> list[int]:
+        """Frames of neighbours' rows that, if kept, drop a row of this block."""
+        return [x for i, x in enumerate(self.f) if (x < self.lo if left else x >= self.hi) and self.beaten(i)]
+
+    def kept(self, *outside: int) -> list[int]:
+        """Own rows kept if these neighbours' rows are."""
+        gone = bytearray(len(self.f))
+        for x in outside:
+            if x != NONE:
+                for j in self.beaten(bisect_left(self.f, x)):
+                    gone[j] = 1
+        out = []
+        for i in self.own:
+            if not gone[i]:
+                out.append(self.f[i])
+                a, b = self.near[i]
+                gone[a:b] = b"\1" * (b - a)
+        return out
+
+    def table(self) -> list[dict[str, int]]:
+        """For each kept row of either neighbour (at most one can reach in) the own kept rows that reach out."""
+        out = []
+        for left in [NONE, *self.outside(True)]:
+            for right in [NONE, *self.outside(False)]:
+                kept = self.kept(left, right)
+                out.append({"left": left, "right": right, "first": max((x for x in kept if x < self.lo + self.cd - 1), default=NONE),
+                            "last": max((x for x in kept if x > self.hi - self.cd), default=NONE)})
+        return out
+
+
+def _chained(blks, tables) -> list[tuple[int, int]]:
+    """The kept rows of either neighbour for each block: the one choice with which all tables of a recording agree.
+
+    tables: for each block its rows (left, right, first, last). A block says what it takes its right neighbour's first row to be, which
+    that block's own result must meet (a row that matters to nobody counts as none)."""
+    out: list[tuple[int, int]] = []
+    trail: list[dict] = []
+
+    def close() -> None:
+        at, back = next(k for k in trail[-1] if k[1] == NONE), []
+        for step in reversed(trail):
+            before, left = step[at]
+            back.append((left, at[1]))
+            at = before
+        out.extend(reversed(back))
+        trail.clear()
+
+    states, asked, before = {(NONE, NONE): None}, set(), None
+    for b, rows in zip(blks, tables):
+        if before is not None and b != before + 1:
+            close()
+            states, asked = {(NONE, NONE): None}, set()
+        known: dict[int, list] = {}
+        for left, right, first, last in rows:
+            known.setdefault(left, []).append((right, first, last))
+        step: dict = {}
+        for last_before, want in states:
+            left = last_before if last_before in known else NONE
+            for right, first, last in known[left]:
+                if first == want if want != NONE else first not in asked:
+                    step[last, right] = ((last_before, want), left)
+        trail.append(step)
+        states, asked, before = step, {r[1] for r in rows} - {NONE}, b
+    if trail:
+        close()
+    return out
+
+
 def greedy_nms(df: DataFrame, keys: Sequence[str], frame: str, score: str, cooldown: int, *,
                tie: str, size: int = BLOCK) -> DataFrame:
     """Highest score first; keep a row iff no kept row lies closer than ``cooldown``.
 
     Equal scores resolve by (frame, tie). A block sees a halo of neighbours and
-    decides every row whose outcome cannot depend on anything further away. Rows
-    left open (long monotone score ramps across a block edge) are retried with
-    the neighbours' decisions until none is open. Rows without a score are no
-    candidates: they neither suppress nor are kept.
+    decides every row whose outcome cannot depend on anything further away. What stays
+    open (long runs of equal scores or monotone ramps across block edges) is a problem of
+    its own over the open rows: at most one kept row of either neighbour reaches into a block, so
+    a block tabulates its edges' outcomes for each of these, one walk per recording
+    over the tables finds the outcomes that agree, and every block settles its rows.
+    So the work takes a fixed number of steps however long the runs are, and rows wait outside until their frames are
+    settled. Rows without a score are no candidates: they neither suppress nor are kept.
     """
     keys = list(keys)
     df = df.where(F.col(score).isNotNull())
     halo = 16 * cooldown
     size = max(size, 8 * halo)
     rows = _winner_per_frame(df, keys, frame, [-F.col(score), F.col(tie)])
-    state = rows.select(*keys, F.col(frame).alias("_frame"), F.col("_w._row").alias("_row"),
-                        F.lit(UNKNOWN).alias("_st"), (-F.col("_w._o0")).alias("_sc"),
-                        F.col("_w._o1").alias("_tie"))
+    rows = cut_lineage(rows.select(*keys, F.col(frame).alias("_frame"), F.col("_w._row").alias("_row"), (-F.col("_w._o0")).alias("_sc"), F.col("_w._o1").alias("_tie")))
+
+    def dealt(d: DataFrame, reach: int) -> DataFrame:
+        """A row for each block: its rows and those of its neighbours within reach."""
+        spots = F.sequence(block_of(F.col("_frame") - reach, size), block_of(F.col("_frame") + reach, size))
+        return (d.withColumn("_blk", F.explode(spots)).groupBy(*keys, "_blk")
+                .agg(F.sort_array(F.collect_list(F.struct("_frame", "_sc", "_tie"))).alias("_a")))
 
     @F.pandas_udf("array<int>")
-    def resolve(blk: pd.Series, f: pd.Series, s: pd.Series, t: pd.Series, st: pd.Series) -> pd.Series:
+    def resolve(blk: pd.Series, f: pd.Series, s: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([
-            _nms_block(a, b, c, d, k * size - halo, (k + 1) * size + halo, cooldown).tolist()
-            for k, a, b, c, d in zip(blk, f, s, t, st)])
-
-    while True:
-        lo = block_of(F.col("_frame") - halo, size)
-        hi = block_of(F.col("_frame") + halo, size)
-        home = block_of("_frame", size)
-        g = (state.withColumn("_blk", F.explode(F.sequence(lo, hi)))
-             .withColumn("_payload", F.when(F.col("_blk") == home, F.col("_row")))
-             .groupBy(*keys, "_blk")
-             .agg(F.sort_array(F.collect_list(F.struct("_frame", "_sc", "_tie", "_st", "_payload"))).alias("_a")))
-        g = g.withColumn("_n", resolve("_blk", "_a._frame", "_a._sc", "_a._tie", "_a._st"))
-        state = (g.select(*keys, F.explode(F.zip_with(
-                     "_a", "_n", lambda a, n: F.struct(a.alias("a"), n.alias("n")))).alias("z"))
-                 .where("z.a._payload is not null")
-                 .select(*keys, "z.a._frame", F.col("z.a._payload").alias("_row"),
-                         F.col("z.n").alias("_st"), "z.a._sc", "z.a._tie"))
-        state = cut_lineage(state)
-        if state.where(F.col("_st") == UNKNOWN).isEmpty():
-            break
-    kept = state.where(F.col("_st") == KEPT)
+            _nms_block(a, b, c, np.full(len(a), UNKNOWN), k * size - halo, (k + 1) * size + halo, cooldown).tolist()
+            for k, a, b, c in zip(blk, f, s, t)])
+
+    part = lambda n: lambda t: t[n]
+    made = lambda k, a, b, c: _Open(a, b, c, int(k) * size, (int(k) + 1) * size, cooldown)
+
+    @F.pandas_udf("array<struct<left:bigint,right:bigint,first:bigint,last:bigint>>")
+    def table(blk: pd.Series, f: pd.Series, s: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([made(*x).table() for x in zip(blk, f, s, t)])
+
+    @F.pandas_udf("array<struct<left:bigint,right:bigint>>")
+    def chained(blks: pd.Series, *cells: pd.Series) -> pd.Series:
+        return pd.Series([[{"left": x, "right": y} for x, y in _chained(own[0], [list(zip(*t)) for t in zip(*own[1:])])] for own in zip(blks, *cells)])
+
+    @F.pandas_udf("array<bigint>")
+    def settle(blk: pd.Series, f: pd.Series, s: pd.Series, t: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([made(*x[:4]).kept(*x[4:]) for x in zip(blk, f, s, t, left, right)])
+
+    cells = ["_blk", "_a._frame", "_a._sc", "_a._tie"]
+    d = dealt(rows, halo).withColumn("_n", resolve(*cells))
+    d = d.select(*keys, "_blk", F.explode(F.zip_with("_a", "_n", lambda a, n: F.struct(a.alias("a"), n.alias("n")))).alias("z"))
+    d = d.where((block_of("z.a._frame", size) == F.col("_blk")) & (F.col("z.n") != DROPPED))
+    d = cut_lineage(d.select(*keys, "z.a.*", F.col("z.n").alias("_st")))
+    kept = d.where(F.col("_st") == KEPT).select(*keys, "_frame")
+    open_ = d.where(F.col("_st") == UNKNOWN)
+    if not open_.isEmpty():
+        open_ = cut_lineage(dealt(open_, cooldown - 1))
+        tables = open_.select(*keys, "_blk", table(*cells).alias("_t"))
+        whole = tables.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_blk", "_t"))).alias("_b"))
+        chosen = whole.withColumn("_c", chained("_b._blk", *[F.transform("_b._t", part(n)) for n in ("left", "right", "first", "last")]))
+        chosen = chosen.select(*keys, F.explode(F.arrays_zip(F.col("_b._blk").alias("b"), F.col("_c").alias("c"))).alias("z"))
+        chosen = chosen.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("z.b").alias("_b"), "z.c.*")
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        more = open_.join(chosen, [*same, F.col("_blk") == F.col("_b")])
+        more = more.select(*keys, F.explode(settle(*cells, "left", "right")).alias("_frame"))
+        kept = kept.unionByName(more.withColumn("_frame", F.col("_frame").cast(rows.schema["_frame"].dataType)))
+    kept = kept.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_frame").alias("_f"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    kept = rows.join(kept, [*same, F.col("_frame") == F.col("_f")], "left_semi")
     return kept.select(*keys, F.col("_frame").alias(frame), "_row.*").select(*df.columns)
 
 

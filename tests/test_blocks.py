@@ -37,6 +37,27 @@ def test_nms_equals_whole_list(spark, ramp):
     assert {r.id for r in got.collect()} == kept
 
 
+@pytest.mark.parametrize("kind", ["constant", "ramp", "fall", "vee", "saw", "gaps"])
+def test_nms_settles_long_runs_in_few_steps(spark, kind, monkeypatch):
+    """Runs over 64 blocks, in which a row's outcome depends on rows of all of them."""
+    from contactflow.operators import suppress
+    cd, n = 2, 64 * 8 * 32  # a block has 8 halos of 16 cooldowns
+    score = {"constant": lambda f: 1.0, "ramp": lambda f: f / n, "fall": lambda f: 1 - f / n, "vee": lambda f: abs(f - n / 2), "saw": lambda f: (f % 3000) / 3000, "gaps": lambda f: 1.0}[kind]
+    r = random.Random(2)
+    data = [(1, f, score(f), f) for f in range(n) if r.random() < 0.9 and (kind != "gaps" or f % 1500 < 700)]
+    kept: list = []
+    taken = set()
+    for f, s, i in sorted(((f, s, i) for _, f, s, i in data), key=lambda t: (-t[1], t[0])):
+        if not any(g in taken for g in range(f - cd + 1, f + cd)):
+            taken.add(f)
+            kept.append(i)
+    steps = []
+    monkeypatch.setattr(suppress, "cut_lineage", lambda d, f=suppress.cut_lineage: (steps.append(1), f(d))[1])
+    got = greedy_nms(frame(spark, data), ["k"], "frame", "score", cd, tie="id", size=1)
+    assert {x.id for x in got.collect()} == set(kept)
+    assert len(steps) <= 8
+
+
 @pytest.mark.parametrize("cd,n", [(5, 1500), (7, 200)])
 def test_first_fit_equals_whole_list(spark, cd, n):
     data = rows(2, n, 1200)
