@@ -1,12 +1,17 @@
 """Parameter grids and sweeps."""
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import product
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactflow.operators.ordering import islands
+from contactflow.session import cut_lineage
+
 
 def with_grid(df: DataFrame, grid: Mapping[str, Sequence]) -> DataFrame:
     """Each row once per parameter combination.
@@ -75,3 +80,212 @@ def constrained_best(table: DataFrame, config: Sequence[str], floor: float, fall
     b = table.agg(F.min(F.struct(tier.alias("tier"), first.alias("_a"), (-F.col("f1")).alias("_b"), *config,
                                  "precision", "recall", "f1")).alias("b"))
     return b.select(*[f"b.{c}" for c in (*config, "tier", "precision", "recall", "f1")])
+
+
+# ---------------------------------------------------------------- searches over many trials
+
+#: Scores of rows under trials lo..hi: (features n x f, lo, hi) -> n x (hi - lo). Summed term by term, so SQL gives the same digits.
+Scorer = Callable[[np.ndarray, int, int], np.ndarray]
+CHUNK, CELLS, LONG = 250, 4_000_000, 4_000  # trials of a task; cells held at a time; rows of a run that one task still takes
+
+
+def linear_scorer(weights: np.ndarray) -> Scorer:
+    def scores(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        w = weights[lo:hi]
+        out = w[None, :, 0] * x[:, 0, None]
+        for k in range(1, w.shape[1]):
+            out = out + w[None, :, k] * x[:, k, None]
+        return out
+    return scores
+
+
+def vote_scorer(least: np.ndarray, most: np.ndarray) -> Scorer:
+    """One vote for each feature within [least, most] of its trial."""
+    def scores(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        out = np.zeros((len(x), hi - lo))
+        for k in range(least.shape[1]):
+            out += (x[:, k, None] >= least[None, lo:hi, k]) & (x[:, k, None] <= most[None, lo:hi, k])
+        return out
+    return scores
+
+
+def score_cuts(rows: DataFrame, features: Sequence[str], scorer: Scorer, trials: int, top: Sequence[float]) -> np.ndarray:
+    """(trials x shares): the score at place floor(n * (1 - share)) among a trial's n positive scores, in ascending order.
+
+    Exact selection by counted digits: positive doubles order like their bits, so four passes over the rows count the
+    next 16 bits of those that share the digits found so far. Tasks emit counts, a window over each trial's counts finds the digit."""
+    features, top = list(features), list(top)
+    found = np.zeros((trials, len(top)), dtype=np.int64)
+    rank: np.ndarray | None = None
+    for level in range(4):
+        shift = 48 - 16 * level
+
+        def counts(frames: Iterator[pd.DataFrame], known=found, level=level, shift=shift) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                x = frame[features].to_numpy(dtype=float)
+                step = max(1, CELLS // max(1, len(x)))
+                for lo in range(0, trials, step):
+                    s = scorer(x, lo, min(trials, lo + step))
+                    bits = np.where(s > 0, s, 0.0).view(np.int64)
+                    digit = (bits >> shift) & 0xFFFF
+                    out = []
+                    for t in range(bits.shape[1]):
+                        for c in range(len(top) if level else 1):
+                            own = (bits[:, t] > 0) & ((bits[:, t] >> (shift + 16)) == known[lo + t, c]) if level else bits[:, t] > 0
+                            d, n = np.unique(digit[own, t], return_counts=True)
+                            out.append((np.full(len(d), lo + t), np.full(len(d), c), d, n))
+                    yield pd.DataFrame(dict(zip(("trial", "c", "digit", "n"), (np.concatenate(p) for p in zip(*out)))))
+
+        part = rows.select(*features).mapInPandas(counts, "trial int, c int, digit int, n long").groupBy("trial", "c", "digit").agg(F.sum("n").alias("n"))
+        w = Window.partitionBy("trial", "c").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
+        part = part.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+        if level:
+            ask = {(t, c): int(rank[t, c]) for t in range(trials) for c in range(len(top))}
+            asked = rows.sparkSession.createDataFrame([(*k, v) for k, v in ask.items() if v >= 0], "trial int, c int, rank long")
+            hit = part.join(asked, ["trial", "c"])
+        else:
+            whole = part.groupBy("trial").agg(F.sum("n").alias("all")).collect()  # a row for each trial
+            rank = np.full((trials, len(top)), -1, dtype=np.int64)
+            for r in whole:
+                rank[r["trial"]] = [int(r["all"] * (1 - p)) for p in top]
+            asked = rows.sparkSession.createDataFrame([(t, c, int(rank[t, c])) for t in range(trials) for c in range(len(top)) if rank[t, c] >= 0], "trial int, c int, rank long")
+            hit = part.drop("c").join(asked, "trial")
+        hit = hit.where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("n")))
+        for r in hit.select("trial", "c", "digit", "below").collect():  # a row for each trial and share
+            found[r["trial"], r["c"]] = (found[r["trial"], r["c"]] << 16) | r["digit"]
+            rank[r["trial"], r["c"]] -= r["below"]
+    return np.where(rank >= 0, found.view(np.float64), np.inf)
+
+
+def _kept(edges: tuple[np.ndarray, np.ndarray], s: np.ndarray) -> np.ndarray:
+    """Score-greedy suppression of all trials at once. edges: rows i < j (in tie order) closer than the cooldown."""
+    i, j = edges
+    kept, gone = np.zeros(s.shape, dtype=bool), np.zeros(s.shape, dtype=bool)
+    if not len(i):
+        return ~kept
+    first = s[i] >= s[j]  # the earlier row wins ties
+    loser, winner = np.concatenate([j, i]), np.concatenate([i, j])
+    beats = np.concatenate([first, ~first])
+    order = np.argsort(loser, kind="stable")
+    loser, winner, beats = loser[order], winner[order], beats[order]
+    starts = np.flatnonzero(np.r_[True, loser[1:] != loser[:-1]])
+    nodes = loser[starts]
+    while True:
+        waits = np.zeros(s.shape, dtype=bool)
+        waits[nodes] = np.logical_or.reduceat(beats & ~gone[winner], starts)
+        kept = ~waits & ~gone
+        new = np.zeros(s.shape, dtype=bool)
+        new[nodes] = np.logical_or.reduceat(beats & kept[winner], starts)
+        if (new <= gone).all():
+            return kept
+        gone |= new
+
+
+def _close(frames: np.ndarray, run: np.ndarray, other: np.ndarray, other_run: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place in frames, place in other) of one run at most ``reach`` frames apart; both sides ordered by run and frame."""
+    far = 4 * reach + 4 + int(max(frames.max(initial=0), other.max(initial=0)) - min(frames.min(initial=0), other.min(initial=0)))
+    a, b = frames + run * far, other + other_run * far
+    lo, hi = np.searchsorted(b, a - reach), np.searchsorted(b, a + reach, side="right")
+    left = np.repeat(np.arange(len(a)), hi - lo)
+    return left, np.arange(len(left)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+
+
+def _counts(frames, run, x, gt, gt_run, scorer: Scorer, lo: int, hi: int, cuts: np.ndarray, cooldowns: Sequence[int], tol: int) -> tuple[np.ndarray, np.ndarray]:
+    """(matched, kept) by trial, cut and cooldown for the rows of some runs."""
+    s = scorer(x, lo, hi)
+    det, truth = _close(frames, run, gt, gt_run, tol)
+    rank = np.lexsort((gt[truth], frames[det], np.abs(frames[det] - gt[truth]), run[det]))
+    det, truth = det[rank], truth[rank]
+    start = np.flatnonzero(np.r_[True, run[det][1:] != run[det][:-1]]) if len(det) else np.zeros(0, dtype=np.int64)
+    turn = np.arange(len(det)) - np.repeat(start, np.diff(np.r_[start, len(det)]))
+    shape = (hi - lo, cuts.shape[1], len(cooldowns))
+    matched, n = np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=np.int64)
+    for k, cd in enumerate(cooldowns):
+        i, j = _close(frames, run, frames, run, cd - 1)
+        kept = _kept((i[i < j], j[i < j]), s)
+        for c in range(cuts.shape[1]):
+            there = kept & (s >= cuts[None, lo:hi, c])
+            n[:, c, k] = there.sum(axis=0)
+            taken = np.zeros((len(gt), hi - lo), dtype=bool)
+            for r in range(int(turn.max(initial=-1)) + 1):  # the r-th closest pair of every run
+                own = np.flatnonzero(turn == r)
+                hit = there[det[own]] & ~taken[truth[own]]
+                there[det[own]] &= ~hit
+                taken[truth[own]] |= hit
+                matched[:, c, k] += hit.sum(axis=0)
+    return matched, n
+
+
+def search_trials(rows: DataFrame, truth: DataFrame, keys: Sequence[str], *, frame: str, tie: str, features: Sequence[str], scorer: Scorer, trials: int,
+                  cuts: np.ndarray, cooldowns: Sequence[int], tol: int, long: int = LONG) -> DataFrame:
+    """(trial, cut, cd, tp, fp, fn, precision, recall, f1) of every trial, cut (by number) and cooldown.
+
+    Rows score by trial, those of at least the cut stay, score-greedy suppression and closest-pair matching follow. Rows and truths that
+    are further apart than cooldown and tolerance never meet, so a recording falls into runs. A task takes some runs and
+    CHUNK trials: which rows are close and the order of pairs are the same for all trials, so these decide whole trial vectors at once.
+    Runs of more than ``long`` rows take the operators keyed by trial, whose work no run gathers.
+    """
+    from contactflow.operators.matching import match, with_prf
+    from contactflow.operators.suppress import greedy_nms
+
+    keys, features, cooldowns = list(keys), list(features), list(cooldowns)
+    dets = rows.select(*keys, F.col(frame).cast("long").alias("_f"), F.col(tie).alias("_t"), F.array(*[F.col(c).cast("double") for c in features]).alias("_x"))
+    truths = truth.select(*keys, F.col(frame).cast("long").alias("_f")).distinct()
+    axis = islands(dets.select(*keys, "_f").unionByName(truths).distinct(), keys, "_f", max(*cooldowns, tol + 1), "_run")
+    dets, truths = cut_lineage(dets.join(axis, [*keys, "_f"])), cut_lineage(truths.join(axis, [*keys, "_f"]))
+    sizes = dets.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("_m"))
+    big = cut_lineage(sizes.where(F.col("_m") > long))
+    small = dets.join(big, [*keys, "_run"], "left_anti")
+    each = small.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(F.struct("_f", "_t", "_x"))).alias("_d"))
+    each = each.join(truths.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list("_f")).alias("_g")), [*keys, "_run"], "left")
+    each = each.select(F.col("_d._f").alias("f"), F.col("_d._x").alias("x"), F.coalesce("_g", F.array().cast("array<bigint>")).alias("g"))
+    parts = -(-trials // CHUNK)
+    each = each.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition("chunk", F.xxhash64("f", "g"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, list[np.ndarray]] = {}
+        for batch in frames:
+            for chunk, own in batch.groupby("chunk"):
+                lo, hi = int(chunk) * CHUNK, min(trials, (int(chunk) + 1) * CHUNK)
+                at = 0
+                while at < len(own):
+                    end, cells = at, 0
+                    while end < len(own) and (end == at or cells < CELLS):
+                        cells += len(own["f"].iloc[end]) * (hi - lo)
+                        end += 1
+                    f, x, g = (own[c].iloc[at:end] for c in "fxg")
+                    got = _counts(np.concatenate(f.to_list()), np.repeat(np.arange(len(f)), [len(v) for v in f]), np.array([list(v) for u in x for v in u], dtype=float),
+                                  np.concatenate([np.asarray(v, dtype=np.int64) for v in g]), np.repeat(np.arange(len(g)), [len(v) for v in g]), scorer, lo, hi, cuts, cooldowns, tol)
+                    sums = total.setdefault(lo, [np.zeros_like(v) for v in got])
+                    for s, v in zip(sums, got):
+                        s += v
+                    at = end
+        for lo, (matched, n) in total.items():
+            t, c, k = np.indices(n.shape).reshape(3, -1)
+            yield pd.DataFrame({"trial": lo + t, "cut": c, "cd": np.array(cooldowns)[k], "tp": matched.ravel(), "n": n.ravel()})
+
+    out = each.mapInPandas(run, "trial int, cut int, cd int, tp long, n long")
+    if not big.isEmpty():
+        def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame_ in frames:
+                x = np.array(frame_["_x"].to_list(), dtype=float).reshape(len(frame_), -1)
+                for t in range(trials):
+                    s = scorer(x, t, t + 1)[:, 0]
+                    own = s >= cuts[t].min()
+                    yield frame_[own].drop(columns="_x").assign(trial=t, _s=s[own])
+
+        kind = ", ".join(f"{c} {t}" for c, t in dets.select(*keys, "_run", "_f", "_t").dtypes)
+        rest = dets.join(big.drop("_m"), [*keys, "_run"]).select(*keys, "_run", "_f", "_t", "_x").mapInPandas(scored, kind + ", trial int, _s double")
+        limits = rows.sparkSession.createDataFrame([(t, c, float(v)) for t, line in enumerate(cuts) for c, v in enumerate(line)], "trial int, cut int, _l double")
+        grid = [*keys, "_run", "trial", "cd"]
+        kept = None
+        for cd in cooldowns:
+            one = greedy_nms(rest, [*keys, "_run", "trial"], "_f", "_s", cd, tie="_t").withColumn("cd", F.lit(cd))
+            kept = one if kept is None else kept.unionByName(one)
+        kept = cut_lineage(kept.join(limits, "trial").where("_s >= _l").select(*grid, "cut", "_f"))
+        goal = truths.join(big.drop("_m"), [*keys, "_run"]).join(kept.select(*grid, "cut").distinct(), [*keys, "_run"])
+        m = match(kept, goal, [*grid, "cut"], tol, "closest_pair", frame="_f")
+        out = out.unionByName(m.groupBy("trial", "cut", "cd").agg(F.count("gt_frame").alias("tp"), F.count(F.lit(1)).alias("n")))
+    n_gt = truths.count()
+    out = out.groupBy("trial", "cut", "cd").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
+    return with_prf(out.select("trial", "cut", "cd", "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.lit(n_gt) - F.col("tp")).alias("fn")))

@@ -12,7 +12,7 @@ from contactflow.operators import detector as D
 from contactflow.operators import gates as GA
 from contactflow.operators import gates_extra as GX
 from contactflow.operators import joins as J
-from contactflow.operators.evidence import evidence_features
+from contactflow.operators.evidence import evidence_features, with_motion
 from contactflow.operators.ordering import blocked, row_number
 from contactflow.operators.ranking import ranked
 from contactflow.operators.suppress import first_fit, greedy_nms
@@ -63,6 +63,36 @@ def features(spark, sf):
     return d.join(p, [*KEYS, "frame", "striker_id"], "left").na.fill(-1.0, ["dist"])
 
 
+# the same with the motion of both boxes and the action's flag; the test actions carry no flag, so one of half confidence is significant
+view("ft8", """SELECT f.*, CASE WHEN b0.x1 IS NULL OR b1.x1 IS NULL OR s.x1 IS NULL THEN 0 ELSE greatest(0.0::DOUBLE,
+    sqrt(((s.x1+s.x2)/2-(b0.x1+b0.x2)/2)**2+((s.y1+s.y2)/2-(b0.y1+b0.y2)/2)**2)/3 - sqrt(((b1.x1+b1.x2)/2-(s.x1+s.x2)/2)**2+((b1.y1+b1.y2)/2-(s.y1+s.y2)/2)**2)/3) END AS decel,
+  CASE WHEN h0.x1 IS NULL OR h1.x1 IS NULL OR r.x1 IS NULL THEN 0 ELSE sqrt(
+    ((((h1.x1+h1.x2)/2-(r.x1+r.x2)/2)/4)-(((r.x1+r.x2)/2-(h0.x1+h0.x2)/2)/4))**2+(((h1.y1+0.18*(h1.y2-h1.y1))-(r.y1+0.18*(r.y2-r.y1)))/4-((r.y1+0.18*(r.y2-r.y1))-(h0.y1+0.18*(h0.y2-h0.y1)))/4)**2) END AS head_acc,
+  CASE WHEN conf >= 0.5 THEN 1.0::DOUBLE ELSE 0 END AS sig
+  FROM ft f LEFT JOIN box s ON s.match_id=f.match_id AND s.round_id=f.round_id AND s.frame=f.frame AND s.track_id=f.striker_id
+  LEFT JOIN box b0 ON b0.match_id=f.match_id AND b0.round_id=f.round_id AND b0.frame=f.frame-3 AND b0.track_id=f.striker_id
+  LEFT JOIN box b1 ON b1.match_id=f.match_id AND b1.round_id=f.round_id AND b1.frame=f.frame+3 AND b1.track_id=f.striker_id
+  LEFT JOIN box r ON r.match_id=f.match_id AND r.round_id=f.round_id AND r.frame=f.frame AND r.track_id=f.receiver_id
+  LEFT JOIN box h0 ON h0.match_id=f.match_id AND h0.round_id=f.round_id AND h0.frame=f.frame-4 AND h0.track_id=f.receiver_id
+  LEFT JOIN box h1 ON h1.match_id=f.match_id AND h1.round_id=f.round_id AND h1.frame=f.frame+4 AND h1.track_id=f.receiver_id""")
+
+
+def fusion_features(spark, sf):
+    d = with_motion(features(spark, sf), A.boxes(spark, sf))
+    return d.withColumn("sig", F.when(F.col("conf") >= 0.5, 1.0).otherwise(0.0))
+
+
+#: Terms of the linear evidence score, each from 0 to 1, in the order of their weights; the same in SQL.
+TERMS = ["conf", "t_audio", "ce", "t_dist", "t_decel", "t_head", "sig", "ce_ht"]
+
+
+def terms():
+    return dict(zip(TERMS, (F.col("conf"), F.least(F.lit(1.0), F.col("audio") * 4), F.col("ce"), F.greatest(F.lit(0.0), 1 - F.when(F.col("dist") > 0, F.col("dist")).otherwise(999.0) / 300.0),
+                            F.least(F.lit(1.0), F.col("decel") / 10.0), F.least(F.lit(1.0), F.col("head_acc") / 5.0), F.col("sig"), F.col("ce_ht"))))
+
+
+TERMS_SQL = ["conf", "least(1.0::DOUBLE,audio*4)", "ce", "greatest(0.0::DOUBLE,1-(CASE WHEN dist>0 THEN dist ELSE 999 END)/300.0)", "least(1.0::DOUBLE,decel/10.0)", "least(1.0::DOUBLE,head_acc/5.0)", "sig", "ce_ht"]
+
 FEATS = ["conf", "ce", "ce_ht", "audio", "dist"]
 
 
@@ -71,20 +101,23 @@ def _(spark, sf):
     return features(spark, sf).select("det_id", *[r6(F.col(c), c) for c in FEATS[:-1]], F.round("dist", 4).alias("dist"))
 
 
-@query("vote_count_score", """SELECT * FROM (SELECT det_id, CAST((conf>=0.3)::INT+(audio>=0.1)::INT+(ce>=0.3)::INT+(dist>0 AND dist<=150)::INT AS INTEGER) AS votes,
-  round((conf>=0.3)::INT+(audio>=0.1)::INT+(ce>=0.3)::INT+(dist>0 AND dist<=150)::INT+0.1*conf+0.02*audio+0.01*ce,6) AS score FROM ft) WHERE votes >= 2""")
+_VOTES = "((conf>=0.3)::INT+(audio>=0.1)::INT+(ce>=0.3)::INT+(dist>0 AND dist<=150)::INT+(decel>=5)::INT+(head_acc>=2)::INT)"
+
+
+@query("vote_count_score", f"SELECT * FROM (SELECT det_id, CAST({_VOTES} AS INTEGER) AS votes, round({_VOTES}+0.1*conf+0.02*audio+0.01*ce,6) AS score FROM ft8) WHERE votes >= 2")
 def _(spark, sf):
-    d = features(spark, sf)
-    v = SC.votes([F.col("conf") >= 0.3, F.col("audio") >= 0.1, F.col("ce") >= 0.3, (F.col("dist") > 0) & (F.col("dist") <= 150)])
+    d = fusion_features(spark, sf)
+    v = SC.votes([F.col("conf") >= 0.3, F.col("audio") >= 0.1, F.col("ce") >= 0.3, (F.col("dist") > 0) & (F.col("dist") <= 150), F.col("decel") >= 5.0, F.col("head_acc") >= 2.0])
     d = d.withColumn("votes", v).where("votes >= 2")
     return d.select("det_id", "votes", r6(F.col("votes") + 0.1 * F.col("conf") + 0.02 * F.col("audio") + 0.01 * F.col("ce"), "score"))
 
 
-@query("linear_evidence_score", """SELECT det_id, round(1.0*conf+0.8*least(1.0::DOUBLE, audio*4)+0.6*ce+0.5*greatest(0.0::DOUBLE, 1-(CASE WHEN dist>0 THEN dist ELSE 999 END)/300.0)+0.7*ce_ht,6) AS score FROM ft""")
+_LINEAR = dict(zip(TERMS, (1.0, 0.8, 0.6, 0.5, 0.4, 0.4, 0.2, 0.7)))
+
+
+@query("linear_evidence_score", "SELECT det_id, round(" + "+".join(f"{w}*{t}" for w, t in zip(_LINEAR.values(), TERMS_SQL)) + ",6) AS score FROM ft8")
 def _(spark, sf):
-    cols = {"conf": F.col("conf"), "audio": F.least(F.lit(1.0), F.col("audio") * 4), "ce": F.col("ce"),
-            "dist": F.greatest(F.lit(0.0), 1 - F.when(F.col("dist") > 0, F.col("dist")).otherwise(999.0) / 300.0), "ce_ht": F.col("ce_ht")}
-    return features(spark, sf).select("det_id", r6(SC.weighted_sum({"conf": 1.0, "audio": 0.8, "ce": 0.6, "dist": 0.5, "ce_ht": 0.7}, cols), "score"))
+    return fusion_features(spark, sf).select("det_id", r6(SC.weighted_sum(_LINEAR, terms()), "score"))
 
 
 @query("evidence_modes", """SELECT det_id, mode FROM ft, (SELECT unnest(['any','audio_only','ce_only','dist_only','audio_or_ce','audio_and_dist','ce_or_dist']) AS mode)

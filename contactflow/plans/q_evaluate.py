@@ -1,6 +1,9 @@
 """Evaluation, sweep and validation queries (survey group E)."""
 from __future__ import annotations
 
+from hashlib import md5
+from itertools import product
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,10 +14,11 @@ from contactflow.operators import search as SE
 from contactflow.operators.matching import match, match_counts, with_prf
 from contactflow.operators.ranking import blocks_by_rank, ranked, roc_auc
 from contactflow.operators.suppress import greedy_nms
-from contactflow.plans.q_candidates import features
+from contactflow.plans.q_candidates import TERMS, TERMS_SQL, features, fusion_features, terms
 from contactflow.plans.q_gates import nms_sql
 from contactflow.plans.q_geometry import r6
 from contactflow.plans.registry import query, view
+from contactflow.session import cut_lineage
 from contactflow.sources import adapters as A
 
 KEYS = ["match_id", "round_id"]
@@ -106,45 +110,101 @@ def _(spark, sf):
     return b.select("cd", "thr", "tier", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")])
 
 
-@query("vote_grid_search", """WITH vg AS (SELECT f.match_id, f.round_id, f.det_id, f.frame, ce_t, minv, (conf>=0.3)::INT+(audio>=0.1)::INT+(ce>=ce_t)::INT+(score>=0.1)::INT AS v FROM ft f, (SELECT unnest([0.2::DOUBLE,0.5]) AS ce_t), (SELECT unnest([1,2]) AS minv)),
-  vk AS (SELECT *, CAST(v AS DOUBLE) AS score, det_id*1000+(ce_t*10)::BIGINT*10+minv AS rid FROM vg WHERE v>=minv), """ + nms_sql("vk", 10, tie="rid", keys=("match_id", "round_id", "ce_t", "minv"))
-       + ", kp AS (SELECT DISTINCT match_id, round_id, ce_t, minv, frame FROM vk SEMI JOIN ids USING (rid)), gg AS (SELECT gt.*, ce_t, minv FROM gt, (SELECT unnest([0.2::DOUBLE,0.5]) AS ce_t), (SELECT unnest([1,2]) AS minv)), "
-       + match_sql("kp", "gg", 12, "closest_pair", keys=("match_id", "round_id", "ce_t", "minv"))
-       + ", cn AS (SELECT ce_t, minv, (SELECT count(*) FROM fin f WHERE f.ce_t=k.ce_t AND f.minv=k.minv) AS tp, count(*) AS nd FROM kp k GROUP BY ce_t, minv), sw AS (SELECT ce_t, minv, tp, nd-tp AS fp, (SELECT count(*) FROM gt)-tp AS fn FROM cn) SELECT ce_t, minv, tp, fp, fn, "
-       + _PRF + " FROM sw")
+_CONFIG_PRF = f"tp, fp, fn, {_PRF} FROM sw"
+
+
+def trial_sql(kept: str, n: int, cut: str = "cut") -> str:
+    """Counts of kept rows (match_id, round_id, trial, cut, frame) against the truth, for every trial and cut."""
+    return (f"kp AS (SELECT DISTINCT match_id, round_id, trial, {cut} AS cut, frame FROM {kept}), gg AS (SELECT DISTINCT g.match_id, g.round_id, g.frame, k.trial, k.cut FROM gt g JOIN kp k ON k.match_id=g.match_id AND k.round_id=g.round_id AND abs(k.frame-g.frame)<=12), "
+            + match_sql("kp", "gg", 12, "closest_pair", keys=("match_id", "round_id", "trial", "cut"))
+            + f", cn AS (SELECT trial, cut, count(*) AS nd FROM kp GROUP BY ALL), hits AS (SELECT trial, cut, count(*) AS tp FROM fin GROUP BY ALL), grid AS (SELECT t::INT AS trial, c::INT AS cut FROM (SELECT unnest(range({n})) AS t), (SELECT unnest(range((SELECT max(cut)+1 FROM kp))) AS c))"
+            + ", sw AS (SELECT trial, cut, coalesce(tp,0) AS tp, coalesce(nd,0)-coalesce(tp,0) AS fp, (SELECT count(*) FROM gt)-coalesce(tp,0) AS fn FROM grid LEFT JOIN cn USING (trial, cut) LEFT JOIN hits USING (trial, cut))")
+
+
+def trial_table(t):
+    return t.select("trial", "cut", "cd", "tp", "fp", "fn", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")])
+
+
+# votes: thresholds of each feature, all combinations; a distance of -1 is unknown and never votes
+VOTE_GRID = {"audio": [0.05, 0.1, 0.2], "ce": [0.2, 0.3, 0.5], "dist": [80.0, 150.0, 250.0, 400.0], "decel": [2.0, 5.0, 10.0], "head_acc": [1.0, 2.0, 4.0], "conf": [0.3, 0.4, 0.5]}
+_VG = list(product(*VOTE_GRID.values()))
+MIN_VOTES, VOTE_COOLDOWNS = [1.0, 2.0, 3.0], [6, 10, 15, 20]
+
+
+def vote_search(spark, sf, cooldowns):
+    d = fusion_features(spark, sf).withColumn("near", F.when(F.col("dist") > 0, F.col("dist")).otherwise(float("inf")))
+    names = ["near" if n == "dist" else n for n in VOTE_GRID]
+    grid = np.array(_VG)
+    least, most = np.where(np.array(names) == "near", -np.inf, grid), np.where(np.array(names) == "near", grid, np.inf)
+    cuts = np.tile(MIN_VOTES, (len(grid), 1))
+    return SE.search_trials(d, A.truth(spark, sf), KEYS, frame="frame", tie="det_id", features=names, scorer=SE.vote_scorer(least, most), trials=len(grid), cuts=cuts, cooldowns=cooldowns, tol=12)
+
+
+_VG_SQL = "(SELECT row_number() OVER (ORDER BY a, c, d, e, h, f) - 1 AS trial, * FROM " + ", ".join(f"(SELECT unnest({v}::DOUBLE[]) AS {n})" for n, v in zip("acdehf", VOTE_GRID.values())) + ")"
+
+
+@query("vote_grid_search", f"""WITH vg AS (SELECT x.match_id, x.round_id, x.det_id, x.frame, trial, (audio>=a)::INT+(ce>=c)::INT+(dist>0 AND dist<=d)::INT+(decel>=e)::INT+(head_acc>=h)::INT+(conf>=f)::INT AS score FROM ft8 x, {_VG_SQL}),
+  vk AS (SELECT *, det_id*1000+trial AS rid FROM vg WHERE score >= 1), """ + nms_sql("vk", 10, tie="rid", keys=("match_id", "round_id", "trial"))
+       + ", ck AS (SELECT v.*, m - 1 AS cut FROM vk v SEMI JOIN ids USING (rid), (SELECT unnest([1,2,3]) AS m) WHERE v.score >= m), " + trial_sql("ck", len(_VG)) + " SELECT trial, cut, 10 AS cd, " + _CONFIG_PRF)
 def _(spark, sf):
-    grid = {"ce_t": [0.2, 0.5], "minv": [1, 2]}
-    f = SE.with_grid(features(spark, sf), grid)
-    v = SC.votes([F.col("conf") >= 0.3, F.col("audio") >= 0.1, F.col("ce") >= F.col("ce_t"), F.col("score") >= 0.1])
-    f = f.withColumn("v", v.cast("double")).where("v >= minv").select(*KEYS, "ce_t", "minv", "det_id", "frame", "v")
-    kept = greedy_nms(f, [*KEYS, "ce_t", "minv"], "frame", "v", 10, tie="det_id")
-    t = SE.score_configs(kept, A.truth(spark, sf), KEYS, ["ce_t", "minv"], "frame", 12, grid)
-    return t.select("ce_t", "minv", "tp", "fp", "fn", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")])
+    return trial_table(vote_search(spark, sf, [10]))
+
+
+@query("vote_grid_search_cooldowns")
+def _(spark, sf):
+    """All cooldowns of the grid: the same operator, held against brute force in the tests."""
+    return trial_table(vote_search(spark, sf, VOTE_COOLDOWNS))
+
 
+# weights: seeded draws, one for each trial and term, by a rule that SQL can state too
+N_TRIALS, HIGHEST = 4000, [1.5, 1.5, 1.5, 1.5, 1.0, 1.0, 0.5, 1.5]
+TOP_SHARES, WEIGHT_COOLDOWNS = [0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40], [8, 12, 15, 20]
 
-_RNG = np.random.default_rng(0)
-TRIALS = [tuple(float(round(x, 6)) for x in _RNG.uniform(0, 1.5, 4)) for _ in range(3)]
-_TW = "[" + ",".join(f"{{'trial': {i}, 'a': {w[0]}::DOUBLE, 'b': {w[1]}::DOUBLE, 'c': {w[2]}::DOUBLE, 'd': {w[3]}::DOUBLE}}" for i, w in enumerate(TRIALS)) + "]"
+
+def weights():
+    draw = lambda t, k: int(md5(f"0:{t}:{k}".encode()).hexdigest()[:8], 16) / 4294967296.0
+    return np.array([[draw(t, k) * h for k, h in enumerate(HIGHEST)] for t in range(N_TRIALS)])
+
+
+def weight_cuts(spark, sf, shares):
+    d = cut_lineage(fusion_features(spark, sf).select(*KEYS, "det_id", "frame", *[c.alias(n) for n, c in terms().items()]).repartition(F.xxhash64("det_id")))
+    scorer = SE.linear_scorer(weights())
+    return d, scorer, SE.score_cuts(d, TERMS, scorer, N_TRIALS, shares)
+
+
+def weight_search(spark, sf, shares, cooldowns):
+    d, scorer, cuts = weight_cuts(spark, sf, shares)
+    return SE.search_trials(d, A.truth(spark, sf), KEYS, frame="frame", tie="det_id", features=TERMS, scorer=scorer, trials=N_TRIALS, cuts=cuts, cooldowns=cooldowns, tol=12)
+
+
+_WT = f"""wt AS MATERIALIZED (SELECT t::INT AS trial, {", ".join(f"('0x' || substr(md5('0:' || t || ':{k}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE * {h}::DOUBLE AS w{k}" for k, h in enumerate(HIGHEST))} FROM (SELECT unnest(range({N_TRIALS})) AS t)),
+  tm AS MATERIALIZED (SELECT match_id, round_id, det_id, frame, {", ".join(f"{t} AS t{k}" for k, t in enumerate(TERMS_SQL))} FROM ft8),
+  rs AS MATERIALIZED (SELECT match_id, round_id, det_id, frame, trial, {"+".join(f"w{k}*t{k}" for k in range(len(HIGHEST)))} AS score FROM tm, wt)"""
+_CUT = "th AS MATERIALIZED (SELECT trial, list_sort(list(score) FILTER (score>0)) AS l FROM rs GROUP BY trial)"
+
+
+@query("random_weight_cuts", f"WITH {_WT}, {_CUT} SELECT trial, (c-1)::INT AS cut, round(l[greatest(0, floor(len(l)*(1-p))::BIGINT)+1], 9) AS score FROM th, (SELECT unnest({TOP_SHARES}::DOUBLE[]) AS p, generate_subscripts({TOP_SHARES}::DOUBLE[], 1) AS c) WHERE len(l) > 0")
+def _(spark, sf):
+    cuts = weight_cuts(spark, sf, TOP_SHARES)[2]
+    return spark.createDataFrame([(t, c, round(float(v), 9)) for t, line in enumerate(cuts) for c, v in enumerate(line) if np.isfinite(v)], "trial int, cut int, score double")
+
+
+@query("random_weight_search", f"WITH {_WT}, {_CUT}, rk0 AS (SELECT r.*, det_id*10000+r.trial AS rid FROM rs r JOIN th USING (trial) WHERE r.score >= l[greatest(0, floor(len(l)*(1-0.25::DOUBLE))::BIGINT)+1]), "
+       + nms_sql("rk0", 12, tie="rid", keys=("match_id", "round_id", "trial")) + ", ck AS (SELECT r.*, 0 AS cut FROM rk0 r SEMI JOIN ids USING (rid)), " + trial_sql("ck", N_TRIALS) + " SELECT trial, cut, 12 AS cd, " + _CONFIG_PRF)
+def _(spark, sf):
+    return trial_table(weight_search(spark, sf, [0.25], [12]))
+
+
+@query("random_weight_search_grid")
+def _(spark, sf):
+    """All percentiles and cooldowns of all trials (112,000 configurations): the same operator, held against brute force in the tests."""
+    return trial_table(weight_search(spark, sf, TOP_SHARES, WEIGHT_COOLDOWNS))
 
 
-@query("random_weight_search", f"""WITH rs AS (SELECT f.match_id, f.round_id, f.det_id, f.frame, w.trial, w.a*conf+w.b*least(1.0::DOUBLE,audio*4)+w.c*ce+w.d*ce_ht AS score FROM ft f, (SELECT unnest({_TW}) AS w)),
-  th AS (SELECT trial, list_sort(list(score) FILTER (score>0)) AS l FROM rs GROUP BY trial), rk0 AS (SELECT r.*, det_id*10+r.trial AS rid FROM rs r JOIN th USING (trial) WHERE r.score >= l[greatest(0, floor(len(l)*0.75)::BIGINT)+1]), """
-       + nms_sql("rk0", 12, tie="rid", keys=("match_id", "round_id", "trial")) + ", kp AS (SELECT DISTINCT match_id, round_id, trial, frame FROM rk0 SEMI JOIN ids USING (rid)), gg AS (SELECT gt.*, trial FROM gt, (SELECT unnest([0,1,2]) AS trial)), "
-       + match_sql("kp", "gg", 12, "closest_pair", keys=("match_id", "round_id", "trial"))
-       + ", cn AS (SELECT trial, (SELECT count(*) FROM fin f WHERE f.trial=k.trial) AS tp, count(*) AS nd FROM kp k GROUP BY trial), sw AS (SELECT trial, tp, nd-tp AS fp, (SELECT count(*) FROM gt)-tp AS fn FROM cn) SELECT trial, tp, fp, fn, " + _PRF + " FROM sw")
+@query("random_weight_best")
 def _(spark, sf):
-    w = F.array(*[F.struct(F.lit(i).alias("trial"), *[F.lit(x).alias(n) for n, x in zip("abcd", t)]) for i, t in enumerate(TRIALS)])
-    f = features(spark, sf).withColumn("w", F.explode(w)).withColumn("trial", F.col("w.trial"))
-    f = f.withColumn("s", F.col("w.a") * F.col("conf") + F.col("w.b") * F.least(F.lit(1.0), F.col("audio") * 4) + F.col("w.c") * F.col("ce") + F.col("w.d") * F.col("ce_ht"))
-    f = f.select(*KEYS, "det_id", "frame", "trial", "s")
-    # the threshold is the score at a rank among positive scores
-    r = ranked(f.where("s > 0"), ["trial"], "s")
-    idx = F.floor(F.col("n") * 0.75)
-    thr = r.groupBy("trial").agg(F.max(F.when(F.col("rank_min") - 1 <= idx, F.col("s"))).alias("t"))
-    f = f.join(F.broadcast(thr), "trial").where("s >= t").drop("t")  # one row per trial
-    kept = greedy_nms(f, [*KEYS, "trial"], "frame", "s", 12, tie="det_id")
-    t = SE.score_configs(kept, A.truth(spark, sf), KEYS, ["trial"], "frame", 12, {"trial": [0, 1, 2]})
-    return t.select("trial", "tp", "fp", "fn", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")])
+    """The configuration with the highest F1; the first in trial, cooldown and percentile order wins ties."""
+    return SE.best_config(weight_search(spark, sf, TOP_SHARES, WEIGHT_COOLDOWNS), ["trial", "cd", "cut"]).select("trial", "cd", "cut", "tp", "fp", "fn", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")])
 
 
 @query("multi_tolerance_evaluation", "WITH tk AS (SELECT dd.*, tol FROM dd, (SELECT unnest([4,8,12]) AS tol)), tg AS (SELECT gt.*, tol FROM gt, (SELECT unnest([4,8,12]) AS tol)), "
