@@ -58,8 +58,17 @@ class Piece:
 class Packer:
     def __init__(self, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, pool: int = POOL_PIECES):
         self.limits, self.pool = np.array([max_tokens, max_segments, max_loss], dtype=np.int64), pool
-        self.waiting: dict[tuple[int, int, int], list[Piece]] = {}
-        self.count = 0
+        self.count = self.tokens = 0
+        self._rebuild({})
+
+    def _rebuild(self, waiting: dict[tuple[int, int, int], list[Piece]]) -> None:
+        """Classes of equal pieces as rows of arrays that live across sequences; a class that empties keeps its row until half are empty."""
+        self.slots = {kind: k for k, kind in enumerate(waiting)}
+        self.waiting = list(waiting.values())
+        self.kinds = np.zeros((max(64, 2 * len(waiting)), 3), dtype=np.int64)
+        self.kinds[:len(waiting)] = np.array(list(waiting), dtype=np.int64).reshape(-1, 3)
+        self.shares, self.many = self.kinds / self.limits, np.zeros(len(self.kinds), dtype=np.int64)
+        self.many[:len(waiting)] = [len(x) for x in self.waiting]
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         """Takes a piece; yields sequences that it fills alone."""
@@ -86,37 +95,41 @@ class Packer:
         return int(np.searchsorted(run, loss, side="right"))
 
     def _wait(self, piece: Piece) -> None:
-        self.waiting.setdefault((piece.length, 1, piece.loss), []).append(piece)
+        kind = (piece.length, 1, piece.loss)
+        k = self.slots.get(kind)
+        if k is None:
+            if len(self.waiting) == len(self.kinds):
+                self._rebuild({c: self.waiting[k] for c, k in self.slots.items() if self.waiting[k]})
+            k = self.slots[kind] = len(self.waiting)
+            self.waiting.append([])
+            self.kinds[k], self.shares[k] = kind, kind / self.limits
+        self.waiting[k].append(piece)
+        self.many[k] += 1
         self.count += 1
+        self.tokens += piece.length
 
-    def _take(self, kind: tuple[int, int, int]) -> Piece:
-        own = self.waiting[kind]
-        piece = own.pop()
-        if not own:
-            del self.waiting[kind]
+    def _take(self, k: int) -> Piece:
+        piece = self.waiting[k].pop()
+        self.many[k] -= 1
         self.count -= 1
+        self.tokens -= piece.length
         return piece
 
     def fill(self, keep: int, last: bool = False) -> Iterator[list[Piece]]:
         """Packs until at most `keep` pieces wait. Unless it is the last call, a bin is opened only if the waiting tokens fill it."""
         while self.count > keep:
-            kinds = np.array(list(self.waiting), dtype=np.int64)
-            many = np.array([len(x) for x in self.waiting.values()], dtype=np.int64)
-            names = list(self.waiting)
-            if not last and int((kinds[:, 0] * many).sum()) < self.limits[0]:
+            if not last and self.tokens < self.limits[0]:
                 return
             free, sequence = self.limits.copy(), []
-            while free[:2].min() > 0 and many.any():  # pieces without loss still fit where no loss is free
-                fits = (kinds <= free).all(axis=1) & (many > 0)
-                worth = (kinds / self.limits) @ (free / self.limits)
+            while free[:2].min() > 0 and self.count:  # pieces without loss still fit where no loss is free
+                n = len(self.waiting)
+                kinds, there = self.kinds[:n], self.many[:n] > 0
+                fits = there & (kinds[:, 0] <= free[0]) & (kinds[:, 2] <= free[2])
+                worth = self.shares[:n] @ (free / self.limits)
                 if fits.any():
-                    k = int(np.argmax(np.where(fits, worth, -1.0)))
-                    piece = self._take(names[k])
-                    many[k] -= 1
+                    piece = self._take(int(np.argmax(np.where(fits, worth, -1.0))))
                 else:
-                    k = int(np.argmax(np.where(many > 0, worth, -1.0)))
-                    piece = self._take(names[k])
-                    many[k] -= 1
+                    piece = self._take(int(np.argmax(np.where(there, worth, -1.0))))
                     n = self._most(piece, int(free[0]), int(free[2]))
                     if not n:
                         self._wait(piece)
