@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from contactflow import schema as S
 from contactflow.functions import scoring
 from contactflow.functions.kinematics import clip01
-from contactflow.operators.gates import full_gates
+from contactflow.operators.gates import PAIR, gates_at, hot_joints, pair_frames
 from contactflow.operators.joins import best_in_band, interval_join
 from contactflow.operators.suppress import greedy_nms
 from contactflow.schema import JointProfile
+from contactflow.session import cut_lineage
 
 KEYS = ["match_id", "round_id"]
 
@@ -40,6 +41,14 @@ def anchor_actions(actions: DataFrame, gates: DataFrame, before: int = 3, after:
     return best.select(*KEYS, "striker_id", *rest, "b.*")
 
 
+def anchored_gates(pose: DataFrame, actions: DataFrame, profile: JointProfile) -> DataFrame:
+    """Every action at its anchor with all gates: the gap alone chooses the anchors, the other gates are taken there only."""
+    hot = cut_lineage(hot_joints(pose, profile))
+    pairs = cut_lineage(pair_frames(hot))
+    anchors = cut_lineage(anchor_actions(actions, pairs.select(*PAIR, "frame", "gap", "region")))
+    return anchors.join(gates_at(hot, pairs, anchors), [*PAIR, "frame"])
+
+
 def score_anchored(anchored: DataFrame, contacts: DataFrame, onsets: DataFrame | None = None) -> DataFrame:
     """Gate scores, hard-filter reason and fused score per anchored action."""
     c = contact_prior(anchored, contacts, frame="frame")
@@ -71,6 +80,6 @@ def score_anchored(anchored: DataFrame, contacts: DataFrame, onsets: DataFrame |
 def detect(pose: DataFrame, actions: DataFrame, contacts: DataFrame, profile: JointProfile, *,
            threshold: float = 0.45, cooldown: int = 18, onsets: DataFrame | None = None) -> DataFrame:
     """End to end: anchor, score, filter, suppress."""
-    scored = score_anchored(anchor_actions(actions, full_gates(pose, profile)), contacts, onsets)
+    scored = score_anchored(anchored_gates(pose, actions, profile), contacts, onsets)
     good = scored.where(F.col("reject_reason").isNull() & (F.col("score") >= threshold))
     return greedy_nms(good, KEYS, "frame", "score", cooldown, tie="action_id")

@@ -41,8 +41,8 @@ def extension(w: Column, e: Column, s: Column, dims: str = "xy") -> Column:
     return F.when(chain > 1e-6, G.dist(w, s, dims) / chain)
 
 
-def track_gates(hot: DataFrame) -> DataFrame:
-    """decel, peak speed, arm extension and head reaction of every (track, frame)."""
+def track_gates(hot: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """decel, peak speed, arm extension and head reaction of every (track, frame), or of the tracks and frames in ``at``."""
     b = blocked(hot, TRACK, "frame", before=6, after=6)
     ext = F.greatest(F.coalesce(extension(F.col("lw"), F.col("le"), F.col("ls")), F.lit(0.0)),
                      F.coalesce(extension(F.col("rw"), F.col("re"), F.col("rs")), F.lit(0.0)))
@@ -53,6 +53,8 @@ def track_gates(hot: DataFrame) -> DataFrame:
          .withColumn("ext", F.max("_e").over(b.span(-1, 1)))
          .withColumn("_hb", b.at(F.col("head"), -4)).withColumn("_hf", b.at(F.col("head"), 4)))
     d = b.core(d)
+    if at is not None:
+        d = d.join(at, [*TRACK, "frame"], "left_semi")
 
     def wrist(arr: str, name: str) -> Column:
         return F.transform(F.col(arr), lambda p: F.struct(
@@ -90,18 +92,39 @@ def pair_frames(hot: DataFrame) -> DataFrame:
         (guard / sw).alias("guard_d"))
 
 
-def pair_gates(pairs: DataFrame) -> DataFrame:
-    """Adds approach share, guard openness and mean overlap to every pair frame."""
+def pair_gates(pairs: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """Adds approach share, guard openness and mean overlap to every pair frame, or to the pairs and frames in ``at``."""
     b = blocked(pairs, PAIR, "frame", before=8, after=2)
     d = (b.df.withColumn("_g", F.collect_list(F.struct("frame", "head_gap")).over(b.span(-8, 0)))
          .withColumn("_d", F.min("guard_d").over(b.span(-3, 0)))
          .withColumn("iou2", F.avg("iou").over(b.span(-2, 2))))
-    return b.core(d).select(
+    d = b.core(d)
+    if at is not None:
+        d = d.join(at, [*PAIR, "frame"], "left_semi")
+    return d.select(
         *PAIR, "frame", "gap", "region", "iou", F.col("iou2").alias("mean_iou"),
         K.falling_share(F.col("_g"), "head_gap", 4).alias("g_approach"),
         F.coalesce(K.clip01((F.col("_d") - 0.30) / 1.20), F.lit(0.5)).alias("g_guard"))
 
 
+#: Frames before and after a frame that its gates look at.
+REACH = 8
+
+
+def gates_at(hot: DataFrame, pairs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """All gates of the anchors (match, round, striker, receiver, frame): windows see the frames around anchors only, scores are taken at anchors only."""
+    anchors = anchors.select(*PAIR, "frame").distinct()
+    near = anchors.select("match_id", "round_id", F.explode(F.sequence(F.col("frame") - REACH, F.col("frame") + REACH)).alias("frame")).distinct()
+    axis = ["match_id", "round_id", "frame"]
+    sides = [anchors.select("match_id", "round_id", F.col(c).alias("track_id"), "frame") for c in ("striker_id", "receiver_id")]
+    tg = track_gates(hot.join(near, axis, "left_semi"), sides[0].unionByName(sides[1]).distinct())
+    s = tg.select("match_id", "round_id", F.col("track_id").alias("striker_id"), "frame", "g_decel", "peak", "ext")
+    r = tg.select("match_id", "round_id", F.col("track_id").alias("receiver_id"), "frame", "g_react")
+    return (pair_gates(pairs.join(near, axis, "left_semi"), anchors).drop("gap", "region")
+            .join(s, ["match_id", "round_id", "striker_id", "frame"])
+            .join(r, ["match_id", "round_id", "receiver_id", "frame"]))
+
+
 def full_gates(pose: DataFrame, profile: JointProfile) -> DataFrame:
     """Every pair frame with all gates of striker, receiver and pair."""
     hot = hot_joints(pose, profile)

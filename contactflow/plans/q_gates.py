@@ -318,7 +318,7 @@ ANCHORED = f"""WITH {_V5}, {_V6}, v5 AS (SELECT *, {_VV} FROM w5 WINDOW o AS ({_
 @query("anchored_contact_scores", ANCHORED + """ SELECT action_id, frame, striker_id, receiver_id, contact_region, reject_reason, round(score,5) AS score, round(gap,5) AS gap, round(g_decel,5) AS g_decel,
   round(g_react,5) AS g_react, round(g_approach,5) AS g_approach, round(g_guard,5) AS g_guard, round(mean_iou,5) AS mean_iou FROM sc""")
 def _(spark, sf):
-    s = D.score_anchored(D.anchor_actions(A.pose_actions(spark, sf), GA.full_gates(A.pose(spark, sf), PROFILE)), A.pose_contacts(spark, sf))
+    s = D.score_anchored(D.anchored_gates(A.pose(spark, sf), A.pose_actions(spark, sf), PROFILE), A.pose_contacts(spark, sf))
     return s.select("action_id", "frame", "striker_id", "receiver_id", "contact_region", "reject_reason",
                     *[F.round(c, 5).alias(c) for c in ("score", "gap", "g_decel", "g_react", "g_approach", "g_guard", "mean_iou")])
 
