@@ -12,7 +12,8 @@ text teaches by its highest window only, a clean one by its highest windows and
 Scoring is one pass without a shuffle, in blocks of BATCH windows; the model (a few MB) goes with the tasks.
 
 Edge cases: a null text or one without a word is one window of padding and has a score like any other. Rows with a null label are
-not learned from. With labels of one kind only every score is 0. Equal texts get equal scores; null ids are scored, not learned from.
+not learned from. With labels of one kind only every score is 0. Equal texts get equal scores: windows and words
+are computed in blocks of one shape, and scores are rounded to DIGITS digits before the threshold. Tokens of any length count whole; null ids are scored, not learned from.
 """
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, STRIDE, WIDTH, HIDDEN, TRIGRAMS, ATTENTION = 48, 40, 8, 8, 4096, 8
-BATCH, SAMPLE, SAMPLE_WINDOWS, MIN_COUNT, VOCABULARY, EPOCHS, RATE, THRESHOLD = 1024, 1000, 16, 3, 20_000, 5, 0.01, 0.7
+BATCH, SAMPLE, SAMPLE_WINDOWS, MIN_COUNT, VOCABULARY, EPOCHS, RATE, THRESHOLD, DIGITS = 1024, 1000, 16, 3, 20_000, 5, 0.01, 0.7, 6
 WORD = re.compile(r"[^\W_]+(?:['’*@$][^\W_]+)*")
 Model = dict[str, object]
 
@@ -42,7 +43,7 @@ def starts(n: int) -> range:
 
 
 def trigrams(word: str) -> list[int]:
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     return [zlib.crc32(w[k:k + 3].encode("utf-8", "surrogatepass")) % TRIGRAMS for k in range(max(1, len(w) - 2))]
 
 
@@ -100,12 +101,12 @@ def cut(ids: np.ndarray, first: range) -> np.ndarray:
     return out
 
 
-def forward(w: dict[str, np.ndarray], table: dict[str, np.ndarray], x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
-    """Window scores (logits). table: for each direction the words' input projections."""
+def forward(w: dict[str, np.ndarray], table: dict[str, np.ndarray], x: np.ndarray, keep: bool = False, length: int = 0) -> tuple[np.ndarray, dict]:
+    """Window scores (logits). table: for each direction the words' input projections. length: steps, at least those of the longest window."""
     n, mask = len(x), (x > 0).astype(np.float32)
     states = np.zeros((n, WINDOW, 2 * HIDDEN), dtype=np.float32)
     cache: dict = {"f": [], "b": []}
-    length = max(1, int((x > 0).sum(axis=1).max(initial=0)))  # padding stands at the end
+    length = length or max(1, int((x > 0).sum(axis=1).max(initial=0)))  # padding stands at the end
     for k, d in enumerate("fb"):
         h = np.zeros((n, HIDDEN), dtype=np.float32)
         for t in range(length) if d == "f" else range(length - 1, -1, -1):
@@ -129,7 +130,9 @@ def forward(w: dict[str, np.ndarray], table: dict[str, np.ndarray], x: np.ndarra
     return pooled @ w["o"] + w["b"][0], cache | {"states": states, "u": u, "att": a, "pooled": pooled, "length": length}
 
 
-def projections(w: dict[str, np.ndarray], vectors: np.ndarray) -> dict[str, np.ndarray]:
+def projections(w: dict[str, np.ndarray], vectors: np.ndarray, step: int = 1) -> dict[str, np.ndarray]:
+    """step: rows are filled up to a multiple, so a word's projection does not depend on how many words there are."""
+    vectors = np.concatenate([vectors, np.zeros((-len(vectors) % step, vectors.shape[1]), vectors.dtype)])
     return {d: vectors @ w[f"W{d}"] + w[f"c{d}"] for d in "fb"}
 
 
@@ -225,7 +228,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float =
 
 
 def logits(w: dict[str, np.ndarray], table: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    return np.concatenate([forward(w, table, x[at:at + BATCH])[0] for at in range(0, len(x), BATCH)])
+    """Windows in blocks of one shape, so a window's score does not depend on its neighbours."""
+    full = np.concatenate([x, np.zeros((-len(x) % BATCH, WINDOW), dtype=x.dtype)])
+    return np.concatenate([forward(w, table, full[at:at + BATCH], length=WINDOW)[0] for at in range(0, len(full), BATCH)])[:len(x)]
 
 
 def score(texts: pd.Series, model: Model | None, group: int = 500_000) -> pd.Series:
@@ -238,7 +243,7 @@ def score(texts: pd.Series, model: Model | None, group: int = 500_000) -> pd.Ser
     def flush() -> None:
         nonlocal book, held
         if x:
-            s, who = logits(w, projections(w, book.vectors(w)), np.concatenate(x)), np.concatenate(owner)
+            s, who = logits(w, projections(w, book.vectors(w), BATCH), np.concatenate(x)), np.concatenate(owner)
             np.maximum.at(best, who, s)
             x.clear(), owner.clear()
             book, held = Words(model), 0
@@ -252,7 +257,7 @@ def score(texts: pd.Series, model: Model | None, group: int = 500_000) -> pd.Ser
         if held >= group:
             flush()
     flush()
-    return pd.Series(sigmoid(best))
+    return pd.Series(np.round(sigmoid(best), DIGITS))
 
 
 def sample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "toxic", text: str = "text", size: int = SAMPLE) -> list:
