@@ -208,6 +208,7 @@ def prominent(peaks: DataFrame, signal: DataFrame, keys: Sequence[str], frame: s
 def pick_peaks(signal: DataFrame, keys: Sequence[str], frame: str, value: str, height: float, distance: int) -> DataFrame:
     """Peaks by height, mutual distance (higher first) and prominence of a quarter of the height."""
     keys = list(keys)
+    signal = cut_lineage(signal.select(*keys, frame, value))  # peaks, suppression and prominence read it
     p = local_peaks(signal, keys, frame, value, height).withColumn("_id", F.col(frame))
     p = greedy_nms(p, keys, frame, value, distance, tie="_id").drop("_id")
     return prominent(p, signal, keys, frame, value, 0.25 * height)

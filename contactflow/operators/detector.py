@@ -46,7 +46,7 @@ def anchored_gates(pose: DataFrame, actions: DataFrame, profile: JointProfile) -
     hot = cut_lineage(hot_joints(pose, profile))
     pairs = cut_lineage(pair_frames(hot))
     anchors = cut_lineage(anchor_actions(actions, pairs.select(*PAIR, "frame", "gap", "region")))
-    return anchors.join(gates_at(hot, pairs, anchors), [*PAIR, "frame"])
+    return cut_lineage(anchors.join(gates_at(hot, pairs, anchors), [*PAIR, "frame"]))
 
 
 def score_anchored(anchored: DataFrame, contacts: DataFrame, onsets: DataFrame | None = None) -> DataFrame:
@@ -54,16 +54,12 @@ def score_anchored(anchored: DataFrame, contacts: DataFrame, onsets: DataFrame |
     c = contact_prior(anchored, contacts, frame="frame")
     has = F.col("contact_prob").isNotNull()
     region = F.coalesce("contact_region", "region")
-    c = (c.withColumn("g_gap", clip01(1.3 - F.col("gap")))
-         .withColumn("g_ce_prob", F.coalesce("contact_prob", F.lit(0.0)))
-         .withColumn("g_region", F.when(has, scoring.region_weight(
-             F.col("contact_region"), S.REGION_WEIGHT_UNKNOWN_EVENT)).otherwise(
-             scoring.region_weight(F.col("region"), S.REGION_WEIGHT_UNKNOWN)))
-         .withColumn("g_ext", clip01((F.col("ext") - 0.45) / 0.40))
-         .withColumn("g_speed", clip01((F.col("peak") - 0.40) / 0.60))
-         .withColumn("g_conf", F.least(F.lit(1.0), F.col("confidence")))
-         .withColumn("g_audio", F.lit(0.0))
-         .withColumn("contact_region", region))
+    weight = F.when(has, scoring.region_weight(F.col("contact_region"), S.REGION_WEIGHT_UNKNOWN_EVENT)).otherwise(
+        scoring.region_weight(F.col("region"), S.REGION_WEIGHT_UNKNOWN))
+    c = c.withColumns({
+        "g_gap": clip01(1.3 - F.col("gap")), "g_ce_prob": F.coalesce("contact_prob", F.lit(0.0)), "g_region": weight,
+        "g_ext": clip01((F.col("ext") - 0.45) / 0.40), "g_speed": clip01((F.col("peak") - 0.40) / 0.60),
+        "g_conf": F.least(F.lit(1.0), F.col("confidence")), "g_audio": F.lit(0.0), "contact_region": region})
     if onsets is not None:
         near = best_in_band(c, onsets, KEYS, left_on="frame",
                             right_on="onset_frame", lo=-8, hi=8,
