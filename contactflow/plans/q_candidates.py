@@ -16,11 +16,12 @@ from contactflow.operators.evidence import evidence_features, with_motion
 from contactflow.operators.ordering import blocked, row_number
 from contactflow.operators.ranking import ranked
 from contactflow.operators.suppress import first_fit, greedy_nms
-from contactflow.plans.q_gates import _PWIN, _AK, action_traj, hot, nms_sql
+from contactflow.plans.q_gates import _AK, _PWIN, _VEL, ANCHORED, action_traj, hot, nms_sql
 from contactflow.plans.q_geometry import BK, PK, pairs, r6
 from contactflow.plans.q_suppress import first_fit_sql, pair_sql
 from contactflow.plans.registry import query, view
-from contactflow.plans.sqltext import HX, HY, PAIR, PKEY, PX, PY, P, SW, X, Y, Z, arr, dj, dpx, hyp, iou, least_of
+from contactflow.plans.sqltext import HX, HY, HZ, PAIR, PKEY, PX, PY, P, SW, X, Y, Z, arr, dj, dpx, hyp, iou, least_of
+from contactflow.session import cut_lineage
 from contactflow.sources import adapters as A
 
 KEYS = ["match_id", "round_id"]
@@ -188,55 +189,95 @@ view("psnap", f"""SELECT match_id, round_id, track_id, frame, greatest(0.0::DOUB
   SELECT b.match_id, b.round_id, b.track_id, b.frame, sqrt(((b.x1+b.x2)/2-(p.x1+p.x2)/2)**2+(b.y1-p.y1)**2)/greatest(1.0::DOUBLE, b.y2-b.y1) AS snap {_BRD})""")
 
 
-@query("window_scan_scores", f"""WITH gu AS (SELECT {_AK}, greatest(0.30::DOUBLE, least(1.0::DOUBLE, (min(b.guard_d)-0.30)/1.20)) AS g_guard {_PWIN.format(lo=3, hi=0)} GROUP BY ALL),
-  f AS (SELECT a.action_id, a.match_id, a.round_id, a.fighter_id AS striker_id, p.frame, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.45-p.gap)/0.35)) AS g_gap,
-    CASE p.region WHEN 'head' THEN 1.0 ELSE 0.85 END AS g_region, n.g_snap, g.g_guard, a.confidence AS g_conf
-    FROM pact a JOIN pgap p ON a.match_id=p.match_id AND a.round_id=p.round_id AND a.fighter_id=p.striker_id AND p.frame BETWEEN a.window_start-15 AND a.window_end+20
-    JOIN gu g ON g.match_id=p.match_id AND g.round_id=p.round_id AND g.striker_id=p.striker_id AND g.frame=p.frame
-    JOIN psnap n ON n.match_id=p.match_id AND n.round_id=p.round_id AND n.track_id=p.receiver_id AND n.frame=p.frame),
-  s AS (SELECT *, 0.28*g_gap+0.08*g_region+0.04*g_snap+0.10*g_guard+0.10*g_conf AS score FROM f),
-  ba AS (SELECT *, row_number() OVER (PARTITION BY action_id ORDER BY score DESC, frame) AS ra FROM s),
-  bf AS (SELECT *, row_number() OVER (PARTITION BY match_id, round_id, frame ORDER BY score DESC, action_id) AS rf FROM ba WHERE ra = 1)
-  SELECT action_id, match_id, round_id, frame, striker_id, round(score,5) AS score FROM bf WHERE rf = 1""")
-def _(spark, sf):
+SCAN_GATES = ["gap", "ce_prob", "region", "decel", "react", "bbox_react", "approach", "guard", "audio", "conf"]
+_SCAN_W = "+".join(f"{S.WEIGHTS['window_scan'][g]}*g_{g}" for g in SCAN_GATES)
+_SCAN = ANCHORED + f""", gu2 AS (SELECT {_AK}, greatest(0.30::DOUBLE, least(1.0::DOUBLE, (min(b.guard_d)-0.30)/1.20)) AS g_guard {_PWIN.format(lo=3, hi=0)} GROUP BY ALL),
+  scf AS (SELECT a.action_id, a.match_id, a.round_id, a.fighter_id AS striker_id, p.receiver_id, p.frame, p.gap, p.region, a.confidence FROM pact a
+    JOIN pgap p ON a.match_id=p.match_id AND a.round_id=p.round_id AND a.fighter_id=p.striker_id AND p.frame BETWEEN a.window_start-15 AND a.window_end+20),
+  spot AS (SELECT DISTINCT match_id, round_id, striker_id, receiver_id, frame FROM scf),
+  sce AS (SELECT * FROM (SELECT s.*, c.contact_prob, c.contact_region, row_number() OVER (PARTITION BY s.match_id, s.round_id, s.striker_id, s.receiver_id, s.frame ORDER BY c.contact_prob DESC, c.ce_frame) AS rn
+    FROM spot s JOIN pce c ON c.match_id=s.match_id AND c.round_id=s.round_id AND c.striker_id=s.striker_id AND c.receiver_id=s.receiver_id AND abs(c.ce_frame-s.frame)<=15) WHERE rn=1),
+  sau AS (SELECT s.match_id, s.round_id, s.frame, max(o.strength) AS g_audio FROM (SELECT DISTINCT match_id, round_id, frame FROM spot) s JOIN pons o ON o.match_id=s.match_id AND o.round_id=s.round_id AND abs(o.onset_frame-s.frame)<=7 GROUP BY ALL),
+  scn AS (SELECT f.*, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.45-f.gap)/0.35)) AS g_gap, coalesce(e.contact_prob,0) AS g_ce_prob,
+    CASE coalesce(e.contact_region, f.region) WHEN 'head' THEN 1.0 WHEN 'torso' THEN 0.85 WHEN 'left_arm' THEN 0.2 WHEN 'right_arm' THEN 0.2 WHEN 'left_leg' THEN 0.3 WHEN 'right_leg' THEN 0.3 ELSE 0.5 END AS g_region,
+    tg.g_decel, hr.g_react, n.g_snap AS g_bbox_react, ap.g_approach, g.g_guard, coalesce(u.g_audio,0) AS g_audio, f.confidence AS g_conf FROM scf f
+    JOIN tg ON tg.match_id=f.match_id AND tg.round_id=f.round_id AND tg.track_id=f.striker_id AND tg.frame=f.frame JOIN hr ON hr.match_id=f.match_id AND hr.round_id=f.round_id AND hr.track_id=f.receiver_id AND hr.frame=f.frame
+    JOIN ap ON ap.match_id=f.match_id AND ap.round_id=f.round_id AND ap.striker_id=f.striker_id AND ap.frame=f.frame JOIN gu2 g ON g.match_id=f.match_id AND g.round_id=f.round_id AND g.striker_id=f.striker_id AND g.frame=f.frame
+    JOIN psnap n ON n.match_id=f.match_id AND n.round_id=f.round_id AND n.track_id=f.receiver_id AND n.frame=f.frame
+    LEFT JOIN sce e ON e.match_id=f.match_id AND e.round_id=f.round_id AND e.striker_id=f.striker_id AND e.receiver_id=f.receiver_id AND e.frame=f.frame LEFT JOIN sau u ON u.match_id=f.match_id AND u.round_id=f.round_id AND u.frame=f.frame),
+  s AS (SELECT *, {_SCAN_W} AS score FROM scn), ba AS (SELECT *, row_number() OVER (PARTITION BY action_id ORDER BY score DESC, frame) AS ra FROM s WHERE score IS NOT NULL)"""
+
+
+def scan_gates(spark, sf):
+    """All ten gates of every frame in the padded window of an action."""
     pz = A.pose(spark, sf)
-    pg = GA.pair_frames(GA.hot_joints(pz, A.PROFILE))
-    b = blocked(pg, GA.PAIR, "frame", 3, 0)
-    pg = b.core(b.df.withColumn("_d", F.min("guard_d").over(b.span(-3, 0))))
-    pg = pg.withColumn("g_guard", F.greatest(F.lit(0.30), F.least(F.lit(1.0), (F.col("_d") - 0.30) / 1.20)))
+    hot = cut_lineage(GA.hot_joints(pz, A.PROFILE))
+    near = A.pose_actions(spark, sf).withColumnRenamed("fighter_id", "striker_id")
+    spots = near.select(*KEYS, "striker_id", F.explode(F.sequence(F.col("window_start") - 15, F.col("window_end") + 20)).alias("frame")).distinct()
+    pg = GA.pair_gates(GA.pair_frames(hot)).join(spots, [*KEYS, "striker_id", "frame"], "left_semi")
+    tg = GA.track_gates(hot)
+    side = lambda c, *gates: tg.select(*KEYS, F.col("track_id").alias(c), "frame", *gates)
     snap = GX.box_snap(pz.select(*BK, "bbox")).select(*KEYS, F.col("track_id").alias("receiver_id"), "frame", "g_bbox_react")
-    pg = pg.join(snap, [*KEYS, "receiver_id", "frame"])
-    pg = (pg.withColumn("g_gap", K.clip01((0.45 - F.col("gap")) / 0.35))
-          .withColumn("g_region", SC.region_weight(F.col("region"), S.REGION_WEIGHT_UNKNOWN)))
-    a = A.pose_actions(spark, sf).withColumnRenamed("fighter_id", "striker_id")
-    j = J.interval_join(a, pg, [*KEYS, "striker_id"], start="window_start", end="window_end", before=15, after=20)
-    w = {k: v for k, v in S.WEIGHTS["window_scan"].items() if k in ("gap", "region", "bbox_react", "guard", "conf")}
-    j = j.withColumn("g_conf", F.least(F.lit(1.0), F.col("confidence"))).withColumn("score", SC.weighted_sum(w))
+    pg = pg.join(side("striker_id", "g_decel"), [*KEYS, "striker_id", "frame"]).join(side("receiver_id", "g_react"), [*KEYS, "receiver_id", "frame"]).join(snap, [*KEYS, "receiver_id", "frame"])
+    pg = D.contact_prior(cut_lineage(pg), A.pose_contacts(spark, sf), frame="frame")
+    pg = J.best_in_band(pg, A.pose_onsets(spark, sf), KEYS, left_on="frame", right_on="onset_frame", lo=-7, hi=7, order=[-F.col("strength"), F.col("onset_frame")], keep=["strength"])
+    pg = pg.withColumns({
+        "g_gap": K.clip01((0.45 - F.col("gap")) / 0.35), "g_ce_prob": F.coalesce("contact_prob", F.lit(0.0)), "g_region": SC.region_weight(F.coalesce("contact_region", "region"), 0.5),
+        "g_guard": F.greatest(F.lit(0.30), F.col("g_guard")), "g_audio": F.coalesce("strength", F.lit(0.0))}).drop("contact_prob", "contact_region", "strength")
+    j = J.interval_join(near, cut_lineage(pg), [*KEYS, "striker_id"], start="window_start", end="window_end", before=15, after=20)
+    return j.withColumn("g_conf", F.least(F.lit(1.0), F.col("confidence"))).withColumn("score", SC.weighted_sum(S.WEIGHTS["window_scan"])).where("score is not null")
+
+
+@query("window_scan_scores", _SCAN + """, top AS (SELECT *, row_number() OVER (PARTITION BY match_id, round_id, frame ORDER BY score DESC, action_id) AS rf FROM ba WHERE ra = 1)
+  SELECT action_id, match_id, round_id, frame, striker_id, round(score,5) AS score FROM top WHERE rf = 1""")
+def _(spark, sf):
     # best frame per action, then best action per frame
-    best = j.where("score is not null").groupBy(*KEYS, "action_id", "striker_id").agg(F.min(F.struct((-F.col("score")).alias("ns"), "frame")).alias("b"))
+    best = scan_gates(spark, sf).groupBy(*KEYS, "action_id", "striker_id").agg(F.min(F.struct((-F.col("score")).alias("ns"), "frame")).alias("b"))
     top = best.groupBy(*KEYS, F.col("b.frame").alias("frame")).agg(F.min(F.struct("b.ns", "action_id", "striker_id")).alias("t"))
     return top.select("t.action_id", *KEYS, "frame", "t.striker_id", F.round(-F.col("t.ns"), 5).alias("score"))
 
 
+@query("gate_contribution_breakdown", _SCAN + ", b AS (SELECT * FROM ba WHERE ra=1) " + " UNION ALL ".join(
+    f"SELECT action_id, frame, '{g}' AS gate, round(g_{g},5) AS value, round({S.WEIGHTS['window_scan'][g]}*g_{g},5) AS contribution FROM b" for g in SCAN_GATES))
+def _(spark, sf):
+    """What each gate adds at the chosen frame of every action."""
+    g = scan_gates(spark, sf)
+    best = g.groupBy("action_id").agg(F.min(F.struct((-F.col("score")).alias("ns"), "frame", *[f"g_{n}" for n in SCAN_GATES])).alias("b"))
+    rows = F.array(*[F.struct(F.lit(n).alias("gate"), F.col(f"b.g_{n}").cast("double").alias("v"), F.lit(S.WEIGHTS["window_scan"][n]).alias("w")) for n in SCAN_GATES])
+    return best.select("action_id", F.col("b.frame").alias("frame"), F.explode(rows).alias("x")).select("action_id", "frame", "x.gate", F.round("x.v", 5).alias("value"), F.round(F.col("x.w") * F.col("x.v"), 5).alias("contribution"))
+
+
 def dense_scores(spark, sf):
-    """Both directions and both arms on every second frame: proximity, reach and 3-D distance."""
+    """Both directions and both arms on every second frame, by all six gates; windows of ten frames before and after."""
+    pose = A.pose(spark, sf)
+    joint = lambda i: G.joint(F.col("joints"), i)
+    t = pose.select(*BK, joint(A.PROFILE.left_wrist).alias("lw"), joint(A.PROFILE.right_wrist).alias("rw"), G.centroid(F.col("joints"), A.PROFILE.head, "xyz").alias("head"))
+    b = blocked(t, GA.TRACK, "frame", 10, 10)
+    d = b.df.withColumn("_w", F.collect_list(F.struct("frame", "lw", "rw")).over(b.span(-10, 10))).withColumn("_hb", b.at(F.col("head"), -5)).withColumn("_hf", b.at(F.col("head"), 5))
+    d = b.core(d).where(F.pmod("frame", F.lit(2)) == 0)
+    path = lambda n: F.transform("_w", lambda p: F.struct(p["frame"].alias("frame"), *[p[n][c].alias(c) for c in "xyz"]))
+    acc = G.norm([F.col(f"_hf.{c}") - 2 * F.col(f"head.{c}") + F.col(f"_hb.{c}") for c in "xyz"])
+    t = cut_lineage(d.select(*BK, *[K.decel_score(path(n)).alias(f"decel_{n}") for n in ("lw", "rw")], *[K.scalar_jerk_score(path(n)).alias(f"jerk_{n}") for n in ("lw", "rw")],
+                             F.coalesce(K.cap1(acc / 0.06), F.lit(0.0)).alias("react")))
     p = pairs(spark, sf).where(F.pmod("frame", F.lit(2)) == 0)
-    body = (*A.PROFILE.head, *A.PROFILE.torso)
+    p = p.join(t.select(*KEYS, F.col("track_id").alias("striker_id"), "frame", "decel_lw", "decel_rw", "jerk_lw", "jerk_rw"), [*KEYS, "striker_id", "frame"])
+    p = p.join(t.select(*KEYS, F.col("track_id").alias("receiver_id"), "frame", "react"), [*KEYS, "receiver_id", "frame"])
+    body, w = (*A.PROFILE.head, *A.PROFILE.torso), S.WEIGHTS["dense_scan"]
 
     def arm(side):
         w_i, e_i, s_i = A.PROFILE.arm(side)
-        w = G.joint(F.col("s.px"), w_i)
-        near = G.min_dist(F.array(w), G.joints_of(F.col("r.px"), body))
-        ext = GA.extension(w, G.joint(F.col("s.px"), e_i), G.joint(F.col("s.px"), s_i))
+        wrist = G.joint(F.col("s.px"), w_i)
+        near = G.min_dist(F.array(wrist), G.joints_of(F.col("r.px"), body))
+        ext = GA.extension(wrist, G.joint(F.col("s.px"), e_i), G.joint(F.col("s.px"), s_i))
         return F.greatest(F.lit(0.0), 1 - near / 60.0), K.clip01((ext - 0.50) / 0.40)
 
     d3 = G.min_dist(G.joints_of(F.col("s.joints"), A.PROFILE.wrists), G.joints_of(F.col("r.joints"), body), "xyz")
     p = p.withColumn("g_prox3d", F.greatest(F.lit(0.0), 1 - d3 / 0.60))
     cands = []
-    for n, side in enumerate(("left", "right")):
+    for n, (side, name) in enumerate((("left", "lw"), ("right", "rw"))):
         mask, ext = arm(side)
-        sc = S.WEIGHTS["dense_scan"]["mask"] * mask + S.WEIGHTS["dense_scan"]["prox3d"] * F.col("g_prox3d") + S.WEIGHTS["dense_scan"]["ext"] * ext
-        cands.append(F.struct(sc.alias("score"), F.lit(-n).alias("o"), F.lit(side).alias("side")))
+        sc = w["mask"] * mask + w["decel"] * F.col(f"decel_{name}") + w["react"] * F.col("react") + w["prox3d"] * F.col("g_prox3d") + w["jerk"] * F.col(f"jerk_{name}") + w["ext"] * ext
+        cands.append(F.struct(F.round(sc, 9).alias("score"), F.lit(-n).alias("o"), F.lit(side).alias("side")))
     return p.withColumn("best", F.array_max(F.array(*cands))).select(
         *PK, F.col("best.score").alias("score"), F.col("best.side").alias("side"))
 
@@ -244,12 +285,24 @@ def dense_scores(spark, sf):
 def _arm_sql(w, e, s):
     near = least_of(dpx("s", w, "r", j) for j in (*P.head, *P.torso))
     ext = f"{dpx('s', w, 's', s)}/({dpx('s', s, 's', e)}+{dpx('s', e, 's', w)})"
-    return f"(0.36*greatest(0.0::DOUBLE, 1-{near}/60.0)+0.08*greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({ext}-0.50)/0.40)))"
+    return f"(0.36*greatest(0.0::DOUBLE, 1-{near}/60.0)+0.18*t.d{w}+0.10*t.j{w}+0.08*greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({ext}-0.50)/0.40)))"
 
 
 _P3 = least_of(dj("s", w, "r", j, "xyz") for w in P.wrists for j in (*P.head, *P.torso))
-view("dsc", f"""SELECT match_id, round_id, frame, striker_id, receiver_id, greatest(l, r)+0.12*greatest(0.0::DOUBLE, 1-d3/0.60) AS score, CASE WHEN r > l THEN 'right' ELSE 'left' END AS side FROM (
-  SELECT {PKEY}, {_arm_sql(19, 7, 5)} AS l, {_arm_sql(20, 8, 6)} AS r, {_P3} AS d3 FROM {PAIR} WHERE s.frame % 2 = 0)""")
+_C5 = "PARTITION BY match_id, round_id, track_id, f ORDER BY frame"
+view("dtr", f"""SELECT match_id, round_id, track_id, f AS frame, """ + ", ".join(
+    f"CASE WHEN count(*) >= 3 AND max(v{j}) >= 1e-6 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE,-min(a{j}))/max(v{j})/0.6) ELSE 0 END AS d{j}, CASE WHEN count(*) >= 4 THEN coalesce(least(1.0::DOUBLE, max(k{j})/1.5),0) ELSE 0 END AS j{j}" for j in P.wrists) + """ FROM (SELECT *, """
+     + ", ".join(f"abs(a{j}-lag(a{j}) OVER o) AS k{j}" for j in P.wrists) + " FROM (SELECT *, " + ", ".join(f"(v{j}-lag(v{j}) OVER o)/dt AS a{j}" for j in P.wrists) + " FROM (SELECT *, frame-lag(frame) OVER o AS dt, "
+     + ", ".join(f"{hyp(*[f'{c}{j}-lag({c}{j}) OVER o' for c in 'xyz'])}/(frame-lag(frame) OVER o) AS v{j}" for j in P.wrists) + " FROM (SELECT a.match_id, a.round_id, a.track_id, a.frame AS f, b.frame, "
+     + ", ".join(f"{g('b', j)} AS {c}{j}" for j in P.wrists for c, g in (("x", X), ("y", Y), ("z", Z))) + f""" FROM pz a JOIN pz b ON a.match_id=b.match_id AND a.round_id=b.round_id AND a.track_id=b.track_id AND b.frame BETWEEN a.frame-10 AND a.frame+10 WHERE a.frame % 2 = 0)
+     WINDOW o AS ({_C5})) WINDOW o AS ({_C5})) WINDOW o AS ({_C5})) GROUP BY ALL""")
+view("dre", f"""SELECT p.match_id, p.round_id, p.track_id, p.frame, CASE WHEN b.frame IS NULL OR n.frame IS NULL THEN 0 ELSE least(1.0::DOUBLE, {hyp(*[f"{h('n')}-2*{h('p')}+{h('b')}" for h in (HX, HY, HZ)])}/0.06) END AS react
+  FROM pz p LEFT JOIN pz b ON p.match_id=b.match_id AND p.round_id=b.round_id AND p.track_id=b.track_id AND b.frame=p.frame-5
+  LEFT JOIN pz n ON p.match_id=n.match_id AND p.round_id=n.round_id AND p.track_id=n.track_id AND n.frame=p.frame+5 WHERE p.frame % 2 = 0""")
+view("dsc", f"""SELECT match_id, round_id, frame, striker_id, receiver_id, greatest(l, r) AS score, CASE WHEN r > l THEN 'right' ELSE 'left' END AS side FROM (
+  SELECT match_id, round_id, frame, striker_id, receiver_id, round(l+0.12*greatest(0.0::DOUBLE, 1-d3/0.60)+0.16*react,9) AS l, round(r+0.12*greatest(0.0::DOUBLE, 1-d3/0.60)+0.16*react,9) AS r FROM (
+  SELECT {PKEY}, {_arm_sql(19, 7, 5)} AS l, {_arm_sql(20, 8, 6)} AS r, {_P3} AS d3, x.react FROM {PAIR} JOIN dtr t ON t.match_id=s.match_id AND t.round_id=s.round_id AND t.track_id=s.track_id AND t.frame=s.frame
+  JOIN dre x ON x.match_id=r.match_id AND x.round_id=r.round_id AND x.track_id=r.track_id AND x.frame=r.frame WHERE s.frame % 2 = 0))""")
 
 
 @query("dense_scan_scores", "SELECT match_id, round_id, frame, striker_id, receiver_id, round(score,5) AS score, side FROM dsc")
@@ -322,18 +375,25 @@ def _(spark, sf):
 
 # ---- fusion
 
-@query("weighted_fusion_phase", """WITH v AS (SELECT action_id, frame, frame-lag(frame) OVER w AS dt, sqrt((x-lag(x) OVER w)**2+(y-lag(y) OVER w)**2+(z-lag(z) OVER w)**2)/(frame-lag(frame) OVER w) AS v
-    FROM atraj WINDOW w AS (PARTITION BY action_id ORDER BY frame)), a AS (SELECT action_id, v, (v-lag(v) OVER (PARTITION BY action_id ORDER BY frame))/dt AS acc FROM v),
-  d AS (SELECT action_id, CASE WHEN count(*) >= 3 AND max(v) >= 1e-6 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, -min(acc))/max(v)/0.6) ELSE 0 END AS g_decel FROM a GROUP BY action_id),
+_PH = "0.30*g_decel+0.25*g_jerk+0.15*g_ext+0.15*g_depth+0.15*conf"
+
+
+@query("weighted_fusion_phase", f"""WITH {_VEL}, ac AS (SELECT action_id, v, (v-lag(v) OVER (PARTITION BY action_id ORDER BY frame))/dt AS acc FROM v),
+  d AS (SELECT action_id, CASE WHEN count(*) >= 3 AND max(v) >= 1e-6 THEN coalesce(least(1.0::DOUBLE, greatest(0.0::DOUBLE, -min(acc))/max(v)/0.6),0) ELSE 0 END AS g_decel FROM ac GROUP BY action_id),
+  va AS (SELECT action_id, frame, dt, (vx-lag(vx) OVER w)/dt AS ax, (vy-lag(vy) OVER w)/dt AS ay, (vz-lag(vz) OVER w)/dt AS az FROM v WINDOW w AS (PARTITION BY action_id ORDER BY frame)),
+  jk AS (SELECT action_id, coalesce(least(1.0::DOUBLE, max(jerk)/0.03),0) AS g_jerk FROM (SELECT action_id, {hyp('(ax-lag(ax) OVER w)/dt', '(ay-lag(ay) OVER w)/dt', '(az-lag(az) OVER w)/dt')} AS jerk FROM va WINDOW w AS (PARTITION BY action_id ORDER BY frame)) GROUP BY action_id),
+  n AS (SELECT *, row_number() OVER (PARTITION BY action_id ORDER BY frame)-1 AS i, count(*) OVER (PARTITION BY action_id) AS n FROM atraj),
+  pe AS (SELECT action_id, any_value(n) AS n, arg_min(x,i) AS x0, arg_min(y,i) AS y0, arg_min(z,i) AS z0, max(x) FILTER (i=n//2) AS xm, max(y) FILTER (i=n//2) AS ym, max(z) FILTER (i=n//2) AS zm, arg_max(x,i) AS x1, arg_max(y,i) AS y1, arg_max(z,i) AS z1 FROM n GROUP BY action_id),
+  dp AS (SELECT action_id, CASE WHEN n < 4 THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (1-((xm-x0)*(x1-xm)+(ym-y0)*(y1-ym)+(zm-z0)*(z1-zm))/(sqrt((xm-x0)**2+(ym-y0)**2+(zm-z0)**2)*sqrt((x1-xm)**2+(y1-ym)**2+(z1-zm)**2)))/1.5)) END AS g_depth FROM pe),
   e AS (SELECT action_id, any_value(confidence) AS conf, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (coalesce(max(ext) FILTER (frame BETWEEN window_start AND window_end), max(ext))-0.60)/0.35)) AS g_ext FROM atraj GROUP BY action_id)
-  SELECT action_id, round(0.30*g_decel+0.15*g_ext+0.15*conf,6) AS score, 0.30*g_decel+0.15*g_ext+0.15*conf >= 0.35 AS landed FROM d JOIN e USING (action_id)""")
+  SELECT action_id, round({_PH},6) AS score, {_PH} >= 0.35 AS landed FROM d JOIN e USING (action_id) JOIN jk USING (action_id) JOIN dp USING (action_id)""")
 def _(spark, sf):
     ext = lambda arr: F.array_max(F.transform(arr, lambda p: p["ext"]))
     inside = F.filter("t", lambda p: p["frame"].between(F.col("window_start"), F.col("window_end")))
-    t = (action_traj(spark, sf).withColumn("g_decel", K.decel_score(F.col("t")))
-         .withColumn("g_ext", K.clip01((F.coalesce(ext(inside), ext(F.col("t"))) - 0.60) / 0.35)).withColumn("g_conf", F.col("confidence")))
-    w = {k: S.WEIGHTS["phase"][k] for k in ("decel", "ext", "conf")}
-    t = t.withColumn("score", SC.weighted_sum(w))
+    t = action_traj(spark, sf)
+    t = t.withColumns({"g_decel": K.decel_score(F.col("t")), "g_jerk": K.jerk_score(F.col("t")), "g_depth": K.depth_convergence(F.col("t")),
+                       "g_ext": K.clip01((F.coalesce(ext(inside), ext(F.col("t"))) - 0.60) / 0.35), "g_conf": F.col("confidence")})
+    t = t.withColumn("score", SC.weighted_sum(S.WEIGHTS["phase"]))
     return t.select("action_id", r6(F.col("score"), "score"), (F.col("score") >= 0.35).alias("landed"))
 
 

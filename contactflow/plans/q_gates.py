@@ -292,10 +292,11 @@ _ANCH = f"""tg AS (SELECT match_id, round_id, track_id, f AS frame, greatest(
      FROM pact a JOIN pgap g ON a.match_id=g.match_id AND a.round_id=g.round_id AND a.fighter_id=g.striker_id AND g.frame BETWEEN window_start-3 AND window_end+5) WHERE rn=1),
   cp AS (SELECT * FROM (SELECT b.action_id, c.contact_prob, c.contact_region, row_number() OVER (PARTITION BY b.action_id ORDER BY c.contact_prob DESC, c.ce_frame) AS rn FROM bf b JOIN pce c
      ON b.match_id=c.match_id AND b.round_id=c.round_id AND b.fighter_id=c.striker_id AND b.receiver_id=c.receiver_id AND c.ce_frame BETWEEN b.frame-15 AND b.frame+15) WHERE rn=1),
+  au AS (SELECT b.action_id, max(o.strength) AS g_audio FROM bf b JOIN pons o ON b.match_id=o.match_id AND b.round_id=o.round_id AND o.onset_frame BETWEEN b.frame-8 AND b.frame+8 GROUP BY b.action_id),
   al AS (SELECT b.match_id, b.round_id, b.action_id, b.fighter_id AS striker_id, b.receiver_id, b.frame, b.gap, tg.g_decel, ps.peak, ex.ext, hr.g_react, ap.g_approach, gu.g_guard, ov.mean_iou,
      coalesce(cp.contact_region, b.region) AS contact_region, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.3-b.gap)) AS g_gap, coalesce(cp.contact_prob,0) AS g_ce_prob,
      CASE coalesce(cp.contact_region, b.region) WHEN 'head' THEN 1.0 WHEN 'torso' THEN 0.85 WHEN 'left_arm' THEN 0.2 WHEN 'right_arm' THEN 0.2 ELSE 0.3 END AS g_region,
-     greatest(0.0::DOUBLE, least(1.0::DOUBLE, (ex.ext-0.45)/0.40)) AS g_ext, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (ps.peak-0.40)/0.60)) AS g_speed, b.confidence AS g_conf
+     greatest(0.0::DOUBLE, least(1.0::DOUBLE, (ex.ext-0.45)/0.40)) AS g_ext, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (ps.peak-0.40)/0.60)) AS g_speed, b.confidence AS g_conf, coalesce(au.g_audio, 0) AS g_audio
      FROM bf b JOIN tg ON tg.match_id=b.match_id AND tg.round_id=b.round_id AND tg.track_id=b.fighter_id AND tg.frame=b.frame
      JOIN ps ON ps.match_id=b.match_id AND ps.round_id=b.round_id AND ps.track_id=b.fighter_id AND ps.frame=b.frame
      JOIN ex ON ex.match_id=b.match_id AND ex.round_id=b.round_id AND ex.track_id=b.fighter_id AND ex.frame=b.frame
@@ -303,10 +304,10 @@ _ANCH = f"""tg AS (SELECT match_id, round_id, track_id, f AS frame, greatest(
      JOIN ap ON ap.match_id=b.match_id AND ap.round_id=b.round_id AND ap.striker_id=b.fighter_id AND ap.frame=b.frame
      JOIN gu ON gu.match_id=b.match_id AND gu.round_id=b.round_id AND gu.striker_id=b.fighter_id AND gu.frame=b.frame
      JOIN ov ON ov.match_id=b.match_id AND ov.round_id=b.round_id AND ov.striker_id=b.fighter_id AND ov.frame=b.frame
-     LEFT JOIN cp ON cp.action_id=b.action_id),
+     LEFT JOIN cp ON cp.action_id=b.action_id LEFT JOIN au ON au.action_id=b.action_id),
   sc AS (SELECT *, CASE WHEN gap > 0.95 THEN 'far' WHEN peak < 0.42 THEN 'slow' WHEN mean_iou >= 0.18 AND g_approach < 0.55 AND ext < 0.90 THEN 'clinch'
      WHEN ext < 0.45 AND g_approach < 0.45 THEN 'guard' END AS reject_reason,
-     (0.26*g_gap+0.08*g_ce_prob+0.10*g_region+0.08*g_decel+0.10*g_ext+0.08*g_speed+0.06*g_react+0.06*g_approach+0.04*g_conf+0.10*g_guard)*(1-0.6*mean_iou) AS score FROM al)"""
+     (0.26*g_gap+0.08*g_ce_prob+0.10*g_region+0.08*g_decel+0.10*g_ext+0.08*g_speed+0.06*g_react+0.06*g_approach+0.04*g_audio+0.04*g_conf+0.10*g_guard)*(1-0.6*mean_iou) AS score FROM al)"""
 _V5 = _WIN.format(k=5, cols=",".join(f"{X('b', j)} AS x{j}, {Y('b', j)} AS y{j}" for j in P.wrists)).replace("w AS", "w5 AS", 1)
 _V6 = _WIN.format(k=6, cols=f"{SW('b')} AS sw," + ",".join(f"{X('b', j)} AS x{j}, {Y('b', j)} AS y{j}" for j in P.wrists)).replace("w AS", "w6 AS", 1)
 _VV = ",".join(f"{hyp(f'x{j}-lag(x{j}) OVER o', f'y{j}-lag(y{j}) OVER o')}/(frame-lag(frame) OVER o) AS v{j}" for j in P.wrists)
@@ -318,7 +319,7 @@ ANCHORED = f"""WITH {_V5}, {_V6}, v5 AS (SELECT *, {_VV} FROM w5 WINDOW o AS ({_
 @query("anchored_contact_scores", ANCHORED + """ SELECT action_id, frame, striker_id, receiver_id, contact_region, reject_reason, round(score,5) AS score, round(gap,5) AS gap, round(g_decel,5) AS g_decel,
   round(g_react,5) AS g_react, round(g_approach,5) AS g_approach, round(g_guard,5) AS g_guard, round(mean_iou,5) AS mean_iou FROM sc""")
 def _(spark, sf):
-    s = D.score_anchored(D.anchored_gates(A.pose(spark, sf), A.pose_actions(spark, sf), PROFILE), A.pose_contacts(spark, sf))
+    s = D.score_anchored(D.anchored_gates(A.pose(spark, sf), A.pose_actions(spark, sf), PROFILE), A.pose_contacts(spark, sf), A.pose_onsets(spark, sf))
     return s.select("action_id", "frame", "striker_id", "receiver_id", "contact_region", "reject_reason",
                     *[F.round(c, 5).alias(c) for c in ("score", "gap", "g_decel", "g_react", "g_approach", "g_guard", "mean_iou")])
 
@@ -340,5 +341,5 @@ def nms_sql(src: str, cd: int, score: str = "score", tie: str = "det_id", keys=(
 @query("anchored_detections", ANCHORED + ", good AS (SELECT * FROM sc WHERE reject_reason IS NULL AND score >= 0.45), " + nms_sql("good", 18, tie="action_id")
        + " SELECT g.action_id, g.match_id, g.round_id, g.frame, g.striker_id, g.receiver_id, g.contact_region, round(g.score,5) AS score FROM good g SEMI JOIN ids USING (action_id)")
 def _(spark, sf):
-    d = D.detect(A.pose(spark, sf), A.pose_actions(spark, sf), A.pose_contacts(spark, sf), PROFILE)
+    d = D.detect(A.pose(spark, sf), A.pose_actions(spark, sf), A.pose_contacts(spark, sf), PROFILE, onsets=A.pose_onsets(spark, sf))
     return d.select("action_id", "match_id", "round_id", "frame", "striker_id", "receiver_id", "contact_region", F.round("score", 5).alias("score"))

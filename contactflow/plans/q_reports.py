@@ -114,14 +114,6 @@ def _(spark, sf):
     return u.groupBy("gate").agg(r6(yes, "landed_mean"), r6(no, "other_mean"), r6(yes - no, "separation"), r6(F.min("v"), "min_v"), r6(F.max("v"), "max_v"))
 
 
-@query("gate_contribution_breakdown", """SELECT det_id, gate, round(v,6) AS value, round(w*v,6) AS contribution FROM (SELECT det_id, unnest(['ce_prob','conf','audio']) AS gate, unnest([ce,conf,audio]) AS v, unnest([0.10::DOUBLE,0.10,0.02]) AS w FROM ft)""")
-def _(spark, sf):
-    from contactflow.schema import WEIGHTS
-    w = WEIGHTS["window_scan"]
-    rows = F.array(*[F.struct(F.lit(g).alias("gate"), F.col(c).alias("v"), F.lit(w[g]).alias("w")) for g, c in (("ce_prob", "ce"), ("conf", "conf"), ("audio", "audio"))])
-    return features(spark, sf).select("det_id", F.explode(rows).alias("x")).select("det_id", "x.gate", r6(F.col("x.v"), "value"), r6(F.col("x.w") * F.col("x.v"), "contribution"))
-
-
 @query("part_boundaries", """WITH p AS (SELECT match_id, track_id, (round_id*240+frame)//60 AS part, count(*) AS frame_count FROM box GROUP BY ALL)
   SELECT match_id, track_id, part::BIGINT AS part, frame_count, (sum(frame_count) OVER w - frame_count)::BIGINT AS frame_offset, (sum(frame_count) OVER w - frame_count + 1)::BIGINT AS range_start, (sum(frame_count) OVER w)::BIGINT AS range_end FROM p WINDOW w AS (PARTITION BY match_id, track_id ORDER BY part)""")
 def _(spark, sf):

@@ -56,6 +56,8 @@ view("pce", f"""
          least(1.0::DOUBLE, abs(e[64]) * 5) AS contact_prob, {arr(REGIONS)}[vec_id % 6 + 1] AS contact_region
   FROM pz WHERE label BETWEEN 3 AND 5""")
 
+view("pons", "SELECT match_id, round_id, frame AS onset_frame, max(least(1.0::DOUBLE, abs(e[64]) * 6)) AS strength FROM pz WHERE label >= 6 GROUP BY ALL")
+
 
 # ---- expression builders over the pose view (alias a, joint j)
 

@@ -130,6 +130,12 @@ def pose_actions(spark, sf_dir) -> DataFrame:
                     (F.col("frame") - 2).alias("window_start"), (F.col("frame") + 3).alias("window_end"))
 
 
+def pose_onsets(spark, sf_dir) -> DataFrame:
+    """Audio onsets on the pose axis: bodies labelled 6 or more sound; the strongest counts."""
+    p = pose(spark, sf_dir).where("label >= 6")
+    return p.groupBy("match_id", "round_id", F.col("frame").alias("onset_frame")).agg(F.max(F.least(F.lit(1.0), F.abs("tail") * 6)).alias("strength"))
+
+
 def pose_contacts(spark, sf_dir) -> DataFrame:
     p = pose(spark, sf_dir).where("label between 3 and 5")
     return p.select("match_id", "round_id", F.col("frame").alias("ce_frame"),
