@@ -142,10 +142,12 @@ def project_to_box(joints: Column, b: Column, p: Column) -> Column:
         b["y1"] + (p["y"] - y0) / (y1 - y0) * (b["y2"] - b["y1"])))
 
 
-def pinhole(p: Column, focal: Column, width: int, height: int, near: float = 0.1) -> Column:
-    """Perspective projection; NULL behind the near plane or off screen."""
+def pinhole(p: Column, focal: Column, width: int, height: int, near: float = 0.1, up: bool = False, whole: bool = False) -> Column:
+    """Perspective projection; NULL behind the near plane or off screen. up: y grows upwards in space; whole: pixels cut to integers."""
     u = focal * p["x"] / p["z"] + width / 2
-    v = focal * p["y"] / p["z"] + height / 2
+    v = height / 2 - focal * p["y"] / p["z"] if up else focal * p["y"] / p["z"] + height / 2
+    if whole:
+        u, v = u.cast("int").cast("double"), v.cast("int").cast("double")
     ok = (p["z"] > near) & (u >= 0) & (u < width) & (v >= 0) & (v < height)
     return F.when(ok, point(u, v))
 

@@ -58,14 +58,15 @@ def window_groups(windows: DataFrame, keys: list[str], gap: int, size: int = BLO
     return windows.join(d.select(*keys, "window_start", "group_start"), [*keys, "window_start"])
 
 
-def merge_windows(windows: DataFrame, keys: list[str], gap: int, size: int = BLOCK) -> DataFrame:
-    """Merged windows: end, highest confidence, member count and the action names that occur."""
+def merge_windows(windows: DataFrame, keys: list[str], gap: int, size: int = BLOCK, order: list[str] | None = None) -> DataFrame:
+    """Merged windows: end, highest confidence, member count and the members' action names in order (of window_start, or ``order``)."""
+    order = order or ["window_start", "action"]
     return window_groups(windows, keys, gap, size).groupBy(*keys, "group_start").agg(
         F.max("window_end").alias("window_end"), F.max("confidence").alias("confidence"),
         F.count(F.lit(1)).alias("n_windows"),
-        # a set over the action vocabulary; the full member order is window_groups
-        F.array_join(F.sort_array(F.collect_set("action")), "+").alias("actions"),
-    ).withColumnRenamed("group_start", "window_start")
+        F.sort_array(F.collect_list(F.struct(*order, F.col("action").alias("_name")))).alias("_m"),
+    ).select(*keys, F.col("group_start").alias("window_start"), "window_end", "confidence", "n_windows",
+             F.array_join(F.transform("_m", lambda m: m["_name"]), "+").alias("actions"))
 
 
 def clip_bounds(start: Column, end: Column, fps: float, pre: float = 0.4, post: float = 0.7,

@@ -37,7 +37,7 @@ def relabel_signals(boxes: DataFrame, onsets: DataFrame, audio_radius: int = 4)
     w = WEIGHTS["relabel"]
     score = (w["dist"] * F.greatest(F.lit(0.0), 1 - F.col("dist") / 500.0) + w["audio"] * F.coalesce("audio", F.lit(0.0))
              + w["react"] * F.least(F.lit(1.0), F.col("react") / 50.0))
-    best = p.withColumn("score", score).groupBy(*KEYS, "frame").agg(
+    best = p.withColumn("score", score).where(F.col("score").isNotNull()).groupBy(*KEYS, "frame").agg(
         F.min(F.struct((-F.col("score")).alias("ns"), "striker_id")).alias("b"))
     return best.select(*KEYS, F.col("frame").alias("best_frame"), (-F.col("b.ns")).alias("score"), "b.striker_id")
 

@@ -131,16 +131,25 @@ def _(spark, sf):
     return features(spark, sf).select("det_id", F.explode(hit).alias("mode"))
 
 
-@query("onset_extended_candidates", """SELECT o.match_id, o.round_id, o.onset_frame AS frame, s AS striker_id, round(strength,6) AS audio, round(coalesce(c.ce,0),6) AS ce
-  FROM ons o CROSS JOIN (SELECT unnest([0,1]) AS s) LEFT JOIN LATERAL (SELECT max(contact_prob) AS ce FROM ce c WHERE c.match_id=o.match_id AND c.round_id=o.round_id AND c.striker_id=s AND abs(c.ce_frame-o.onset_frame)<=8) c ON true
-  WHERE NOT EXISTS (SELECT 1 FROM act a WHERE a.match_id=o.match_id AND a.round_id=o.round_id AND a.action_frame=o.onset_frame AND a.fighter_id=s) AND (coalesce(c.ce,0) > 0.2 OR strength > 0.5)""")
-def _(spark, sf):
+@query("onset_extended_candidates", """WITH o AS (SELECT o.match_id, o.round_id, o.onset_frame AS frame, s AS striker_id, strength AS audio FROM ons o CROSS JOIN (SELECT unnest([0,1]) AS s)
+    WHERE NOT EXISTS (SELECT 1 FROM act a WHERE a.match_id=o.match_id AND a.round_id=o.round_id AND a.action_frame=o.onset_frame AND a.fighter_id=s)),
+  x AS (SELECT o.*, (SELECT coalesce(max(contact_prob),0) FROM ce c WHERE c.match_id=o.match_id AND c.round_id=o.round_id AND c.striker_id=o.striker_id AND abs(c.ce_frame-o.frame)<=8) AS ce,
+    CASE WHEN s.x1 IS NULL OR r.x1 IS NULL THEN 0 ELSE greatest(0.0::DOUBLE, 1-sqrt(((s.x1+s.x2)/2-(r.x1+r.x2)/2)**2+((s.y1+s.y2)/2-(r.y1+r.y2)/2)**2)/150) END AS dist,
+    CASE WHEN h0.x1 IS NULL OR h1.x1 IS NULL OR r.x1 IS NULL THEN 0 ELSE least(1.0::DOUBLE, sqrt(((((h1.x1+h1.x2)/2-(r.x1+r.x2)/2)/4)-(((r.x1+r.x2)/2-(h0.x1+h0.x2)/2)/4))**2
+      +(((h1.y1+0.18*(h1.y2-h1.y1))-(r.y1+0.18*(r.y2-r.y1)))/4-((r.y1+0.18*(r.y2-r.y1))-(h0.y1+0.18*(h0.y2-h0.y1)))/4)**2)/20) END AS head_acc
+    FROM o LEFT JOIN box s ON s.match_id=o.match_id AND s.round_id=o.round_id AND s.frame=o.frame AND s.track_id=o.striker_id LEFT JOIN box r ON r.match_id=o.match_id AND r.round_id=o.round_id AND r.frame=o.frame AND r.track_id=1-o.striker_id
+    LEFT JOIN box h0 ON h0.match_id=o.match_id AND h0.round_id=o.round_id AND h0.frame=o.frame-4 AND h0.track_id=1-o.striker_id LEFT JOIN box h1 ON h1.match_id=o.match_id AND h1.round_id=o.round_id AND h1.frame=o.frame+4 AND h1.track_id=1-o.striker_id)
+  SELECT match_id, round_id, frame, striker_id, round(audio,6) AS audio, round(ce,6) AS ce, round(dist,6) AS dist, round(head_acc,6) AS head_acc FROM x WHERE dist > 0.5 OR ce > 0.2 OR audio > 0.5 OR head_acc > 0.4""")
+def _(spark, sf):
+    """Onsets without an action that closeness, a contact event, a loud onset or a moving head supports."""
     o = A.onsets(spark, sf).select(*KEYS, F.col("onset_frame").alias("frame"), F.col("strength").alias("audio_here"), F.explode(F.array(F.lit(0), F.lit(1))).alias("striker_id"))
     seen = A.actions(spark, sf).select(*KEYS, F.col("action_frame").alias("frame"), F.col("fighter_id").alias("striker_id"))
     o = o.join(seen, [*KEYS, "frame", "striker_id"], "left_anti")
-    e = evidence_features(o, A.actions(spark, sf), A.contacts(spark, sf), A.onsets(spark, sf))
-    e = C.onset_supported(e.withColumn("audio", F.col("audio_here")).withColumn("dist", F.lit(0.0)).withColumn("head_acc", F.lit(0.0)))
-    return e.select(*KEYS, "frame", "striker_id", r6(F.col("audio"), "audio"), r6(F.col("ce"), "ce"))
+    e = evidence_features(o, A.actions(spark, sf), A.contacts(spark, sf), A.onsets(spark, sf)).withColumn("receiver_id", 1 - F.col("striker_id"))
+    near = J.pairs_same_frame(A.boxes(spark, sf)).select(*KEYS, "frame", F.col("s.track_id").alias("striker_id"), G.dist(G.box_center(F.col("s.bbox")), G.box_center(F.col("r.bbox"))).alias("d"))
+    e = with_motion(e, A.boxes(spark, sf)).join(near, [*KEYS, "frame", "striker_id"], "left")
+    e = e.withColumns({"audio": F.col("audio_here"), "dist": F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("d") / 150), F.lit(0.0)), "head_acc": F.least(F.lit(1.0), F.col("head_acc") / 20)})
+    return C.onset_supported(e).select(*KEYS, "frame", "striker_id", *[r6(F.col(c), c) for c in ("audio", "ce", "dist", "head_acc")])
 
 
 @query("window_grid_candidates", """SELECT action_id, CAST(unnest(range(greatest(10, round_even(window_start*1.2,0)::INT-5), least(279, round_even(window_end*1.2,0)::INT+5)+1, 3)) AS INTEGER) AS frame FROM act""")
@@ -153,9 +162,9 @@ _MERGE = """WITH o AS (SELECT *, max(window_end) OVER (PARTITION BY match_id, ro
 
 
 @query("merged_action_windows", _MERGE + """ SELECT match_id, round_id, min(window_start) AS window_start, max(window_end) AS window_end, round(max(confidence),6) AS confidence, count(*) AS n_windows,
-  array_to_string(list_sort(list(DISTINCT action)), '+') AS actions FROM g GROUP BY match_id, round_id, grp""")
+  string_agg(action, '+' ORDER BY window_start, action_id) AS actions FROM g GROUP BY match_id, round_id, grp""")
 def _(spark, sf):
-    m = C.merge_windows(A.actions(spark, sf), KEYS, 6)
+    m = C.merge_windows(A.actions(spark, sf), KEYS, 6, order=["window_start", "action_id"])
     return m.select(*KEYS, "window_start", "window_end", r6(F.col("confidence"), "confidence"), "n_windows", "actions")
 
 
@@ -565,22 +574,35 @@ def _(spark, sf):
     return p.select(*PK, r6(F.col("delta"), "delta"), F.round(GX.depth_gate((w - med) / (sd + 1e-3)), 5).alias("g_depth"))
 
 
-@query("approach_trend_slope", f"""WITH d AS (SELECT a.match_id, a.round_id, a.striker_id, a.frame, b.head_gap, row_number() OVER (PARTITION BY {_AK} ORDER BY b.frame)-1 AS i {_PWIN.format(lo=8, hi=0)} WHERE (a.frame-b.frame) % 2 = 0)
-  SELECT match_id, round_id, striker_id, frame, round(CASE WHEN count(*) >= 3 THEN -regr_slope(head_gap, i) ELSE 0 END,5) AS trend FROM d GROUP BY ALL""")
+@query("approach_trend_slope", f"""WITH d AS (SELECT a.match_id, a.round_id, a.striker_id, a.frame, b.head_gap, row_number() OVER (PARTITION BY {_AK} ORDER BY b.frame)-1 AS i {_PWIN.format(lo=8, hi=0)} WHERE (a.frame-b.frame) % 2 = 0),
+  t AS (SELECT match_id, round_id, striker_id, frame, CASE WHEN count(*) >= 3 THEN -regr_slope(head_gap, i) END AS slope FROM d GROUP BY ALL),
+  m AS (SELECT a.match_id, a.round_id, a.striker_id, a.frame, min(b.head_gap) AS least_gap {_PWIN.format(lo=5, hi=5)} GROUP BY ALL)
+  SELECT t.match_id, t.round_id, t.striker_id, t.frame, round(coalesce(t.slope, (g.head_gap-m.least_gap)/8, 0),5) AS trend FROM t JOIN m USING (match_id, round_id, striker_id, frame)
+  LEFT JOIN pgap g ON g.match_id=t.match_id AND g.round_id=t.round_id AND g.striker_id=t.striker_id AND g.frame=t.frame-8""")
 def _(spark, sf):
+    """Slope of the gap over nine frames, else its mean rate since eight frames ago."""
     pg = GA.pair_frames(hot(spark, sf))
-    b = blocked(pg, GA.PAIR, "frame", 8, 0)
-    g = b.df.withColumn("_w", F.collect_list(F.struct("frame", "head_gap")).over(b.span(-8, 0)))
+    b = blocked(pg, GA.PAIR, "frame", 8, 5)
+    g = b.df.withColumn("_w", F.collect_list(F.struct("frame", "head_gap")).over(b.span(-8, 0))).withColumn("_m", F.min("head_gap").over(b.span(-5, 5))).withColumn("_g8", b.at(F.col("head_gap"), -8))
     v = G.field(F.filter("_w", lambda x: F.pmod(F.col("frame") - x["frame"], F.lit(2)) == 0), "head_gap")
     g = b.core(g.withColumn("v", v))
-    return g.select(*KEYS, "striker_id", "frame", F.round(F.when(F.size("v") >= 3, -K.slope(F.col("v"))).otherwise(0.0), 5).alias("trend"))
+    trend = F.coalesce(F.when(F.size("v") >= 3, -K.slope(F.col("v"))), (F.col("_g8") - F.col("_m")) / 8, F.lit(0.0))
+    return g.select(*KEYS, "striker_id", "frame", F.round(trend, 5).alias("trend"))
+
+
+_CXY = lambda j: hyp(f"{PX('s', j)}-(r.x1+r.x2)/2", f"{PY('s', j)}-(r.y1+r.y2)/2")
 
 
-@query("min_fist_distance", f"""SELECT {_AK.replace('a.receiver_id, ', '')}, round(min(b.head_gap),6) AS d_min {_PWIN.format(lo=5, hi=5)} GROUP BY ALL""")
+@query("min_fist_distance", f"""WITH c AS (SELECT {PKEY}, {least_of(_CXY(j) for j in P.wrists)} AS cd FROM {PAIR}), m AS (SELECT {_AK.replace('a.receiver_id, ', '')}, min(b.head_gap) AS d_min {_PWIN.format(lo=5, hi=5)} GROUP BY ALL)
+  SELECT m.match_id, m.round_id, m.striker_id, m.frame, round(m.d_min,6) AS d_min, round(min(c.cd),4) AS d_body FROM m JOIN c ON c.match_id=m.match_id AND c.round_id=m.round_id AND c.striker_id=m.striker_id AND c.frame BETWEEN m.frame-5 AND m.frame+5 GROUP BY ALL""")
 def _(spark, sf):
-    b = blocked(GA.pair_frames(hot(spark, sf)), GA.PAIR, "frame", 5, 5)
-    d = b.core(b.df.withColumn("d_min", F.min("head_gap").over(b.span(-5, 5))))
-    return d.select(*KEYS, "striker_id", "frame", r6(F.coalesce("d_min", F.lit(1000.0)), "d_min"))
+    """Least distance of a fist to the head (shoulder widths) and to the box centre (pixels) within five frames; 1000 where unknown."""
+    px = pairs(spark, sf)
+    centre = G.box_center(F.col("r.bbox"))
+    body = px.select(*PK, F.least(*[G.dist(G.joint(F.col("s.px"), i), centre) for i in A.PROFILE.wrists]).alias("body"))
+    b = blocked(GA.pair_frames(hot(spark, sf)).join(body, PK), GA.PAIR, "frame", 5, 5)
+    d = b.core(b.df.withColumn("d_min", F.min("head_gap").over(b.span(-5, 5))).withColumn("d_body", F.min("body").over(b.span(-5, 5))))
+    return d.select(*KEYS, "striker_id", "frame", r6(F.coalesce("d_min", F.lit(1000.0)), "d_min"), F.round(F.coalesce("d_body", F.lit(1000.0)), 4).alias("d_body"))
 
 
 @query("post_contact_displacement", f"""SELECT p.match_id, p.round_id, p.track_id, p.frame, round(least(1.0::DOUBLE, coalesce(max({hyp(f"{HX('n')}-{HX('p')}", f"{HY('n')}-{HY('p')}")}/({hyp('(p.x2-p.x1)/400', '(p.y2-p.y1)/400')}+1e-6)),0)/0.30),5) AS g_react
@@ -633,7 +655,9 @@ def live_rows(spark, sf):
     d = previous_row(A.pose(spark, sf).select(*BK, "px", "bbox"), GA.TRACK, "frame", F.struct("frame", "px"), "prev")
     dt = (F.col("frame") - F.col("prev.frame")).cast("double")
     hips = (A.PROFILE.left_hip, A.PROFILE.right_hip)
-    drift = {c: (G.centroid(F.col("px"), hips)[c] - G.centroid(F.col("prev.px"), hips)[c]) / dt for c in "xy"}
+    shoulders = (A.PROFILE.left_shoulder, A.PROFILE.right_shoulder)
+    moved = lambda part, c: (G.centroid(F.col("px"), part)[c] - G.centroid(F.col("prev.px"), part)[c]) / dt
+    drift = {c: F.coalesce(moved(hips, c), moved(shoulders, c)) for c in "xy"}  # bodies without hips drift by their shoulders
     for side in ("left", "right"):
         i = A.PROFILE.arm(side)[0]
         raw = {c: (G.joint(F.col("px"), i)[c] - G.joint(F.col("prev.px"), i)[c]) / dt for c in "xy"}

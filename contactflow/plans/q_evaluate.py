@@ -207,15 +207,21 @@ def _(spark, sf):
     return SE.best_config(weight_search(spark, sf, TOP_SHARES, WEIGHT_COOLDOWNS), ["trial", "cd", "cut"]).select("trial", "cd", "cut", "tp", "fp", "fn", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")])
 
 
-@query("multi_tolerance_evaluation", "WITH tk AS (SELECT dd.*, tol FROM dd, (SELECT unnest([4,8,12]) AS tol)), tg AS (SELECT gt.*, tol FROM gt, (SELECT unnest([4,8,12]) AS tol)), "
-       + match_sql("tk", "tg", "d.tol", "closest_pair", keys=("match_id", "round_id", "tol")) + f", sw AS (SELECT tol, count(*) AS tp, (SELECT count(*) FROM dd)-count(*) AS fp, (SELECT count(*) FROM gt)-count(*) AS fn FROM fin GROUP BY tol) SELECT tol, tp, fp, fn, {_PRF} FROM sw")
+_FPS, _TOLS = [25.0, 30.0, 24.995], [4, 8, 12]
+
+
+@query("multi_tolerance_evaluation", f"WITH cf AS (SELECT tol, fps FROM (SELECT unnest({_TOLS}) AS tol), (SELECT unnest({_FPS}::DOUBLE[]) AS fps)), tk AS (SELECT dd.*, tol, fps FROM dd, cf), tg AS (SELECT DISTINCT match_id, round_id, round_even(gt.frame/fps*25,0)::INTEGER AS frame, tol, fps FROM gt, cf), "
+       + match_sql("tk", "tg", "d.tol", "closest_pair", keys=("match_id", "round_id", "tol", "fps")) + f", hit AS (SELECT tol, fps, count(*) AS tp FROM fin GROUP BY ALL), ng AS (SELECT tol, fps, count(*) AS n FROM tg GROUP BY ALL), sw AS (SELECT tol, fps, tp, (SELECT count(*) FROM dd)-tp AS fp, n-tp AS fn FROM hit JOIN ng USING (tol, fps)) SELECT tol, fps, tp, fp, fn, {_PRF} FROM sw")
 def _(spark, sf):
+    """Truth labelled under several frame rates, in frames of 25 a second; all rates of a tolerance are matched at once."""
+    det = SE.with_grid(A.detections(spark, sf).select(*KEYS, "frame"), {"fps": _FPS})
+    truth = SE.with_grid(A.truth(spark, sf), {"fps": _FPS}).withColumn("frame", F.bround(F.col("frame") / F.col("fps") * 25, 0).cast("int")).distinct()
     out = None
-    for tol in (4, 8, 12):
-        m = match(A.detections(spark, sf), A.truth(spark, sf), KEYS, tol, "closest_pair")
-        c = match_counts(m, A.truth(spark, sf), KEYS).agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")]).withColumn("tol", F.lit(tol))
+    for tol in _TOLS:
+        c = match_counts(match(det, truth, [*KEYS, "fps"], tol, "closest_pair"), truth, [*KEYS, "fps"])
+        c = c.groupBy("fps").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")]).withColumn("tol", F.lit(tol))
         out = c if out is None else out.unionByName(c)
-    return with_prf(out).select("tol", "tp", "fp", "fn", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")])
+    return with_prf(out).select("tol", "fps", "tp", "fp", "fn", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")])
 
 
 @query("ground_truth_relabel", """WITH h AS (SELECT *, (x1+x2)/2 AS hx, y1+0.18*(y2-y1) AS hy FROM box),

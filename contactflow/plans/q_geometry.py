@@ -108,6 +108,30 @@ def _(spark, sf):
     return pairs(spark, sf).select(*PK, r6(d, "d"))
 
 
+_UV = "900*{x}/({z})+960 AS u, {sign}900*{y}/({z})+540 AS v"
+_ONSCREEN = "u >= 0 AND u < 1920 AND v >= 0 AND v < 1080"
+
+
+@query("pinhole_projection_variants", f"""SELECT match_id, round_id, track_id, frame, 'up' AS variant, round(u,4) AS u, round(v,4) AS v FROM (SELECT *, {_UV.format(x=X('p', 0), y=Y('p', 0), z=Z('p', 0) + '+0.3', sign='-')} FROM pz p) p WHERE {Z('p', 0)}+0.3 > 0.05 AND {_ONSCREEN}
+  UNION ALL SELECT match_id, round_id, track_id, frame, 'camera', trunc(u), trunc(v) FROM (SELECT *, {_UV.format(x='(' + X('p', 0) + '+0.1)', y='(' + Y('p', 0) + '-0.1)', z=Z('p', 0) + '+2', sign='')} FROM pz p) p WHERE {Z('p', 0)}+2 > 0.1 AND {_ONSCREEN.replace('u ', 'trunc(u) ').replace('v ', 'trunc(v) ')}""")
+def _(spark, sf):
+    """The y axis upwards behind a nearer plane, and whole pixels of joints moved into the camera's space."""
+    p, j = A.pose(spark, sf), G.joint(F.col("joints"), 0)
+    up = G.pinhole(F.struct(j["x"].alias("x"), j["y"].alias("y"), (j["z"] + 0.3).alias("z")), F.lit(900.0), 1920, 1080, 0.05, up=True)
+    cam = G.pinhole(G.joint(G.to_camera_space(F.col("joints"), F.struct(F.lit(0.1).alias("x"), F.lit(-0.1).alias("y"), F.lit(2.0).alias("z"))), 0), F.lit(900.0), 1920, 1080, whole=True)
+    both = F.filter(F.array(F.struct(F.lit("up").alias("variant"), up.alias("p")), F.struct(F.lit("camera").alias("variant"), cam.alias("p"))), lambda v: v["p"].isNotNull())
+    return p.select(*BK, F.explode(both).alias("b")).select(*BK, "b.variant", F.round("b.p.x", 4).alias("u"), F.round("b.p.y", 4).alias("v"))
+
+
+@query("fist_position_of_pose", f"""SELECT {PKEY}, round(CASE WHEN s.frame % 2 = 0 THEN {PX('s', 19)} WHEN s.frame % 3 = 0 THEN {PX('s', 20)} WHEN s.x1+s.x2 < r.x1+r.x2 THEN s.x2 ELSE s.x1 END,4) AS fx,
+  round(CASE WHEN s.frame % 2 = 0 THEN {PY('s', 19)} WHEN s.frame % 3 = 0 THEN {PY('s', 20)} ELSE s.y1+0.28*(s.y2-s.y1) END,4) AS fy FROM {PAIR}""")
+def _(spark, sf):
+    """The first wrist in sight, else the box's edge; the left wrist is in sight on even frames, the right one on every third."""
+    seen = lambda i, k: F.when(F.pmod("frame", F.lit(k)) == 0, F.struct(G.joint(F.col("s.px"), i)["x"].alias("x"), G.joint(F.col("s.px"), i)["y"].alias("y")))
+    f = G.fist_position(F.array(seen(PROFILE.left_wrist, 2), seen(PROFILE.right_wrist, 3)), F.col("s.bbox"), F.col("r.bbox"))
+    return pairs(spark, sf).select(*PK, F.round(f["x"], 4).alias("fx"), F.round(f["y"], 4).alias("fy"))
+
+
 @query("fist_position", f"""SELECT {PKEY}, round(CASE WHEN s.x1+s.x2 < r.x1+r.x2 THEN s.x2 ELSE s.x1 END,4) AS fx,
   round(s.y1+0.28*(s.y2-s.y1),4) AS fy FROM {BPAIR}""")
 def _(spark, sf):
@@ -232,10 +256,14 @@ def _(spark, sf):
             .select(*PK, F.round(G.outside_distance(w, F.col("r.bbox")), 4).alias("outside")))
 
 
-@query("reach_precheck", f"""SELECT {PKEY} FROM {PAIR} WHERE ({PX('s', 19)} BETWEEN r.x1-120 AND r.x2+120 AND {PY('s', 19)} BETWEEN r.y1-120 AND r.y2+120)
-  OR ({PX('s', 20)} BETWEEN r.x1-120 AND r.x2+120 AND {PY('s', 20)} BETWEEN r.y1-120 AND r.y2+120)""")
+_REACH = lambda j: f"({PX('s', j)} BETWEEN r.x1-120 AND r.x2+120 AND {PY('s', j)} BETWEEN r.y1-120 AND r.y2+120 AND abs({Z('s', j)})*4 >= 0.25)"
+
+
+@query("reach_precheck", f"SELECT {PKEY} FROM {PAIR} WHERE {_REACH(19)} OR {_REACH(20)}")
 def _(spark, sf):
-    hit = [G.in_box(G.joint(F.col("s.px"), i), F.col("r.bbox"), 120.0) for i in PROFILE.wrists]
+    """A wrist with a confidence of 0.25 or more inside the widened box; the test joints' depth stands for their confidence."""
+    sure = lambda i: F.abs(G.joint(F.col("s.joints"), i)["z"]) * 4 >= 0.25
+    hit = [G.in_box(G.joint(F.col("s.px"), i), F.col("r.bbox"), 120.0) & sure(i) for i in PROFILE.wrists]
     return pairs(spark, sf).where(hit[0] | hit[1]).select(*PK)
 
 

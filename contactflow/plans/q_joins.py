@@ -238,5 +238,5 @@ def _(spark, sf):
 def _(spark, sf):
     p = box_pairs(spark, sf).withColumn("iou", G.box_iou(F.col("s.bbox"), F.col("r.bbox"))).where("iou >= 0.15")
     b = p.groupBy(*KEYS, "frame", F.col("striker_id").alias("track_id")).agg(
-        F.min(F.struct((-F.col("iou")).alias("ni"), F.col("receiver_id").alias("o"))).alias("b"))
-    return b.select(*KEYS, "frame", "track_id", F.col("b.o").alias("other_track"), r6(-F.col("b.ni"), "iou"))
+        J.least([-F.col("iou"), F.col("receiver_id")]).alias("b"))
+    return b.select(*KEYS, "frame", "track_id", F.col("b._o1").alias("other_track"), r6(-F.col("b._o0"), "iou"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from contactflow.functions import scoring as SC
 from contactflow.operators import candidates as C
 from contactflow.operators import joins as J
 from contactflow.operators import labels as L
@@ -125,6 +126,19 @@ def _(spark, sf):
                                    F.round(F.try_divide(F.count_if(v == "LANDED").cast("double"), F.count_if(v != "UNCLEAR").cast("double")), 6).alias("precision"))
 
 
+@query("av_clip_index", """WITH c AS (SELECT *, row_number() OVER (PARTITION BY match_id, round_id ORDER BY onset_frame) AS id, onset_frame/25.0 AS t FROM ons WHERE strength >= 0.1),
+  d AS (SELECT *, floor(t/60)::INTEGER AS m, floor(t-60*floor(t/60))::INTEGER AS s, round_even((t-floor(t))*25.0,0)::INTEGER AS f FROM c)
+  SELECT match_id, round_id, id, format('{:03d}_t{}m{:02d}{:02d}s_score{:.2f}_f{}.mp4', id, m, s, f, round(strength,2), onset_frame) AS file, round(t,3) AS time_sec, format('{}:{:02d}:{:02d}', m, s, f) AS timestamp, onset_frame AS frame, round(strength,3) AS onset_score FROM d""")
+def _(spark, sf):
+    """Index of the audio-and-video clips around onsets: number, file name, time and strength (the clips themselves are not cut)."""
+    o = row_number(A.onsets(spark, sf).where("strength >= 0.1"), KEYS, "onset_frame", "id")
+    t = F.col("onset_frame") / 25.0
+    code = SC.frame_timecode(F.col("onset_frame"), 25.0)
+    parts = F.split(code, ":")
+    name = F.format_string("%03d_t%sm%s%ss_score%.2f_f%d.mp4", "id", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2)), F.round("strength", 2), "onset_frame")
+    return o.select(*KEYS, "id", name.alias("file"), F.round(t, 3).alias("time_sec"), code.alias("timestamp"), F.col("onset_frame").alias("frame"), F.round("strength", 3).alias("onset_score"))
+
+
 @query("action_clip_index", """SELECT a.action_id, round(CASE WHEN e-s<1.4 THEN greatest(0.0::DOUBLE,(s+e)/2-0.7) ELSE s END,3) AS clip_start_sec, round(CASE WHEN e-s<1.4 THEN 1.4 ELSE e-s END,3) AS clip_dur_sec, round(onset,3) AS onset FROM (SELECT *, greatest(0.0::DOUBLE, window_start/25.0-0.4) AS s, window_end/25.0+0.7 AS e,
   (SELECT coalesce(max(strength),0) FROM ons o WHERE o.match_id=act.match_id AND o.round_id=act.round_id AND o.onset_frame BETWEEN window_start-7 AND window_end+7) AS onset FROM act) a""")
 def _(spark, sf):

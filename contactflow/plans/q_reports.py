@@ -1,7 +1,6 @@
 """Report (group R), window (group W) and filter queries on the event domain."""
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contactflow.functions import geometry as G
@@ -18,6 +17,7 @@ from contactflow.plans.q_geometry import BK, PK, pairs, r6
 from contactflow.plans.q_suppress import FIRST_FIT
 from contactflow.plans.registry import query, view
 from contactflow.plans.sqltext import HX, HY, HZ, PAIR, PKEY, P, X, Y, Z, hyp
+from contactflow.session import cut_lineage
 from contactflow.sources import adapters as A
 
 KEYS = ["match_id", "round_id"]
@@ -74,14 +74,15 @@ def _(spark, sf):
 
 
 @query("cross_person_depth_audit", f"""SELECT match_id, count(*) AS n, round(avg(g),6) AS mean_gap, round(quantile_cont(g,0.5),6) AS median_gap, round(quantile_cont(g,0.9),6) AS p90_gap, round(max(g),6) AS max_gap,
-  round(avg((g>0.15)::INT),6) AS share_large FROM (SELECT s.match_id, abs(({HZ('s')})-({HZ('r')})) AS g FROM {PAIR} AND s.track_id < r.track_id) GROUP BY match_id""")
+  round(avg((g>0.15)::INT),6) AS share_large, round(avg(reliable::INT),6) AS share_reliable FROM (SELECT s.match_id, s.label <> 9 AND r.label <> 9 AS reliable, abs(({HZ('s')})-({HZ('r')})) AS g FROM {PAIR} AND s.track_id < r.track_id) GROUP BY match_id""")
 def _(spark, sf):
     h = lambda a: G.centroid(F.col(f"{a}.joints"), A.PROFILE.head, "xyz")["z"]
-    g = pairs(spark, sf).where("striker_id < receiver_id").select("match_id", F.abs(h("s") - h("r")).alias("g"))
+    g = pairs(spark, sf).where("striker_id < receiver_id").select("match_id", F.abs(h("s") - h("r")).alias("g"), ((F.col("s.label") != 9) & (F.col("r.label") != 9)).alias("reliable"))
     a = g.groupBy("match_id").agg(F.round(F.avg("g"), 6).alias("mean_gap"), F.round(F.max("g"), 6).alias("max_gap"),
-                                  F.round(F.avg((F.col("g") > 0.15).cast("int")), 6).alias("share_large"))
+                                  F.round(F.avg((F.col("g") > 0.15).cast("int")), 6).alias("share_large"),
+                                  F.round(F.avg(F.col("reliable").cast("int")), 6).alias("share_reliable"))  # bodies labelled 9 have unreliable coordinates
     q = exact_quantiles(g, ["match_id"], "g", {"median_gap": 0.5, "p90_gap": 0.9})
-    return a.join(q, "match_id").select("match_id", "n", "mean_gap", r6(F.col("median_gap"), "median_gap"), r6(F.col("p90_gap"), "p90_gap"), "max_gap", "share_large")
+    return a.join(q, "match_id").select("match_id", "n", "mean_gap", r6(F.col("median_gap"), "median_gap"), r6(F.col("p90_gap"), "p90_gap"), "max_gap", "share_large", "share_reliable")
 
 
 @query("confidence_placeholder_audit", """SELECT label, count(*) AS n, round(min(c),6) AS min_conf, round(avg(c),6) AS mean_conf, round(max(c),6) AS max_conf, round(avg((c<0.01)::INT),6) AS share_low,
@@ -135,6 +136,22 @@ def _(spark, sf):
                     F.least(F.lit(640), (F.col("cx") + F.col("w") * 0.75).cast("int")).alias("wx2"), F.least(F.lit(360), (F.col("cy") + F.col("h") * 0.75).cast("int")).alias("wy2"))
 
 
+@query("round_crop_window", """SELECT match_id, round_id, track_id, greatest(0, trunc(cx-w*0.75))::INTEGER AS wx1, greatest(0, trunc(cy-h*0.75))::INTEGER AS wy1, least(640, trunc(cx+w*0.75))::INTEGER AS wx2, least(360, trunc(cy+h*0.75))::INTEGER AS wy2 FROM (
+  SELECT match_id, round_id, track_id, median((x1+x2)/2) AS cx, median((y1+y2)/2) AS cy, median(x2-x1) AS w, median(y2-y1) AS h FROM box GROUP BY match_id, round_id, track_id)""")
+def _(spark, sf):
+    """One window for a whole round: exact medians by distributed ranks, so no state grows with the round."""
+    b, track = F.col("bbox"), [*KEYS, "track_id"]
+    d = cut_lineage(A.boxes(spark, sf).select(*track, G.box_center(b)["x"].alias("cx"), G.box_center(b)["y"].alias("cy"), (b["x2"] - b["x1"]).alias("w"), (b["y2"] - b["y1"]).alias("h")))
+    m = None
+    for c in ("cx", "cy", "w", "h"):
+        q = exact_quantiles(d, track, c, {c: 0.5}).drop("n")
+        m = q if m is None else m.join(q, track)
+    low = lambda e: F.greatest(F.lit(0), e.cast("int"))
+    high = lambda e, top: F.least(F.lit(top), e.cast("int"))
+    return m.select(*track, low(F.col("cx") - F.col("w") * 0.75).alias("wx1"), low(F.col("cy") - F.col("h") * 0.75).alias("wy1"),
+                    high(F.col("cx") + F.col("w") * 0.75, 640).alias("wx2"), high(F.col("cy") + F.col("h") * 0.75, 360).alias("wy2"))
+
+
 @query("close_truth_pairs", """SELECT match_id, round_id, frame, (nxt-frame) AS gap FROM (SELECT *, lead(frame) OVER (PARTITION BY match_id, round_id ORDER BY frame) AS nxt FROM gt) WHERE nxt-frame < 20""")
 def _(spark, sf):
     b = blocked(A.truth(spark, sf), KEYS, "frame", 0, 20)
@@ -291,22 +308,18 @@ def _(spark, sf):
     return A.actions(spark, sf).join(last, KEYS).where("window_start - 8 >= 0 and window_end + 8 <= last").select("action_id")
 
 
-@query("closest_large_pair", """WITH t AS (SELECT *, row_number() OVER (PARTITION BY match_id, frame//24, round_id ORDER BY (x2-x1)*(y2-y1) DESC, frame, track_id) AS rn FROM box),
-  p AS (SELECT a.match_id, a.round_id, a.frame//24 AS shot, a.frame AS fa, a.track_id AS ta, b.frame AS fb, b.track_id AS tb, sqrt(((a.x1+a.x2)/2-(b.x1+b.x2)/2)**2+((a.y1+a.y2)/2-(b.y1+b.y2)/2)**2) AS d,
-    row_number() OVER (PARTITION BY a.match_id, a.round_id, a.frame//24 ORDER BY sqrt(((a.x1+a.x2)/2-(b.x1+b.x2)/2)**2+((a.y1+a.y2)/2-(b.y1+b.y2)/2)**2), a.rn, b.rn) AS pr
-    FROM t a JOIN t b ON a.match_id=b.match_id AND a.round_id=b.round_id AND a.frame//24=b.frame//24 AND a.rn<b.rn WHERE a.rn<=4 AND b.rn<=4)
-  SELECT match_id, round_id, shot, fa, ta, fb, tb, round(d,4) AS d FROM p WHERE pr=1""")
+@query("closest_large_pair", """WITH t AS (SELECT *, row_number() OVER (PARTITION BY match_id, round_id, frame ORDER BY (x2-x1)*(y2-y1) DESC, track_id) AS rn FROM box),
+  p AS (SELECT a.match_id, a.round_id, a.frame, a.track_id AS ta, b.track_id AS tb, sqrt(((a.x1+a.x2)/2-(b.x1+b.x2)/2)**2+((a.y1+a.y2)/2-(b.y1+b.y2)/2)**2)/((a.x2-a.x1)*(a.y2-a.y1)+(b.x2-b.x1)*(b.y2-b.y1)+1) AS d
+    FROM t a JOIN t b ON a.match_id=b.match_id AND a.round_id=b.round_id AND a.frame=b.frame AND a.rn<b.rn WHERE a.rn<=4 AND b.rn<=4)
+  SELECT match_id, round_id, frame, ta, tb, round(d,9) AS d FROM p QUALIFY row_number() OVER (PARTITION BY match_id, round_id, frame ORDER BY d, ta, tb) = 1""")
 def _(spark, sf):
-    b = A.boxes(spark, sf).withColumn("shot", F.floor(F.col("frame") / 24).cast("int"))
+    """Of a frame's four largest boxes the pair with the least distance over summed area, as in the stream."""
     area = G.box_area(F.col("bbox"))
-    # a shot is a 24-frame bucket of two tracks: at most 48 boxes; the four largest pair up
-    w = Window.partitionBy(*KEYS, "shot").orderBy(area.desc(), "frame", "track_id")
-    top = b.withColumn("rn", F.row_number().over(w)).where("rn <= 4")
-    four = top.groupBy(*KEYS, "shot").agg(F.sort_array(F.collect_list(F.struct("rn", "frame", "track_id", "bbox"))).alias("t"))
-    ps = F.flatten(F.transform("t", lambda x: F.transform(F.filter("t", lambda y: y["rn"] > x["rn"]), lambda y: F.struct(
-        G.dist(G.box_center(x["bbox"]), G.box_center(y["bbox"])).alias("d"), x["rn"].alias("ra"), y["rn"].alias("rb"), x["frame"].alias("fa"),
-        x["track_id"].alias("ta"), y["frame"].alias("fb"), y["track_id"].alias("tb")))))
-    return four.withColumn("p", F.array_min(ps)).where("p is not null").select(*KEYS, "shot", "p.fa", "p.ta", "p.fb", "p.tb", F.round("p.d", 4).alias("d"))
+    boxes = F.slice(F.sort_array(F.collect_list(F.struct((-area).alias("na"), "track_id", "bbox"))), 1, 4)  # a frame holds a few boxes
+    four = A.boxes(spark, sf).groupBy(*KEYS, "frame").agg(boxes.alias("t"))
+    ps = F.flatten(F.transform("t", lambda x, i: F.transform(F.filter("t", lambda y, k: k > i), lambda y: F.struct(
+        (G.dist(G.box_center(x["bbox"]), G.box_center(y["bbox"])) / (G.box_area(x["bbox"]) + G.box_area(y["bbox"]) + 1)).alias("d"), x["track_id"].alias("ta"), y["track_id"].alias("tb")))))
+    return four.withColumn("p", F.array_min(ps)).where("p is not null").select(*KEYS, "frame", "p.ta", "p.tb", F.round("p.d", 9).alias("d"))
 
 
 @query("timecode_roundtrip", """SELECT det_id, tc, round_even(secs*24.995,0)::INTEGER AS frame_round, floor(secs*24.995)::INTEGER AS frame_floor FROM (SELECT det_id, tc, split_part(tc,':',1)::DOUBLE*60+split_part(tc,':',2)::DOUBLE+split_part(tc,':',3)::DOUBLE/24.995 AS secs FROM (

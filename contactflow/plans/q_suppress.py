@@ -81,10 +81,10 @@ def _(spark, sf):
 
 @query("best_per_window", """SELECT match_id, round_id, action_id, det_id, round(score,6) AS score FROM (
   SELECT a.match_id, a.round_id, a.action_id, d.det_id, d.score, row_number() OVER (PARTITION BY a.action_id ORDER BY d.score DESC, d.frame, d.det_id) AS rn
-  FROM act a JOIN det d ON a.match_id=d.match_id AND a.round_id=d.round_id AND d.frame BETWEEN a.window_start AND a.window_end) WHERE rn = 1""")
+  FROM act a JOIN det d ON a.match_id=d.match_id AND a.round_id=d.round_id AND d.frame BETWEEN a.window_start AND a.window_end WHERE d.score IS NOT NULL) WHERE rn = 1""")
 def _(spark, sf):
     from contactflow.operators.joins import interval_join
-    per_frame = A.detections(spark, sf).groupBy(*KEYS, "frame").agg(
+    per_frame = A.detections(spark, sf).where("score is not null").groupBy(*KEYS, "frame").agg(  # a missing score never wins
         F.min(F.struct((-F.col("score")).alias("ns"), "det_id")).alias("b"))
     j = interval_join(A.actions(spark, sf), per_frame, KEYS, start="window_start", end="window_end", before=0, after=0)
     best = j.groupBy(*KEYS, "action_id").agg(F.min(F.struct("b.ns", "frame", "b.det_id")).alias("w"))
