@@ -61,15 +61,26 @@ def _has(bits: Column, place: Column) -> Column:
     return F.getbit(byte, (place % 8).cast("int")) == 1
 
 
-def tested(docs: DataFrame, text: str = "text", normal: Normal = as_it_is, load: int = LOAD, most: int = MAX_BITMAPS) -> DataFrame:
-    """Pass 2: (row, maybe): every row as a struct, and whether the filter holds its hash."""
-    filter_, n = bloom(repeated(docs, text, normal), load, most)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), _hash(text, normal).alias("h")).withColumn("bitmap", F.col("h").bitwiseAND(F.lit(n - 1)))
-    rows = rows.join(F.broadcast(filter_), "bitmap", "left")
+def _tested(rows: DataFrame, filter_: DataFrame, n: int) -> tuple[DataFrame, Column]:
+    """Rows with a hash h joined with its bitmap, and whether it is in the filter."""
+    rows = rows.withColumn("bitmap", F.col("h").bitwiseAND(F.lit(n - 1))).join(F.broadcast(filter_), "bitmap", "left")
     maybe = F.col("bits").isNotNull()
     for k in range(HASHES):
         maybe = maybe & _has(F.col("bits"), _place(F.col("h"), k))
-    return rows.select("row", F.coalesce(maybe, F.lit(False)).alias("maybe"))
+    return rows, F.coalesce(maybe, F.lit(False))
+
+
+def tested(docs: DataFrame, text: str = "text", normal: Normal = as_it_is, load: int = LOAD, most: int = MAX_BITMAPS) -> DataFrame:
+    """Pass 2: (row, maybe): every row as a struct, and whether the filter holds its hash."""
+    rows, maybe = _tested(docs.select(F.struct(*docs.columns).alias("row"), _hash(text, normal).alias("h")), *bloom(repeated(docs, text, normal), load, most))
+    return rows.select("row", maybe.alias("maybe"))
+
+
+def within(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key may be among `keys` (one column): all that are, and a few others, found without a shuffle of the rows."""
+    hashes = keys.select(F.xxhash64(F.col(keys.columns[0])).alias("h"))
+    found, maybe = _tested(rows.select(F.struct(*rows.columns).alias("row"), F.xxhash64(F.col(key)).alias("h")), *bloom(hashes))
+    return found.filter(maybe).select("row.*")
 
 
 def _settled(rows: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ left out of the counts and sets the thresholds.
 4. A document is kept when its perplexity is at most MARGIN times its language's QUANTILE over the left-out trusted documents
    (over all documents of the language where there is none).
 
-Texts meet their labels compressed, which is the only shuffle of text. Edge cases: a null text, or one without a symbol, has null
+A Bloom filter of the trusted ids (bounded, broadcast) lets only trusted texts and a few others on; these meet their labels compressed,
+which is the only shuffle of text. Edge cases: a null text, or one without a symbol, has null
 perplexity and is not kept. A null language is a language of its own. Repeated rows get equal results; repeated label rows count a
 text once; null ids are never trusted. Without trusted text every symbol has probability 1/256.
 """
@@ -27,11 +28,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactflow.llm import exact_dedup
 from contactflow.llm.common import run_dir, text_key, written
 
 ORDER, HEAD, LOCAL, CALIBRATION, QUANTILE, MARGIN = 5, 1 << 20, 16, 10, 0.99, 1.25
 SLOTS, MIX = 22, np.uint64(0x9E3779B97F4A7C15)
-BLOCK = 4 << 20  # symbols that a task holds at a time
+BLOCK, TEXTS = 1 << 20, 1000  # symbols, and texts' results, that a task holds at a time
 SPACE, DIGIT = re.compile(r"\s+"), re.compile(r"\d")
 
 
@@ -127,16 +129,22 @@ class Model:
         found = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5 * k for k in (1, 2, 3)]
         return [min(max(d, 0.05 * k), 0.95 * k) for k, d in enumerate(found, 1)]
 
-    def probabilities(self, wanted: DataFrame, k: int = ORDER) -> DataFrame:
-        """(g, p) of distinct k-grams g: discounted count over the context's total, plus back-off weight times the order below."""
-        if k == 0:
-            return wanted.select("g", F.lit(1 / 256).alias("p"))
-        own, contexts = self.levels[k]
-        suffix = F.col("g").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
-        below = self.probabilities(wanted.select(suffix.alias("g")).distinct(), k - 1).withColumnsRenamed({"g": "s", "p": "q"})
-        rows = wanted.withColumns({"s": suffix, "c": F.shiftright("g", 8)}).join(own, "g", "left").join(contexts, "c", "left").join(below, "s")
-        p = F.coalesce(F.col("rest") / F.col("total"), F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("q")
-        return rows.select("g", p.alias("p"))
+    def probabilities(self, wanted: DataFrame) -> DataFrame:
+        """(g, p) of distinct ORDER-grams g: discounted count over the context's total, plus back-off weight times the order below.
+
+        The suffixes wanted of each order are written going down, their probabilities going up, so no order is planned or shuffled twice."""
+        wants = {ORDER: written(wanted.select("g"), "wanted")}
+        for k in range(ORDER - 1, 0, -1):
+            wants[k] = written(wants[k + 1].select(F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("g")).distinct(), f"wanted-{k}")
+        below = wanted.sparkSession.createDataFrame([(0, 1 / 256)], "s long, q double")
+        for k in range(1, ORDER + 1):
+            own, contexts = self.levels[k]
+            suffix = F.col("g").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
+            rows = wants[k].join(own, "g", "left").withColumns({"s": suffix, "c": F.shiftright("g", 8)}).join(contexts, "c", "left").join(below, "s")
+            p = F.coalesce(F.col("rest") / F.col("total"), F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("q")
+            found = rows.select("g", p.alias("p"))
+            below = found if k == ORDER else written(found, f"probabilities-{k}").withColumnsRenamed({"g": "s", "p": "q"})
+        return found
 
 
 def head_of(counts: DataFrame, most: int = HEAD) -> DataFrame:
@@ -172,8 +180,8 @@ def sums(docs: DataFrame, head: str, text: str = "text") -> DataFrame:
         place[slot(g)] = np.arange(len(g), dtype=np.int32)
         keys, values = np.append(g, -1), np.append(p, 0.0)
         for batch in batches:
-            rows = []
-            for t in batch:
+            rows: list[tuple] = []
+            for nth, t in enumerate(batch, 1):
                 data, total, rest = normal(t), 0.0, []
                 x = grams(data)
                 for at in range(0, len(x), BLOCK):
@@ -190,7 +198,9 @@ def sums(docs: DataFrame, head: str, text: str = "text") -> DataFrame:
                     rest.append(part)
                 other, n = np.unique(np.concatenate(rest), return_counts=True) if rest else (np.zeros(0, np.int64),) * 2
                 rows.append((len(data), total, other, n))
-            yield pd.DataFrame(rows, columns=["symbols", "known", "others", "times"])
+                if len(rows) == TEXTS or nth == len(batch):
+                    yield pd.DataFrame(rows, columns=["symbols", "known", "others", "times"])
+                    rows = []
 
     found = F.pandas_udf(run, "symbols long, known double, others array<long>, times array<long>", F.PandasUDFType.SCALAR_ITER)(F.col(text))
     keep = [c for c in docs.columns if c != text]
@@ -199,8 +209,10 @@ def sums(docs: DataFrame, head: str, text: str = "text") -> DataFrame:
 
 def perplexities(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
     """Every row without its text, with `perplexity` (null without a symbol). trusted: ids (column `id`) of the texts to learn from."""
-    own = docs.filter(F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.pandas_udf("binary")(_packed)(F.col(text)).alias("data"))
-    learn = own.join(trusted.select(F.col(id).alias("_id")).distinct(), "_id", "left_semi")
+    good = written(trusted.select(F.col(id).alias("_id")).distinct(), "trusted")
+    own = exact_dedup.within(docs.filter(F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(text).alias("text")), "_id", good)
+    own = own.select("_id", F.pandas_udf("binary")(_packed)("text").alias("data"))
+    learn = own.join(good, "_id", "left_semi")
     counts = written(counted(learn, True).groupBy("g").agg(F.sum("n").alias("n")), "gram-counts")
     corpus = counted(docs.select(F.col(text).alias("data")), False, LOCAL)
     often = written(counts.unionByName(corpus).groupBy("g").agg(F.sum("n").alias("n")), "often")
@@ -210,6 +222,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text:
     rows = written(sums(docs, place, text), "sums")
     rest = rows.filter(F.size("others") > 0).select("key", F.explode(F.arrays_zip("others", "times")).alias("o")).select("key", F.col("o.others").alias("g"), F.col("o.times").alias("n"))
     rest = rest.groupBy("key", "g").agg(F.max("n").alias("n"))
+    rest = written(rest, "rare")
     p = model.probabilities(rest.select("g").distinct())
     rest = rest.join(p, "g").groupBy("key").agg(F.sum(F.col("n") * F.log("p")).alias("rest"))
     total = F.col("known") + F.coalesce("rest", F.lit(0.0))
