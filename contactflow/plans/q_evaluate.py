@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from contactflow.functions import scoring as SC
 from contactflow.operators import evaluate as E
 from contactflow.operators import joins as J
+from contactflow.operators import learned as ML
 from contactflow.operators import search as SE
 from contactflow.operators.matching import match, match_counts, with_prf
 from contactflow.operators.ranking import blocks_by_rank, ranked, roc_auc
@@ -296,21 +297,62 @@ def _(spark, sf):
     return p.select(r6(F.col("combo"), "combo"), r6(F.col("best"), "best"), E.combo_verdict(F.col("combo"), F.col("best")).alias("verdict"))
 
 
-@query("window_length_ablation", f"""WITH w AS (SELECT a.action_id, t, CAST(EXISTS (SELECT 1 FROM pce c WHERE c.match_id=a.match_id AND c.round_id=a.round_id AND c.striker_id=a.fighter_id AND abs(c.ce_frame-a.action_frame)<=3) AS INTEGER) AS y, -min(p.head_gap) AS v
-    FROM pact a JOIN (SELECT unnest([3,6,8,10]) AS t) ON true JOIN pgap p ON p.match_id=a.match_id AND p.round_id=a.round_id AND p.striker_id=a.fighter_id AND abs(p.frame-a.action_frame)<=t GROUP BY ALL)
-  SELECT t, count_if(y=1)::BIGINT AS n_pos, count_if(y=0)::BIGINT AS n_neg, round({_AUC},5) AS auc FROM (SELECT t, y, {_RANK.format(k='t', s='v')} AS r FROM w) GROUP BY t""")
+def descent_sql(src: str, d: int, steps: int = 1500, rate: float = 0.8, p: str = "") -> str:
+    """Ridge-penalised logistic regression of every group g by full gradient descent until it stands still: weights w0..wd in co{p}.
+
+    src: columns g, y, c (row weight), x0..x(d-1). The fits of the plans are Newton's; both reach the one optimum."""
+    k = range(d)
+    z = "+".join([f"w{i}*z{i}" for i in k]) + f"+w{d}"
+    ws = ", ".join(f"w{i}" for i in range(d + 1))
+    step = ", ".join([f"w{i}-{rate}*(avg(c*(p-y)*z{i})+0.001*w{i})" for i in k] + [f"w{d}-{rate}*(avg(c*(p-y))+0.001*w{d})"])
+    return (f"st{p} AS MATERIALIZED (SELECT g, {', '.join(f'avg(x{i}) AS m{i}, stddev_pop(x{i})+1e-6 AS s{i}' for i in k)} FROM {src} GROUP BY g), "
+            f"zr{p} AS MATERIALIZED (SELECT r.g, y, c, {', '.join(f'(x{i}-m{i})/s{i} AS z{i}' for i in k)} FROM {src} r JOIN st{p} USING (g)), "
+            f"gd{p} AS (SELECT g, 0 AS step, {', '.join(f'0.0::DOUBLE AS w{i}' for i in range(d + 1))} FROM st{p} UNION ALL SELECT g, step+1, {step} FROM "
+            f"(SELECT s.*, z.* EXCLUDE (g), 1/(1+exp(-({z}))) AS p FROM gd{p} s JOIN zr{p} z USING (g)) GROUP BY g, step, {ws} HAVING step < {steps}), co{p} AS (SELECT * FROM gd{p} WHERE step = {steps})")
+
+
+def score_sql(d: int) -> str:
+    """Probability of a row x0.. joined with the st and co of its group."""
+    return "1/(1+exp(-(" + "+".join(f"w{i}*(x{i}-m{i})/s{i}" for i in range(d)) + f"+w{d})))"
+
+
+def report_sql(src: str, keys: str) -> str:
+    """n, accuracy, precision, recall, F1 and AUC of src (keys, fold, y, p) by fold, with a row of means."""
+    return f"""rr AS (SELECT {keys}, fold, y, p, {_RANK.format(k=keys + ', fold', s='p')} AS r FROM {src}), cn2 AS (SELECT {keys}, fold::VARCHAR AS fold, count(*) AS n, count_if(y=1 AND p>=0.5) AS tp, count_if(y=0 AND p>=0.5) AS fp, count_if(y=1 AND p<0.5) AS fn, count_if(y=0 AND p<0.5) AS tn, {_AUC} AS auc FROM rr GROUP BY ALL),
+  rp AS (SELECT {keys}, fold, n, (tp+tn)/n AS accuracy, CASE WHEN tp+fp>0 THEN tp/(tp+fp) ELSE 0 END AS "precision", CASE WHEN tp+fn>0 THEN tp/(tp+fn) ELSE 0 END AS recall, CASE WHEN tp>0 THEN 2*tp/(2*tp+fp+fn) ELSE 0 END AS f1, auc FROM cn2),
+  al2 AS (SELECT * FROM rp UNION ALL SELECT {keys}, 'mean', sum(n), avg(accuracy), avg("precision"), avg(recall), avg(f1), avg(auc) FROM rp GROUP BY ALL) SELECT {keys}, fold, n::BIGINT AS n, round(accuracy,4) AS accuracy, round("precision",4) AS "precision", round(recall,4) AS recall, round(f1,4) AS f1, round(auc,4) AS auc FROM al2"""
+
+
+def report_columns(t, *keys):
+    return t.select(*keys, "fold", "n", *[F.round(c, 4).alias(c) for c in ("accuracy", "precision", "recall", "f1", "auc")])
+
+
+_LENGTHS = [3, 6, 8, 10]
+
+
+@query("window_length_ablation", f"""WITH o AS (SELECT *, ntile(5) OVER (ORDER BY match_id, round_id, action_frame, action_id)-1 AS fold FROM pact), w AS (SELECT a.action_id, t, a.fold, CAST(EXISTS (SELECT 1 FROM pce c WHERE c.match_id=a.match_id AND c.round_id=a.round_id AND c.striker_id=a.fighter_id AND abs(c.ce_frame-a.action_frame)<=3) AS INTEGER) AS y,
+    -min(p.head_gap) AS x0, avg(p.head_gap) AS x1, max(p.iou) AS x2, min(p.guard_d) AS x3, 1.0::DOUBLE AS c FROM o a JOIN (SELECT unnest({_LENGTHS}) AS t) ON true JOIN pgap p ON p.match_id=a.match_id AND p.round_id=a.round_id AND p.striker_id=a.fighter_id AND abs(p.frame-a.action_frame)<=t GROUP BY ALL),
+  tr AS (SELECT t*10+h AS g, y, c, x0, x1, x2, x3 FROM w, (SELECT unnest(range(5)) AS h) WHERE h <> fold), {descent_sql('tr', 4)},
+  oof AS (SELECT t, fold, y, round({score_sql(4)}, 7) AS p FROM w JOIN st ON st.g=t*10+fold JOIN co ON co.g=st.g), {report_sql('oof', 't')}""")
 def _(spark, sf):
+    """A model for every window length and held-out block of time, all fitted together; every action is scored by the model that did not see its block."""
     from contactflow.operators import gates as GA
-    p = GA.pair_frames(GA.hot_joints(A.pose(spark, sf), A.PROFILE)).select(*KEYS, F.col("striker_id").alias("fighter_id"), "frame", "head_gap")
+    p = GA.pair_frames(GA.hot_joints(A.pose(spark, sf), A.PROFILE)).select(*KEYS, F.col("striker_id").alias("fighter_id"), "frame", "head_gap", "iou", "guard_d")
     a = A.pose_actions(spark, sf)
     c = A.pose_contacts(spark, sf).select(*KEYS, F.col("striker_id").alias("fighter_id"), "ce_frame")
     a = J.matched_in_band(a, c, [*KEYS, "fighter_id"], left_on="action_frame", right_on="ce_frame", lo=-3, hi=3)
-    # one join at the longest window; shorter ones are conditional minima of it
+    a = blocks_by_rank(a.withColumns({"all": F.lit(1), "t0": (F.col("match_id") * 100 + F.col("round_id")) * 1000000 + F.col("action_frame")}), ["all"], "t0", 5, "fold", ["action_id"]).drop("all", "t0")
+    # one join at the longest window; shorter ones are conditional aggregates of it
     j = J.interval_join(a, p, [*KEYS, "fighter_id"], start="action_frame", end="action_frame", before=10, after=10)
     off = F.abs(F.col("frame") - F.col("action_frame"))
-    g = j.groupBy("action_id", "matched").agg(*[F.min(F.when(off <= t, F.col("head_gap"))).alias(f"g{t}") for t in (3, 6, 8, 10)])
-    u = g.select(F.col("matched").cast("int").alias("y"), F.explode(F.array(*[F.struct(F.lit(t).alias("t"), (-F.col(f"g{t}")).alias("v")) for t in (3, 6, 8, 10)])).alias("x")).select("y", "x.*")
-    return roc_auc(u, ["t"], "y", "v").select("t", "n_pos", "n_neg", F.round("auc", 5).alias("auc"))
+    inside = lambda f, col, t: f(F.when(off <= t, F.col(col)))
+    g = j.groupBy("action_id", "matched", "fold").agg(*[F.struct((-inside(F.min, "head_gap", t)).alias("x0"), inside(F.avg, "head_gap", t).alias("x1"), inside(F.max, "iou", t).alias("x2"), inside(F.min, "guard_d", t).alias("x3")).alias(f"w{t}") for t in _LENGTHS])
+    u = g.select(F.col("matched").cast("int").alias("y"), "fold", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), f"w{t}.*") for t in _LENGTHS])).alias("x")).select("y", "fold", "x.*")
+    u, names = cut_lineage(u), ["x0", "x1", "x2", "x3"]
+    model = ML.grouped_logistic(ML.left_out(u, "fold", 5), ["t", "held"], names, "y")
+    s = ML.apply_scorer(u.withColumn("held", F.col("fold")), model, ["t", "held"], names)
+    return report_columns(ML.fold_report(s.withColumn("prob", F.round("prob", 7)), ["t"], "fold", "y", "prob"), "t")
+
 
 
 @query("reachability_report", """SELECT g.match_id, count(*) AS n_gt, count_if(EXISTS (SELECT 1 FROM act a WHERE a.match_id=g.match_id AND a.round_id=g.round_id AND abs(a.action_frame-g.frame)<=12))::BIGINT AS by_action,
