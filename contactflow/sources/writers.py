@@ -64,3 +64,30 @@ def publish_version(df: DataFrame, root: str) -> str:
 def read_current(spark: SparkSession, root: str) -> DataFrame:
     version = spark.read.schema("version string").json(f"{root}/current").agg(F.max("version")).first()[0]
     return spark.read.parquet(f"{root}/{version}")
+
+
+def write_tensors(tensors: DataFrame, names: Sequence[str], root: str, parts: int | None = None) -> str:
+    """Sequence tensors (x: T x F arrays, mask, y, group, name and more) as a new version of a table, with their column names.
+
+    Parts are dealt by a hash of the name, so a group with a third of all clips is written by many tasks. A manifest with the number of clips,
+    T, F and the column names is taken from the written parts and added last: it commits them. A write that fails before that leaves the
+    newest version as it was."""
+    version = f"v{time.time_ns():020d}"
+    spark, path = tensors.sparkSession, f"{root}/{version}"
+    key = F.xxhash64("name")
+    (tensors.repartition(parts, key) if parts else tensors.repartition(key)).write.mode("errorifexists").parquet(path)
+    shape = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.min(F.size("x")).alias("t0"), F.max(F.size("x")).alias("t"), F.max(F.size(F.get("x", F.lit(0)))).alias("f"), F.count_if(F.size("mask") != F.size("x")).alias("odd")).first()
+    if shape["n"] and (shape["t0"] != shape["t"] or shape["f"] != len(names) or shape["odd"]):
+        raise ValueError(f"tensors of one shape and {len(names)} columns are needed, got {shape.asDict()}")
+    row = spark.createDataFrame([(version, shape["n"], shape["t"] or 0, len(names), list(names))], TENSOR_MANIFEST)
+    row.coalesce(1).write.mode("append").json(f"{root}/manifest")
+    return version
+
+
+TENSOR_MANIFEST = "version string, n long, t int, f int, names array<string>"
+
+
+def read_tensors(spark: SparkSession, root: str) -> tuple[DataFrame, list[str]]:
+    """The newest committed version and its column names."""
+    newest = spark.read.schema(TENSOR_MANIFEST).json(f"{root}/manifest").agg(F.max(F.struct("version", "n", "names")).alias("m")).first()["m"]
+    return spark.read.parquet(f"{root}/{newest['version']}"), list(newest["names"])

@@ -152,3 +152,19 @@ def test_sticky_pair():
     # people at the frame's edge count only where fewer than two others are there
     assert set(T.sticky_pair([(1, 9.0, 500, 0), (2, 8.0, 700, 0), (3, 99.0, 20, 0)], set(), 1000)) == {1, 2}
     assert set(T.sticky_pair([(1, 9.0, 500, 0), (3, 99.0, 20, 0)], set(), 1000)) == {1, 3}
+
+
+def test_tensor_table_survives_a_failed_write(spark, tmp_path):
+    from contactflow.sources.writers import read_tensors, write_tensors
+    schema = "x array<array<double>>, mask array<double>, y int, group int, name string"
+    good = [([[1.0, 2.0], [3.0, 4.0], [3.0, 4.0]], [1.0, 1.0, 0.0], k % 2, k % 3, f"clip{k}") for k in range(9)]
+    root = str(tmp_path / "tensors")
+    first = write_tensors(spark.createDataFrame(good, schema), ["a", "b"], root, parts=4)
+    for bad in (spark.createDataFrame([([[1.0]], [1.0], 0, 0, "odd"), *good], schema),  # shapes differ: found in the written parts
+                spark.createDataFrame(good, schema).withColumn("y", F.when(F.col("name") == "clip7", F.raise_error(F.lit("lost"))).otherwise(F.col("y")).cast("int"))):
+        with pytest.raises(Exception):
+            write_tensors(bad, ["a", "b"], root)
+        t, names = read_tensors(spark, root)
+        assert names == ["a", "b"] and sorted(map(tuple, t.collect()), key=lambda r: r[4]) == [(x, m, y, g, n) for x, m, y, g, n in good]
+    second = write_tensors(spark.createDataFrame(good[:2], schema), ["a", "b"], root)
+    assert second > first and read_tensors(spark, root)[0].count() == 2
