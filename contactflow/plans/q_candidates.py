@@ -462,27 +462,41 @@ def _(spark, sf):
     return d.groupBy("det_id").agg(F.round(F.avg("p"), 6).alias("prob"))
 
 
+_JT = (*P.head, *P.torso, 7, 8)
+_REGION_SQL = f"CASE WHEN jt IN ({','.join(map(str, P.head))}) THEN 'head' WHEN jt IN ({','.join(map(str, P.torso))}) THEN 'torso' ELSE 'arm' END"
+
+
 @query("rich_detection_metadata", f"""WITH k AS (SELECT d.match_id, d.round_id, d.frame, d.striker_id, d.score FROM dsc d WHERE d.score >= 0.3),
-  h AS (SELECT * FROM (SELECT k.match_id, k.round_id, k.frame AS f0, k.striker_id, k.score, c.frame, c.d, c.jt, row_number() OVER (PARTITION BY k.match_id, k.round_id, k.frame, k.striker_id ORDER BY c.d, c.frame) AS rn FROM k JOIN (
-    SELECT match_id, round_id, frame, striker_id, m.d AS d, m.k AS jt FROM (SELECT {PKEY}, list_min([{",".join(f"{{'d': {least_of([dj('s', 19, 'r', j), dj('s', 20, 'r', j)])}, 'k': {j}}}" for j in (*P.head, *P.torso, 7, 8))}]) AS m FROM {PAIR})) c
+  h AS (SELECT * FROM (SELECT k.match_id, k.round_id, k.frame AS f0, k.striker_id, k.score, c.frame, c.d, c.jt, c.hx, c.hy, row_number() OVER (PARTITION BY k.match_id, k.round_id, k.frame, k.striker_id ORDER BY c.d, c.frame) AS rn FROM k JOIN (
+    SELECT match_id, round_id, frame, striker_id, m.d AS d, m.k AS jt, m.hx AS hx, m.hy AS hy FROM (SELECT {PKEY}, list_min([{",".join(f"{{'d': {least_of([dj('s', 19, 'r', j), dj('s', 20, 'r', j)])}, 'k': {j}, 'hx': {PX('r', j)}, 'hy': {PY('r', j)}}}" for j in _JT)}]) AS m FROM {PAIR})) c
     ON c.match_id=k.match_id AND c.round_id=k.round_id AND c.striker_id=k.striker_id AND abs(c.frame-k.frame)<=12) WHERE rn=1),
-  a AS (SELECT h.*, (SELECT first(action ORDER BY confidence DESC, action_id) FROM pact p WHERE p.match_id=h.match_id AND p.round_id=h.round_id AND p.fighter_id=h.striker_id AND p.action_frame=h.f0) AS action,
-    (SELECT max(contact_prob) FROM pce p WHERE p.match_id=h.match_id AND p.round_id=h.round_id AND p.striker_id=h.striker_id AND abs(p.ce_frame-h.f0)<=15) AS ce FROM h)
-  SELECT match_id, round_id, f0 AS frame, striker_id, frame AS contact_frame, round(d,6) AS dist, jt AS joint, coalesce(action,'punch') AS action, round(coalesce(ce,0),6) AS ce FROM a""")
-def _(spark, sf):
-    k = dense_scores(spark, sf).where("score >= 0.3").select(*KEYS, "frame", "striker_id")
+  ac AS (SELECT h.match_id, h.round_id, h.f0, h.striker_id, first(p.action ORDER BY p.confidence DESC, p.action_frame, p.action_id) AS action, max(p.confidence) AS conf FROM h JOIN pact p ON p.match_id=h.match_id AND p.round_id=h.round_id AND p.fighter_id=h.striker_id AND abs(p.action_frame-h.f0)<=8 GROUP BY ALL),
+  ec AS (SELECT h.match_id, h.round_id, h.f0, h.striker_id, first(p.contact_region ORDER BY p.contact_prob DESC, p.ce_frame) AS region, max(p.contact_prob) AS ce FROM h JOIN pce p ON p.match_id=h.match_id AND p.round_id=h.round_id AND p.striker_id=h.striker_id AND abs(p.ce_frame-h.f0)<=15 GROUP BY ALL),
+  ao AS (SELECT h.match_id, h.round_id, h.f0, max(o.strength) AS audio FROM (SELECT DISTINCT match_id, round_id, f0 FROM h) h JOIN pons o ON o.match_id=h.match_id AND o.round_id=h.round_id AND abs(o.onset_frame-h.f0)<=8 GROUP BY ALL)
+  SELECT match_id, round_id, f0 AS frame, striker_id, frame AS contact_frame, round(d,6) AS dist, jt AS joint, round(hx,3) AS hit_x, round(hy,3) AS hit_y, CASE WHEN ce >= 0.7 THEN ec.region ELSE {_REGION_SQL} END AS contact_region,
+    coalesce(action,'punch') AS action, round(coalesce(conf,0)*40,4) AS speed_kmh, round(coalesce(audio,0),6) AS audio, round(coalesce(ce,0),6) AS ce
+  FROM h LEFT JOIN ac USING (match_id, round_id, f0, striker_id) LEFT JOIN ec USING (match_id, round_id, f0, striker_id) LEFT JOIN ao USING (match_id, round_id, f0)""")
+def _(spark, sf):
+    """What a detection is exported with: the strongest action nearby, sound, contact frame, struck joint and its place; a sure contact event (0.7) names the region."""
+    k = cut_lineage(dense_scores(spark, sf).where("score >= 0.3").select(*KEYS, "frame", "striker_id"))
+    side = [*KEYS, "striker_id"]
     w = F.array(*[G.joint(F.col("s.joints"), i) for i in A.PROFILE.wrists])
-    c = pairs(spark, sf).withColumn("m", G.nearest_joint_region(w, F.col("r.joints"), A.PROFILE)).select(
-        *KEYS, "striker_id", F.col("frame").alias("cf"), F.col("m.d").alias("d"), F.col("m.k").alias("joint"))
-    k = J.best_in_band(k, c, [*KEYS, "striker_id"], left_on="frame", right_on="cf", lo=-12, hi=12,
-                       order=[F.col("d"), F.col("cf")], keep=["cf", "d", "joint"]).where("cf is not null")
-    a = A.pose_actions(spark, sf).groupBy(*KEYS, F.col("fighter_id").alias("striker_id"), F.col("action_frame").alias("frame")).agg(
-        F.max_by("action", F.struct("confidence", -F.col("action_id"))).alias("action"))  # equal confidences: the earlier action
-    ce = A.pose_contacts(spark, sf).select(*KEYS, "striker_id", "ce_frame", "contact_prob")
-    k = J.aggregate_in_band(k.join(a, [*KEYS, "striker_id", "frame"], "left"), ce, [*KEYS, "striker_id"], left_on="frame", right_on="ce_frame", lo=-15, hi=15,
-                            aggs=[F.max("contact_prob").alias("ce")])
-    return k.select(*KEYS, "frame", "striker_id", F.col("cf").alias("contact_frame"), r6(F.col("d"), "dist"), "joint",
-                    F.coalesce("action", F.lit("punch")).alias("action"), r6(F.coalesce("ce", F.lit(0.0)), "ce"))
+    c = pairs(spark, sf).withColumn("m", G.nearest_joint_region(w, F.col("r.joints"), A.PROFILE))
+    hit = F.get(F.col("r.px"), F.col("m.k"))
+    c = c.select(*side, F.col("frame").alias("cf"), F.col("m.d").alias("d"), F.col("m.k").alias("joint"), hit["x"].alias("hit_x"), hit["y"].alias("hit_y"))
+    k = J.best_in_band(k, c, side, left_on="frame", right_on="cf", lo=-12, hi=12, order=[F.col("d"), F.col("cf")], keep=["cf", "d", "joint", "hit_x", "hit_y"]).where("cf is not null")
+    a = A.pose_actions(spark, sf).groupBy(*KEYS, F.col("fighter_id").alias("striker_id"), "action_frame").agg(J.least([-F.col("confidence"), F.col("action_id")], F.col("action")).alias("_a"))
+    a = a.select(*side, "action_frame", (-F.col("_a._o0")).alias("conf"), "_a.action")
+    k = J.best_in_band(k, a, side, left_on="frame", right_on="action_frame", lo=-8, hi=8, order=[-F.col("conf"), F.col("action_frame")], keep=["action", "conf"])
+    ce = A.pose_contacts(spark, sf).groupBy(*side, "ce_frame").agg(J.least([-F.col("contact_prob")], F.col("contact_region")).alias("_c"))
+    ce = ce.select(*side, "ce_frame", (-F.col("_c._o0")).alias("ce"), F.col("_c.contact_region").alias("event_region"))
+    k = J.best_in_band(k, ce, side, left_on="frame", right_on="ce_frame", lo=-15, hi=15, order=[-F.col("ce"), F.col("ce_frame")], keep=["ce", "event_region"])
+    k = J.best_in_band(k, A.pose_onsets(spark, sf), KEYS, left_on="frame", right_on="onset_frame", lo=-8, hi=8, order=[-F.col("strength"), F.col("onset_frame")], keep=["strength"])
+    own = F.when(F.col("joint").isin(*A.PROFILE.head), "head").when(F.col("joint").isin(*A.PROFILE.torso), "torso").otherwise("arm")
+    # the pose actions carry no speed: 40 km/h at full confidence stands for it
+    return k.select(*KEYS, "frame", "striker_id", F.col("cf").alias("contact_frame"), r6(F.col("d"), "dist"), "joint", F.round("hit_x", 3).alias("hit_x"), F.round("hit_y", 3).alias("hit_y"),
+                    F.when(F.col("ce") >= 0.7, F.col("event_region")).otherwise(own).alias("contact_region"), F.coalesce("action", F.lit("punch")).alias("action"),
+                    F.round(F.coalesce("conf", F.lit(0.0)) * 40, 4).alias("speed_kmh"), r6(F.coalesce("strength", F.lit(0.0)), "audio"), r6(F.coalesce("ce", F.lit(0.0)), "ce"))
 
 
 @query("audio_class_scan", "WITH cls AS (SELECT match_id, round_id, onset_frame AS frame, onset_frame + 1000*round_id + 10000*match_id AS det_id, strength*0.6+0.3*(onset_frame%5)/5.0 AS score FROM ons), good AS (SELECT * FROM cls WHERE score >= 0.2), "

@@ -149,8 +149,10 @@ def _(spark, sf):
     return R.with_recording(d, F.col("p")).select("det_id", F.col("match_id").alias("match_name"), "round_id")
 
 
-@query("detection_export_rows", "SELECT det_id, match_id, round_id, frame AS impact_frame, round(score,4) AS impact_score, round(conf,3) AS g_conf, round(ce,3) AS g_ce, 'evidence' AS approach FROM ft")
+@query("detection_export_rows", """SELECT det_id, match_id, round_id, frame AS impact_frame, round(score,4) AS impact_score, round(conf,3) AS g_conf, round(ce,3) AS g_ce, 'evidence' AS approach, 0.2::DOUBLE AS threshold, 18 AS cooldown, 25.0::DOUBLE AS fps,
+  count(*) OVER (PARTITION BY match_id, round_id) AS n_impacts, round(frame/25.0,3) AS timestamp_seconds FROM ft""")
 def _(spark, sf):
     f = features(spark, sf)
-    e = K.detection_events(f.withColumn("det", F.col("det_id")), "evidence", 0.2, 18, ["conf", "ce", "det"])
-    return e.select(F.col("gates.det").cast("long").alias("det_id"), *KEYS, "impact_frame", "impact_score", F.col("gates.conf").alias("g_conf"), F.col("gates.ce").alias("g_ce"), "approach")
+    e = K.detection_events(f.withColumn("det", F.col("det_id")), "evidence", 0.2, 18, ["conf", "ce", "det"], fps=A.FPS)
+    return e.select(F.col("gates.det").cast("long").alias("det_id"), *KEYS, "impact_frame", "impact_score", F.col("gates.conf").alias("g_conf"), F.col("gates.ce").alias("g_ce"), "approach",
+                    "threshold", "cooldown", "fps", "n_impacts", "timestamp_seconds")

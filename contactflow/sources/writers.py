@@ -23,12 +23,16 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = RECORDIN
     w.partitionBy(*partition_by).parquet(path)
 
 
-def detection_events(df: DataFrame, approach: str, threshold: float, cooldown: int, gates: Sequence[str]) -> DataFrame:
-    """Export rows: rounded scores, gate struct and the run's header fields."""
+def detection_events(df: DataFrame, approach: str, threshold: float, cooldown: int, gates: Sequence[str], fps: float | None = None) -> DataFrame:
+    """Export rows: rounded scores, gate struct and the run's header fields; with a frame rate also it, times and the recording's number of rows."""
     g = F.struct(*[F.round(F.col(c), 3).alias(c) for c in gates])
-    return df.select(*RECORDING, F.lit(approach).alias("approach"), F.lit(threshold).alias("threshold"), F.lit(cooldown).alias("cooldown"),
-                     F.col("frame").alias("impact_frame"), F.round("score", 4).alias("impact_score"), F.lit(True).alias("is_impact"),
-                     "striker_id", "receiver_id", g.alias("gates"))
+    out = df.select(*RECORDING, F.lit(approach).alias("approach"), F.lit(threshold).alias("threshold"), F.lit(cooldown).alias("cooldown"),
+                    F.col("frame").alias("impact_frame"), F.round("score", 4).alias("impact_score"), F.lit(True).alias("is_impact"),
+                    "striker_id", "receiver_id", g.alias("gates"))
+    if fps is None:
+        return out
+    n = df.groupBy(*RECORDING).agg(F.count(F.lit(1)).alias("n_impacts"))
+    return out.join(n, list(RECORDING)).withColumns({"fps": F.lit(fps), "timestamp_seconds": F.round(F.col("impact_frame") / fps, 3)})
 
 
 def write_json_lines(df: DataFrame, path: str, partition_by: Sequence[str] = RECORDING) -> None:
