@@ -51,7 +51,7 @@ def _(spark, sf):
 
 @query("streaming_value_steps", """SELECT event_id, round(value-lag(value) OVER (PARTITION BY match_id, round_id, event_id%2 ORDER BY frame, event_id),6) AS step FROM hev WHERE event_type='view'""")
 def _(spark, sf):
-    e = stream(spark, sf, "view").select(*KEYS, F.pmod("event_id", F.lit(2)).cast("int").alias("track_id"), "frame", "event_id", "value")
+    e = stream(spark, sf, "view").select(*KEYS, F.pmod("event_id", F.lit(2)).cast("int").alias("track_id"), "frame", "event_id", "value", "ts")
     d = J.drain(J.value_steps(e), "steps")
     return d.select("event_id", F.round(F.when(~F.isnan("step"), F.col("step")), 6).alias("step"))
 

@@ -1,13 +1,15 @@
 """Structured Streaming forms of the live operators.
 
 Event time is the frame's wall-clock time. Rows later than the watermark are
-dropped from state; cooldowns count event-time frames, not processed rows.
+dropped; cooldowns count event-time frames, not processed rows. A recording's state is
+removed once the watermark has passed its last row by IDLE.
 """
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,24 @@ from pyspark.sql.types import LongType, StructField, StructType
 from contactflow.session import ensure_checkpoint_dir
 
 
+#: Lateness that keyed state allows for, and how long a silent recording's state is kept (longer than any cooldown).
+DELAY, IDLE = "2 hours", 10 * 24 * 3600 * 1000
+
+
+def _timed(stream: DataFrame, delay: str) -> DataFrame:
+    return stream.withColumn("_ms", F.unix_millis("ts")).withWatermark("ts", delay)
+
+
+def _alive(state: GroupState, idle: int) -> bool:
+    """Whether there is a state that has not ended; its last field is its newest row's time. (Rows of a batch come before its timers.)"""
+    return state.exists and state.get[-1] + idle > state.getCurrentWatermarkMs()
+
+
+def _keep_until(state: GroupState, idle: int) -> None:
+    """A timer in event time; one that has passed already is set to fire at the next watermark."""
+    state.setTimeoutTimestamp(max(state.get[-1] + idle, state.getCurrentWatermarkMs() + 1))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
@@ -69,16 +89,20 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- two-level cooldown
 
-COOLDOWN_STATE = "g int, pairs array<string>, last array<int>"
+COOLDOWN_STATE = "g int, pairs array<string>, last array<int>, ms long"
 
 
-def cooldown_events(stream: DataFrame, pair_cooldown: int, global_cooldown: int) -> DataFrame:
+def cooldown_events(stream: DataFrame, pair_cooldown: int, global_cooldown: int, delay: str = DELAY, idle: int = IDLE) -> DataFrame:
     """Contacts that pass the per-pair and the global cooldown, per recording.
 
-    Input columns: match_id, round_id, frame, pair, det_id, ts.
+    Input columns: match_id, round_id, frame, pair, det_id, ts. idle: milliseconds without a row after which a recording
+    has ended and its state goes; a row that comes later still starts it anew.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        g, pairs, last = state.get if state.exists else (None, [], [])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        g, pairs, last, _ = state.get if _alive(state, idle) else (None, [], [], 0)
         seen = dict(zip(pairs, last))
         rows = pd.concat(list(batches)).sort_values(["frame", "pair", "det_id"], kind="stable")
         keep = []
@@ -88,12 +112,13 @@ def cooldown_events(stream: DataFrame, pair_cooldown: int, global_cooldown: int)
                 keep.append(i)
         # a pair past its cooldown no longer matters
         seen = {p: f for p, f in seen.items() if g - f < pair_cooldown}
-        state.update((g, list(seen), list(seen.values())))
+        state.update((g, list(seen), list(seen.values()), int(rows["_ms"].max())))
+        _keep_until(state, idle)
         out = rows.iloc[keep]
         yield pd.DataFrame({"match_id": out["match_id"], "round_id": out["round_id"], "frame": out["frame"], "det_id": out["det_id"]})
 
-    return stream.groupBy("match_id", "round_id").applyInPandasWithState(
-        step, "match_id long, round_id int, frame int, det_id long", COOLDOWN_STATE, "append", GroupStateTimeout.NoTimeout)
+    return _timed(stream, delay).groupBy("match_id", "round_id").applyInPandasWithState(
+        step, "match_id long, round_id int, frame int, det_id long", COOLDOWN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- joins and windows
@@ -127,15 +152,25 @@ def running_counters(stream: DataFrame) -> DataFrame:
 
 # ---- previous-row state
 
-def value_steps(stream: DataFrame) -> DataFrame:
-    """Change of a track's value since its previous sample, the last one kept as state."""
+def value_steps(stream: DataFrame, delay: str = DELAY, idle: int = IDLE) -> DataFrame:
+    """Change of a track's value since its previous sample, the last one kept as state until the track falls silent for ``idle``.
+
+    A row that comes after rows with later frames were processed has no step: its predecessor is gone."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev = state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        prev = state.get if _alive(state, idle) else None
         rows = pd.concat(list(batches)).sort_values(["frame", "event_id"], kind="stable")
-        v = rows["value"].to_numpy(dtype=float)
-        before = pd.Series(v).shift(1, fill_value=prev[0] if prev else float("nan")).to_numpy()
-        state.update((float(v[-1]),))
+        late = rows["frame"].to_numpy() < prev[1] if prev else np.zeros(len(rows), dtype=bool)
+        v = np.where(late, np.nan, rows["value"].to_numpy(dtype=float))
+        before = pd.Series(v).shift(1).to_numpy(copy=True)
+        if prev and not late.all():
+            before[np.flatnonzero(~late)[0]] = prev[0]
+        last = prev if late.all() else (float(v[-1]), int(rows["frame"].iloc[-1]))
+        state.update((*last[:2], int(max(rows["_ms"].max(), prev[2] if prev else 0))))
+        _keep_until(state, idle)
         yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "step": v - before})
 
-    return stream.groupBy("match_id", "round_id", "track_id").applyInPandasWithState(
-        step, "event_id long, step double", "last double", "append", GroupStateTimeout.NoTimeout)
+    return _timed(stream, delay).groupBy("match_id", "round_id", "track_id").applyInPandasWithState(
+        step, "event_id long, step double", "last double, frame int, ms long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -168,3 +168,39 @@ def test_tensor_table_survives_a_failed_write(spark, tmp_path):
         assert names == ["a", "b"] and sorted(map(tuple, t.collect()), key=lambda r: r[4]) == [(x, m, y, g, n) for x, m, y, g, n in good]
     second = write_tensors(spark.createDataFrame(good[:2], schema), ["a", "b"], root)
     assert second > first and read_tensors(spark, root)[0].count() == 2
+
+
+def _batches(spark, path, parts, schema):
+    """A stream that reads one file a trigger, in order."""
+    import os
+    import time as clock
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+        new = [f for f in os.listdir(path) if f.endswith(".parquet") and not f.startswith("b")]
+        os.rename(path / new[0], path / f"b{k}.parquet")
+        os.utime(path / f"b{k}.parquet", (clock.time() - 1000 + k, clock.time() - 1000 + k))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def test_stream_over_triggers_equals_batch_and_ended_state_goes(spark, tmp_path):
+    import datetime as dt
+    schema = "match_id long, round_id int, frame int, pair string, det_id long, ts timestamp"
+    at = lambda f: dt.datetime(2024, 1, 1) + dt.timedelta(hours=f)
+    rows = [(1, 0, f, str(f % 2), f, at(f)) for f in range(0, 90, 3)]
+    cut = _batches(spark, tmp_path / "a", [rows[:11], rows[11:20], rows[20:]], schema)
+    got = {r.det_id for r in J.drain(J.cooldown_events(cut, 12, 5), "t").collect()}
+    d = spark.createDataFrame(rows, schema)
+    assert got == {r.det_id for r in pair_global_cooldown(d, ["match_id", "round_id"], "frame", F.col("pair"), pair_cooldown=12, global_cooldown=5, tie=["det_id"]).collect()}
+    # a recording that starts again after its state has gone is not blocked by it; one that still counts is
+    again = [[(1, 0, 100, "0", 1, at(100)), (2, 0, 100, "0", 2, at(100))], [(3, 0, 0, "0", 3, at(2000))], [(1, 0, 101, "0", 4, at(2001)), (3, 0, 1, "0", 5, at(2001))]]
+    got = {r.det_id for r in J.drain(J.cooldown_events(_batches(spark, tmp_path / "b", again, schema), 12, 5), "t").collect()}
+    assert got == {1, 2, 3, 4}
+
+
+def test_late_rows_have_no_step(spark, tmp_path):
+    import datetime as dt
+    schema = "match_id long, round_id int, track_id int, frame int, event_id long, value double, ts timestamp"
+    row = lambda f, i, v: (1, 0, 0, f, i, v, dt.datetime(2024, 1, 1) + dt.timedelta(hours=f))
+    s = _batches(spark, tmp_path / "s", [[row(3, 1, 10.0), row(5, 2, 12.0)], [row(4, 3, 99.0), row(6, 4, 15.0)], [row(7, 5, 11.0)]], schema)
+    got = {r.event_id: None if r.step is None or np.isnan(r.step) else r.step for r in J.drain(J.value_steps(s, delay="100 hours"), "t").collect()}
+    assert got == {1: None, 2: 2.0, 3: None, 4: 3.0, 5: -4.0}
